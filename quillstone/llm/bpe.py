@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from .util import small_batches
 
-#: Entries of each of the two generations of the caches of white-space-separated pieces, of words and of fragments.
-PIECES_KEPT, WORDS_KEPT, FRAGMENTS_KEPT = 300_000, 50_000, 20_000
+#: Entries of each of the two generations of the caches of white-space-separated pieces (and the words in them) and of fragments.
+PIECES_KEPT, FRAGMENTS_KEPT = 700_000, 20_000
 
 #: Texts with these characters (controls, or anything from U+0300 on, where normalisation and Unicode versions matter,
 #: and the dotted capital I, which lower-cases to two characters) are encoded by the tokenizers library itself.
@@ -89,7 +89,6 @@ class ForcedBoundaryBPE:
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         self.known = steps == ["NFC", "Replace", "Lowercase"] and split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and None not in self.inner + self.final
         self.fragments = _Cache(self._merge, FRAGMENTS_KEPT)
-        self.words = _Cache(self._word, WORDS_KEPT)
         self.pieces = _Cache(self._piece, PIECES_KEPT)
 
     @staticmethod
@@ -133,7 +132,10 @@ class ForcedBoundaryBPE:
         return [*out, tuple(symbols[start:])]
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, PRE_TOKEN.findall(piece)))
+        if piece.isalpha():
+            return self._word(piece)
+        words = PRE_TOKEN.findall(piece)
+        return self._word(piece) if words == [piece] else b"".join(map(self.pieces.__getitem__, words))
 
     def _word(self, word: str) -> bytes:
         """One pre-token's ids. The model adds the word-end suffix to what it encodes, so only a word's last fragment
