@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licenses, packing, sharding
+from . import bpe, fingerprints, licenses, packing, quality, sharding, toxicity
+from .util import crc_fold
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,16 +32,33 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (crc_fold("doc_id", quality.FOLDS) == quality.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.detect(docs, model)
+    held_out = (crc_fold("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out")
+    return found.select("doc_id", held_out, "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op4_licenses": op4_licenses,
     "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,
+    "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
