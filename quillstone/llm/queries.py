@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, licenses, packing, quality, sharding, toxicity
+from . import bpe, fingerprints, licenses, ngram_join, packing, quality, sharding, toxicity
 from .util import crc_fold
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -58,6 +62,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_quality": op7_quality,
     "op8_sharding": op8_sharding,
+    "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
 
