@@ -299,3 +299,10 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``join`` keeps, one document of each component, with all their columns."""
+    gone = scratch_table(join(df, key, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    small = gone.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(gone) if small else gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")

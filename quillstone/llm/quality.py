@@ -110,18 +110,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, PER_CLASS))
 
 
-def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with score (0 to 1, of label 1) and predicted (score >= 0.5).
+def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``df`` with score (0 to 1, of label 1) and predicted (score >= 0.5). ``names`` are those of the new columns.
 
     Null and empty texts get the score of no evidence. Columns named like the new ones are replaced; other columns pass
     through; repeated rows score alike; an empty table gives an empty table.
     """
     spark = df.sparkSession
     small_batches(spark)
-    new = ["score", "predicted"]
+    new = list(names)
     kept = [c for c in df.columns if c not in new]
     source = df.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*source.schema.fields, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.IntegerType())])
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, fingerprints, licenses, ngram_join, packing, quality, sharding, toxicity
+from . import bpe, covertree, fingerprints, html_extract, licenses, ngram_join, packing, quality, sharding, toxicity
 from .util import crc_fold
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,10 @@ def op2_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_covertree": op2_covertree,
+    "op3_html": op3_html,
     "op4_licenses": op4_licenses,
     "op5_fingerprints": op5_fingerprints,
     "op6_bpe": op6_bpe,

@@ -194,18 +194,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 PASSAGE = "array<struct<start:int,end:int,score:double,e_value:double>>"
 
 
-def detect(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def detect(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("score", "predicted", "passages")) -> DataFrame:
     """``df`` with score (0 to 1), predicted (score >= 0.3) and passages: the significant segments as word ranges.
+    ``names`` are those of the new columns.
 
     A null or empty text has no passages and the score of no evidence. Columns named like the new ones are replaced;
     other columns pass through; repeated rows score alike; an empty table gives an empty table.
     """
     spark = df.sparkSession
     small_batches(spark)
-    new = ["score", "predicted", "passages"]
+    new = list(names)
     kept = [c for c in df.columns if c not in new]
     source = df.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([*source.schema.fields, *T._parse_datatype_string(f"score double, predicted int, passages {PASSAGE}").fields])
+    schema = T.StructType([*source.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in zip(new, ("double", "int", PASSAGE))]])
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
