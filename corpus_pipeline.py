@@ -1,24 +1,45 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
-Work in progress: the filtering stages are added as their operators are ready.
+Toxic documents go, then low-quality ones, then all but one of each group of near copies; the rest is packed into
+sequences. Every stage works on all rows that the one before kept; all but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm import packing
+from quillstone.llm import ngram_join, packing, quality, toxicity
 from quillstone.llm.queries import VOCABULARY
 from quillstone.llm.util import scratch_table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator does not reject."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = toxicity.detect(docs, model, names=("_toxicity", "_is_toxic", "_passages"))
+    return found.where("_is_toxic = 0").select(*[f"`{c}`" for c in docs.columns])
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model, names=("_quality", "_is_good"))
+    return scored.where("_is_good = 1").select(*[f"`{c}`" for c in docs.columns])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.deduplicate(docs).select(*[f"`{c}`" for c in docs.columns])
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences."""
     return packing.pieces(docs, VOCABULARY)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality classifier", keep_good), ("n-gram Jaccard join", drop_near_copies), ("packing", pack)]
 
-#: Tokenising and learned stages are not expressible in SQL; the stages are tested against brute force.
+#: Learned stages and tokenising are not expressible in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
@@ -28,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = scratch_table(docs, f"pipeline-{name}")
+            docs = scratch_table(docs, f"pipeline-{k}")
     return docs
