@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import labelled_sample, small_batches
+from .util import Kept, labelled_sample, small_batches
 
 #: Bound of the labelled sample, of each class.
 PER_CLASS = 1500
@@ -29,17 +29,25 @@ BUCKETS, DIMENSIONS, GRAMS, LONGEST = 1 << 17, 16, (2, 3, 4), 40
 EPOCHS, BATCH, RATE, PIECES_A_STEP, SEED = 6, 32, 0.5, 96, 7
 #: Document folds: labels of fold ``HELD_OUT`` are never learned from.
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5
-PIECES_KEPT = 200_000
+#: Entries of each generation of the scoring caches of pieces and of n-grams.
+PIECES_KEPT, GRAMS_KEPT = 500_000, 300_000
 REPEATED = "\x00same"
 
 
-def buckets(piece: str) -> list[int]:
-    """The hash buckets of a piece: its own and those of its character n-grams (of its first and last characters, if very long)."""
+def parts(piece: str) -> list[str]:
+    """A piece and its character n-grams (of its first and last characters, if very long)."""
     if piece == REPEATED:
-        return [0]
+        return [piece]
     body = f"<{piece if len(piece) <= 2 * LONGEST else piece[:LONGEST] + piece[-LONGEST:]}>"
-    parts = [piece, *(body[i : i + n] for n in GRAMS for i in range(len(body) - n + 1))]
-    return [1 + zlib.crc32(p.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) for p in parts]
+    return [piece, *[body[i : i + n] for n in GRAMS for i in range(len(body) - n + 1)]]
+
+
+def bucket(part: str) -> int:
+    return 0 if part == REPEATED else 1 + zlib.crc32(part.encode("utf-8", "surrogatepass")) % (BUCKETS - 1)
+
+
+def buckets(piece: str) -> list[int]:
+    return list(map(bucket, parts(piece)))
 
 
 def pieces(text: str | None) -> list[str]:
@@ -127,14 +135,14 @@ def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str
     def run(batches):
         m = shared.value
 
-        class Weights(dict):
-            def __missing__(self, piece):
-                if len(self) >= PIECES_KEPT:
-                    self.clear()
-                w = self[piece] = m.piece(piece)
-                return w
+        weight = m.weights.tolist()
+        gram = Kept(lambda part: weight[bucket(part)], GRAMS_KEPT).__getitem__
+
+        def weigh(piece: str) -> float:
+            own, *grams = parts(piece)
+            return (weight[bucket(own)] + sum(map(gram, grams))) / (1 + len(grams))
 
-        of = Weights().__getitem__
+        of = Kept(weigh, PIECES_KEPT).__getitem__
         repeated = m.piece(REPEATED)
         for b in batches:
             out = []

@@ -13,6 +13,24 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 
 
+class Kept(dict):
+    """A bounded cache: a dict that computes missing values. When full, it becomes the old generation, from which what is
+    asked for again moves on. It holds at most twice ``limit`` entries."""
+
+    def __init__(self, make, limit: int):
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches small enough for long texts (the setting is read when the plan is executed)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
