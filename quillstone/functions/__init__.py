@@ -1,0 +1,91 @@
+"""Column functions: measures and scores on built-in functions, and Arrow-batched ones that parse Markdown."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..markdown import chunking, serialise, textsplit
+from ..markdown.blocks import parse
+from ..markdown.nodes import from_units, units
+from ..markdown.nodes import plain_text as tree_text
+
+#: ECMAScript white space as a Java character class.
+JS_SPACE = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+
+
+def raw_size(text: Column) -> Column:
+    """Length in UTF-16 units; null counts as 0."""
+    return F.coalesce((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"), F.lit(0))
+
+
+def trim(text: Column) -> Column:
+    """Without ECMAScript white space at either end."""
+    return F.regexp_replace(text, f"\\A{JS_SPACE}+|{JS_SPACE}+\\z", "")
+
+
+def balance_bonus(first: Column, second: Column) -> Column:
+    """0 if there is nothing, up to 20 for equal halves; halves round up."""
+    total = first + second
+    return F.when(total == 0, F.lit(0)).otherwise(F.floor(F.least(first, second) / total * 40 + 0.5)).cast("int")
+
+
+def score_boundary(position: Column, weight: Column, ranges: Column) -> Column:
+    """``weight`` less the highest penalty of the ranges (structs of start, end, penalty) strictly around ``position``."""
+    around = F.filter(ranges, lambda r: (position > r["start"]) & (position < r["end"]))
+    return weight - F.coalesce(F.array_max(F.transform(around, lambda r: r["penalty"].cast("double"))), F.lit(0.0))
+
+
+def raw_cap(text: Column, most: int) -> Column:
+    """Pieces of at most ``most`` characters, cut at the last white space of a piece's final fifth if there is any, with
+    built-in functions (for texts without characters beyond the basic plane, whose two units count as one here)."""
+    if most < 1:
+        raise ValueError("the limit must be 1 or more")
+    soft = int(most * 0.8)
+    state = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, _: Column) -> Column:
+        rest = s["rest"]
+        head = F.regexp_extract(F.substring(rest, soft + 1, most - soft), f"(?s)\\A(.*){JS_SPACE}", 1)
+        spaced = F.substring(rest, soft + 1, most - soft).rlike(JS_SPACE)
+        at = F.when(spaced, F.lit(soft) + F.length(head)).otherwise(F.lit(most))
+        tail = F.substring(rest, at + 1, F.length(rest))
+        piece = trim(F.substring(rest, F.lit(1), at))
+        out = F.when(piece != "", F.concat(s["out"], F.array(piece))).otherwise(s["out"])
+        cut = F.struct(F.when(spaced, trim(tail)).otherwise(tail).alias("rest"), out.alias("out"))
+        return F.when(F.length(rest) > most, cut).otherwise(s)
+
+    rounds = F.sequence(F.lit(1), (F.length(text) / max(1, soft)).cast("int") + 1)
+    return F.aggregate(rounds, state, step, lambda s: F.when(s["rest"] != "", F.concat(s["out"], F.array(s["rest"]))).otherwise(s["out"]))
+
+
+@F.pandas_udf(T.IntegerType())
+def content_size(text: pd.Series) -> pd.Series:
+    """Length of the text a reader sees, in UTF-16 units; null counts as 0."""
+    return text.map(lambda t: textsplit.fragment_size(units(t)) if t else 0).astype("int32")
+
+
+@F.pandas_udf(T.StringType())
+def plain_text(text: pd.Series) -> pd.Series:
+    """What a reader sees, without markup; null stays null."""
+    return text.map(lambda t: None if t is None else from_units(tree_text(parse(units(t)))))
+
+
+@F.pandas_udf(T.StringType())
+def normalise(text: pd.Series) -> pd.Series:
+    """Markdown in normal form; null stays null."""
+    return text.map(lambda t: None if t is None else from_units(serialise.serialise(parse(units(t)))))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def raw_cap_units(text: pd.Series, most: pd.Series) -> pd.Series:
+    """``raw_cap`` for any text, counting UTF-16 units; null stays null."""
+    return pd.Series([None if t is None else [from_units(p) for p in chunking.cap(units(t), int(n))] for t, n in zip(text, most)])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("weight", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+def pattern_boundaries(text: pd.Series) -> pd.Series:
+    """The boundaries of every pattern in a plain text."""
+    return text.map(lambda t: [{"type": n, "weight": w, "end": e} for n, w, e in textsplit.pattern_ends(units(t or ""))])

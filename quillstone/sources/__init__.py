@@ -1,0 +1,27 @@
+"""Reading documents and writing chunks with Spark's own formats."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table kept as ``<folder>/<name>.parquet``, wherever Spark can read it."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """Markdown files, one row a file: path, text."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def write_chunks(chunks: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """Chunks as Parquet, partitioned if asked for."""
+    writer = chunks.write.mode(mode)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def write_jsonl(chunks: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Chunks as lines of JSON, with breadcrumbs as an array."""
+    chunks.write.mode(mode).json(path)
