@@ -18,7 +18,7 @@ _ATTR = r"""(?:\s+[A-Za-z_:][A-Za-z0-9_.:-]*(?:\s*=\s*(?:[^\s"'=<>`]+|'[^']*'|"[
 _HTML = re.compile(rf"<[A-Za-z][A-Za-z0-9-]*{_ATTR}*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>|<!-->|<!--->|<!--.*?-->|<\?.*?\?>|<![A-Za-z][^>]*>|<!\[CDATA\[.*?\]\]>", re.S)
 _LABEL = re.compile(r"\[((?:[^\\\[\]]|\\.){0,999})\]", re.S)
 _FOOTNOTE = re.compile(r"\[\^([^\s\[\]]+)\]")
-_SPECIAL = re.compile(r"[\\`*_~\[\]<&\n@]|!(?=\[)|:(?=//)|[wW](?=[wW]{2}\.)")
+_SPECIAL = re.compile(r"[\\`*_~\[\]<&@]|(?<=[ \t])\n|!(?=\[)|:(?=//)|[wW](?=[wW]{2}\.)")
 _WWW = re.compile(r"www\.[^\s<]*", re.I)
 _HTTP = re.compile(r"https?://[^\s<]*", re.I)
 _MAIL_BEFORE = re.compile(r"[A-Za-z0-9.+_-]+\Z")

@@ -35,6 +35,13 @@ class PlainMap:
     plain: str = ""
     segments: list[Segment] = field(default_factory=list)
 
+    def literal(self) -> bool:
+        """Whether plain and Markdown positions are the same: one text without escapes from the start."""
+        if len(self.segments) != 1:
+            return False
+        s = self.segments[0]
+        return s.chars is None and s.md_start == 0 and s.after() == s.plain_end
+
     def locate(self, pos: int) -> int:
         """The Markdown position of a plain position. A position between two segments belongs to the first; past the last
         and before the first, the distance is kept."""
@@ -80,7 +87,7 @@ def plain_map(tree: Node, markdown: str) -> PlainMap:
 
     def add(text: str, start: int, end: int, outer: tuple, chars=None) -> None:
         nonlocal length
-        made.segments.append(Segment(length, length + len(text), start, end, *outer, chars))
+        made.segments.append(Segment(length, length + len(text), start, end, *(outer or (None, None)), chars))
         parts.append(text)
         length += len(text)
 

@@ -6,8 +6,10 @@ import math
 import re
 from typing import NamedTuple
 
+import numpy as np
+
 from .blocks import parse
-from .nodes import Node, content_size, plain_text, walk
+from .nodes import Node, content_size, walk
 from .options import Options
 from .positions import plain_map
 from .serialise import serialise
@@ -34,7 +36,7 @@ _LIST_MARKER = re.compile(rf"[{SPACE}]*(?:[0-9]+|[A-Za-z]+)")
 _WORD = re.compile(rf"[^{SPACE}]+")
 _WORD_PUNCTUATION = frozenset("-/._:")
 #: Anything that could make a fragment more than lines of text; without it, a fragment need not be parsed to be measured.
-_MARKUP = re.compile(r"[\\`*_~\[\]<&@|#>=\t\r\0\v\f]|://|www\.|\n *\n|  \n|^ *(?:[-+]|[0-9]{1,9}[.)])|^ {4}", re.M | re.I)
+_MARKUP = re.compile(r"[\\`*_~\[\]<&@|#>=\t\r\0\v\f]|://|[wW]{3}\.|\n *\n|  \n|^ *(?:[-+]|[0-9]{1,9}[.)])|^ {4}", re.M)
 
 
 class Range(NamedTuple):
@@ -137,30 +139,36 @@ def word_ends(plain: str, options: Options):
 def boundaries(tree: Node, markdown: str, options: Options) -> tuple[list[Boundary], int]:
     """All boundaries that may be used, best score first, and the length of the plain text."""
     mapping, ranges = plain_map(tree, markdown), penalised_ranges(tree, options)
+    locate = mapping.locate if not mapping.literal() else int
     found = []
     for name, weight, plain in (*pattern_ends(mapping.plain), *word_ends(mapping.plain, options)):
-        md = mapping.locate(plain)
+        md = locate(plain)
         score = score_boundary(md, weight, ranges) if ranges else weight
         if score > -math.inf:
             found.append(Boundary(md, plain, name, weight, score))
     return sorted(found, key=lambda b: (-b.score, b.md)), len(mapping.plain)
 
 
-def _pieces(text: str, found: list[Boundary], size: int, limit: float):
-    """Cut at the best boundary, then what is still too large at boundaries of no greater weight."""
-    inside = [b for b in found if 0 < b.md < len(text)]
-    if size <= limit or not inside:
-        yield text
+def _cuts(text: str, table: np.ndarray, size: float, limit: float, low: int = 0, high: int | None = None, base: float = 0):
+    """Pieces of text[low:high]: cut at the best boundary, then what is still too large at boundaries of no greater weight.
+
+    ``table`` has a row (md, plain, weight, score) for each boundary, best score first; ``base`` is the plain position that
+    the stretch's plain positions count from."""
+    high = len(text) if high is None else high
+    inside = table[:, (table[0] > low) & (table[0] < high)]
+    if size <= limit or not inside.shape[1]:
+        yield text[low:high]
         return
-    best = max(inside, key=lambda b: b.score + balance_bonus(b.plain, size - b.plain))  # of equals the first: sorted by score
-    lower = [b for b in found if b.weight <= best.weight]
-    for start, end, shift in ((0, best.md, 0), (best.md, len(text), best.plain)):
-        part = text[start:end]
-        measured = fragment_size(part)
+    first = inside[1] - base
+    bonus = np.floor(np.minimum(first, size - first) / size * 40 + 0.5)
+    md, plain, weight, _ = inside[:, int((inside[3] + bonus).argmax())]  # of equals the first
+    lower = inside[:, inside[2] <= weight]
+    for start, end, origin in ((low, int(md), base), (int(md), high, plain)):
+        measured = fragment_size(text[start:end])
         if measured <= limit:
-            yield part
+            yield text[start:end]
         else:
-            yield from _pieces(part, [b._replace(md=b.md - start, plain=b.plain - shift) for b in lower if start < b.md <= end], measured, limit)
+            yield from _cuts(text, lower, measured, limit, start, end, origin)
 
 
 def split_text(node: Node, options: Options) -> list[str]:
@@ -168,7 +176,8 @@ def split_text(node: Node, options: Options) -> list[str]:
     markdown = serialise(node)
     tree = parse(markdown)
     found, size = boundaries(tree, markdown, options)
-    return list(_pieces(markdown, found, size, options.limit))
+    table = np.array([(b.md, b.plain, b.weight, b.score) for b in found], float).reshape(-1, 4).T
+    return list(_cuts(markdown, table, size, options.limit))
 
 
-__all__ = ["Boundary", "Range", "balance_bonus", "boundaries", "fragment_size", "merge_ranges", "pattern_ends", "penalised_ranges", "plain_text", "score_boundary", "split_text", "word_ends"]
+__all__ = ["Boundary", "Range", "balance_bonus", "boundaries", "fragment_size", "merge_ranges", "pattern_ends", "penalised_ranges", "score_boundary", "split_text", "word_ends"]

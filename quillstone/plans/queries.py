@@ -14,7 +14,7 @@ from ..markdown.options import ALLOW, BY_SIZE, NEVER, REMOVE, Options, Rule
 from ..markdown.textsplit import word_ends
 from ..operators import Chunker, blocks, greedy_groups, merge_intervals, section_paths, section_sizes
 from ..operators.chunk import register
-from ..sources import read_table
+from ..sources import read_table, spread
 
 CAP = 1000
 #: Texts with any of these may hold markup; the others' content size is that of their lines without outer blanks.
@@ -49,7 +49,7 @@ def crumbs(c: str = "breadcrumbs") -> Column:
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: chunks of all documents."""
-    docs = read_table(spark, d, "documents").select("doc_id", "lang", "text")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "lang", "text"))
     out = Chunker(Options(500, 1.5, 4000)).transform(docs)
     return out.select("doc_id", "lang", "chunk_index", "text", crumbs().alias("breadcrumbs"))
 
@@ -57,7 +57,7 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_small(spark: SparkSession, d: str) -> DataFrame:
     """Small chunks: every document needs the scored text splitter."""
-    return Chunker(Options(200)).transform(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "text")
+    return Chunker(Options(200)).transform(spread(read_table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "chunk_index", "text")
 
 
 @query()
@@ -70,7 +70,7 @@ def chunk_words(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
     """Web pages as they are: HTML blocks have content but no boundaries, so only the raw cap cuts them."""
-    pages = read_table(spark, d, "pages").select("page_id", F.col("html").alias("text"))
+    pages = spread(read_table(spark, d, "pages").select("page_id", F.col("html").alias("text")))
     return Chunker(Options(1000, max_raw_size=8000)).transform(pages).select("page_id", "chunk_index", "text")
 
 
@@ -84,7 +84,7 @@ def chunk_sql(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    out = Chunker(Options(500)).transform(read_table(spark, d, "documents").select("doc_id", "lang", "text"))
+    out = Chunker(Options(500)).transform(spread(read_table(spark, d, "documents").select("doc_id", "lang", "text")))
     return out.groupBy("lang").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks"), F.max(Q.raw_size(F.col("text"))).alias("largest"))
 
 

@@ -11,6 +11,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table just read, over at least as many partitions as there are slots. Chunking is all computing, so a small input
+    in one file would leave the other slots idle; an input of many files is left as it is and nothing is shuffled."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files, one row a file: path, text."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
