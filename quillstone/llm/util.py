@@ -6,7 +6,7 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python, so that a batch of very long texts stays small.
@@ -70,12 +70,17 @@ def crc_fold_py(value: int, folds: int) -> int:
     return zlib.crc32(str(value).encode()) % folds
 
 
+#: Characters that the texts of one class may have together in a labelled sample.
+SAMPLE_CHARS = 24_000_000
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int):
-    """At most ``per_class`` labelled texts of each class from the folds that are not held out.
+    """At most ``per_class`` labelled texts of each class from the folds that are not held out, of at most ``SAMPLE_CHARS``
+    characters together (texts are taken whole or not at all).
 
     The choice is by a hash of the id, so it does not depend on file order or partitioning. Rows with a null id,
     label or other label value than 0 and 1 are skipped; an id labelled twice counts with its larger label.
-    Returns a list of (text, label) on the driver, of bounded length.
+    Returns a list of (text, label) on the driver, of bounded size.
     """
     ids = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
     ids = ids.where(crc_fold("_id", folds) != held_out)
@@ -83,9 +88,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     for y in (0, 1):
         part = ids.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y").collect()
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    # at most per_class rows a class (times the rows that repeat an id) get here
+    so_far = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("_chars", F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).over(so_far)).where(F.col("_chars") <= SAMPLE_CHARS)
     best: dict = {}
-    for r in rows:
+    for r in found.select("doc_id", "text", "_y").collect():
         key = (r["doc_id"], r["text"] or "")
         best[key] = max(best.get(key, 0), r["_y"])
     return [(text, y) for (_, text), y in sorted(best.items())]
