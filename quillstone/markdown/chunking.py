@@ -15,7 +15,7 @@ from .normalise import preprocess
 from .options import Options
 from .sections import flatten, hierarchy, is_section, section_size
 from .serialise import serialise
-from .textsplit import SPACE, split_text
+from .textsplit import SPACE, plain_paragraph, split_plain, split_text
 
 _EDGES = re.compile(rf"\A[{SPACE}]+|[{SPACE}]+\Z")
 _BLANK = frozenset("\t\n\v\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B))))
@@ -208,11 +208,20 @@ def chunks(text: str | None, options: Options) -> list[tuple[str, list[tuple[str
     if not text:
         return []
     out = []
-    for node in Splitter(options).split(parsed(text, options).children):
-        markdown = trim(serialise(node))
-        if not markdown:
-            continue
-        crumbs = [(from_units(plain_text(h)), h.depth) for h in node.crumbs]
+    for markdown, headings in whole_chunks(units(text), options):
+        crumbs = [(from_units(plain_text(h)), h.depth) for h in headings]
         pieces = cap(markdown, options.max_raw_size) if options.max_raw_size is not None and len(markdown) > options.max_raw_size else [markdown]
         out += [(from_units(p), crumbs) for p in pieces]
     return out
+
+
+def whole_chunks(text: str, options: Options, shortcut: bool = True) -> Iterator[tuple[str, tuple]]:
+    """(Markdown, headings above) of each chunk, before the raw cap. Plain paragraphs need no tree (``shortcut``)."""
+    body = plain_paragraph(text) if shortcut else None
+    if body is not None:
+        found = [(piece, ()) for piece in ([body] if len(body) <= options.limit else split_plain(body, options))]
+    else:
+        found = [(serialise(n), n.crumbs) for n in Splitter(options).split(preprocess(parse(text), options).children)]
+    for markdown, crumbs in found:
+        if markdown := trim(markdown):
+            yield markdown, crumbs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +37,10 @@ _LIST_MARKER = re.compile(rf"[{SPACE}]*(?:[0-9]+|[A-Za-z]+)")
 _WORD = re.compile(rf"[^{SPACE}]+")
 _WORD_PUNCTUATION = frozenset("-/._:")
 #: Anything that could make a fragment more than lines of text; without it, a fragment need not be parsed to be measured.
-_MARKUP = re.compile(r"[\\`*_~\[\]<&@|#>=\t\r\0\v\f]|://|[wW]{3}\.|\n *\n|  \n|^ *(?:[-+]|[0-9]{1,9}[.)])|^ {4}", re.M)
+_MARKUP = re.compile(r"[\\`*_~\[\]<&@|#>=\t\r\0\v\f]|://|[wW]{3}\.|\n *\n|  \n|^ *(?:[-+:]|[0-9]{1,9}[.)])|^ {4}", re.M)
+_OPENING = re.compile(r"\n* {4}|[ \n]*(?:[-+:]|[0-9]{1,9}[.)])")
+#: What the serialiser would escape in a text without any of the above.
+_ESCAPED = re.compile(r"&[#A-Za-z]|[Ww]\.[-.\w]|[ps]:/", re.A)
 
 
 class Range(NamedTuple):
@@ -149,7 +153,7 @@ def boundaries(tree: Node, markdown: str, options: Options) -> tuple[list[Bounda
     return sorted(found, key=lambda b: (-b.score, b.md)), len(mapping.plain)
 
 
-def _cuts(text: str, table: np.ndarray, size: float, limit: float, low: int = 0, high: int | None = None, base: float = 0):
+def _cuts(text: str, table: np.ndarray, size: float, limit: float, measure: Callable[[str], int] = fragment_size, low: int = 0, high: int | None = None, base: float = 0):
     """Pieces of text[low:high]: cut at the best boundary, then what is still too large at boundaries of no greater weight.
 
     ``table`` has a row (md, plain, weight, score) for each boundary, best score first; ``base`` is the plain position that
@@ -164,11 +168,34 @@ def _cuts(text: str, table: np.ndarray, size: float, limit: float, low: int = 0,
     md, plain, weight, _ = inside[:, int((inside[3] + bonus).argmax())]  # of equals the first
     lower = inside[:, inside[2] <= weight]
     for start, end, origin in ((low, int(md), base), (int(md), high, plain)):
-        measured = fragment_size(text[start:end])
+        measured = measure(text[start:end])
         if measured <= limit:
             yield text[start:end]
         else:
-            yield from _cuts(text, lower, measured, limit, start, end, origin)
+            yield from _cuts(text, lower, measured, limit, measure, start, end, origin)
+
+
+def plain_paragraph(text: str) -> str | None:
+    """A document that is one paragraph of plain text, in normal form; None if it may be more (or is blank)."""
+    if _MARKUP.search(text) or _ESCAPED.search(text):
+        return None
+    body = text.strip(" \n")
+    if "\n" in body:
+        body = "\n".join(line.strip(" ") for line in body.split("\n"))
+    return body if body.strip() else None
+
+
+def _plain_size(part: str) -> int:
+    """``fragment_size`` of a piece of a plain paragraph: only its start can read as something else than text."""
+    return fragment_size(part) if _OPENING.match(part) else len(part.strip(" \n"))
+
+
+def split_plain(body: str, options: Options) -> list[str]:
+    """``split_text`` of a plain paragraph, without making a tree of it."""
+    found = [(end, end, weight, weight) for _, weight, end in (*pattern_ends(body), *word_ends(body, options))]
+    table = np.array(found, float).reshape(-1, 4)
+    order = np.lexsort((table[:, 0], -table[:, 3]))
+    return list(_cuts(body + "\n", table[order].T, len(body), options.limit, _plain_size))
 
 
 def split_text(node: Node, options: Options) -> list[str]:
@@ -180,4 +207,4 @@ def split_text(node: Node, options: Options) -> list[str]:
     return list(_cuts(markdown, table, size, options.limit))
 
 
-__all__ = ["Boundary", "Range", "balance_bonus", "boundaries", "fragment_size", "merge_ranges", "pattern_ends", "penalised_ranges", "score_boundary", "split_text", "word_ends"]
+__all__ = ["Boundary", "Range", "balance_bonus", "boundaries", "fragment_size", "merge_ranges", "pattern_ends", "penalised_ranges", "plain_paragraph", "split_plain", "score_boundary", "split_text", "word_ends"]

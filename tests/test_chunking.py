@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from quillstone import ALLOW, BY_SIZE, NEVER, REMOVE, Chunker, Options, Rule
 from quillstone.markdown.blocks import parse
-from quillstone.markdown.chunking import Splitter, cap, chunks, packed, trim
+from quillstone.markdown.chunking import Splitter, cap, chunks, packed, trim, whole_chunks
 from quillstone.markdown.sections import flatten, hierarchy, is_section, section, section_size
 from quillstone.markdown.nodes import content_size
 from quillstone.markdown.positions import plain_map
@@ -121,11 +121,18 @@ def test_plain_positions(markdown, plain, places):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab c.,\n-1d)!", max_size=80))
+@given(st.text(alphabet="ab c.,:\n-1d)!", max_size=80))
 def test_quick_measure_is_the_parsers(text):
     assert fragment_size(text) == content_size(parse(text))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abw c.,;:\n-1d)!?&'\"(ps/W", max_size=120), st.integers(4, 40), st.sampled_from([{}, {"word": ALLOW}, {"word": {"split": BY_SIZE, "size": 6}}, None]))
+def test_plain_paragraphs_need_no_tree(text, size, rules):
+    options = Options(size, 1.2, rules=rules)
+    assert list(whole_chunks(text, options)) == list(whole_chunks(text, options, shortcut=False))
+
+
 # -- blocks
 
 
