@@ -7,10 +7,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..markdown import chunking, serialise, textsplit
+from ..markdown import chunking, positions, serialise, textsplit
 from ..markdown.blocks import parse
 from ..markdown.nodes import from_units, units
 from ..markdown.nodes import plain_text as tree_text
+from ..markdown.options import Options
 
 #: ECMAScript white space as a Java character class.
 JS_SPACE = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
@@ -89,3 +90,16 @@ def raw_cap_units(text: pd.Series, most: pd.Series) -> pd.Series:
 def pattern_boundaries(text: pd.Series) -> pd.Series:
     """The boundaries of every pattern in a plain text."""
     return text.map(lambda t: [{"type": n, "weight": w, "end": e} for n, w, e in textsplit.pattern_ends(units(t or ""))])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("penalty", T.DoubleType())])))
+def penalised_ranges(text: pd.Series) -> pd.Series:
+    """The merged ranges inside which a cut costs something, without rules."""
+    options = Options(1, rules={})
+    return text.map(lambda t: [{"type": r.type, "start": r.start, "end": r.end, "penalty": float(r.penalty)} for r in textsplit.penalised_ranges(parse(units(t or "")), options)])
+
+
+@F.pandas_udf(T.IntegerType())
+def markdown_position(text: pd.Series, plain: pd.Series) -> pd.Series:
+    """The Markdown position of a position in the plain text."""
+    return pd.Series([None if t is None or p is None else positions.plain_map(parse(units(t)), units(t)).locate(int(p)) for t, p in zip(text, plain)])

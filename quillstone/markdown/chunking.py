@@ -46,6 +46,11 @@ def cap(text: str, most: int) -> list[str]:
     return [*out, rest] if rest else out
 
 
+def cap_all(texts: list[str], most: int) -> list[str]:
+    """``cap`` over a list; texts within the limit, empty ones too, stay as they are."""
+    return [p for t in texts for p in ([t] if len(t) <= most else cap(t, most))]
+
+
 def packed(items: list, size: Callable, limit: float) -> Iterator[tuple[list, bool]]:
     """Runs of items that fit together, in order, and (with True) single items that do not fit at all."""
     run, total = [], 0
@@ -63,12 +68,23 @@ def packed(items: list, size: Callable, limit: float) -> Iterator[tuple[list, bo
         yield run, False
 
 
+#: Kinds of blocks that have a way of their own to be split; all others are split as text.
+ELEMENTS = ("list", "table", "blockquote", "code")
+
+
 class Splitter:
     """Splits trees under one set of options. Results are root nodes whose ``crumbs`` are the headings above them."""
 
     def __init__(self, options: Options):
         self.options, self.limit = options, options.limit
 
+    def element(self, kind: str, text: str) -> list[str]:
+        """The pieces of a text whose first block is of this kind (list, table, blockquote or code)."""
+        blocks = parse(units(text)).children
+        if kind not in ELEMENTS or not blocks or blocks[0].type != kind:
+            raise ValueError(f"the text is no {kind}")
+        return [from_units(m) for n in getattr(self, "_" + kind)(blocks[0]) if (m := trim(serialise(n)))]
+
     # -- sections
 
     def split(self, blocks: list[Node]) -> list[Node]:
@@ -134,7 +150,7 @@ class Splitter:
         if content_size(node) <= self.limit:
             parts = [node]
         else:
-            parts = getattr(self, "_" + node.type, self._text)(node)
+            parts = getattr(self, "_" + node.type)(node) if node.type in ELEMENTS else self._text(node)
         for part in parts:
             made = part.copy() if part.type == "root" else root([part])
             made.crumbs = crumbs

@@ -33,6 +33,13 @@ def root(children: list[Node]) -> Node:
     return Node("root", children)
 
 
+def tree_of(nodes: Node | list[Node]) -> Node:
+    """A root around a node or nodes; a root is its own."""
+    if isinstance(nodes, Node):
+        return nodes if nodes.type == "root" else root([nodes])
+    return root(list(nodes))
+
+
 def walk(node: Node):
     """The node and everything below it, in document order."""
     yield node

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-from .nodes import PHRASING, Node, plain_text
+from .nodes import PHRASING, Node, plain_text, units
 
 #: Constructs in which inline markup is not read.
 _SPANS = ("autolink", "destinationLiteral", "destinationRaw", "reference", "titleQuote", "titleApostrophe")
@@ -424,3 +424,12 @@ def serialise(node: Node) -> str:
     else:
         text = s.flow(node)
     return text if not text or text.endswith("\n") else text + "\n"
+
+
+def raw_size(source: str | Node | None) -> int:
+    """Length of a text, or of the stretch of source that a node was read from, or else of its Markdown."""
+    if not source:
+        return 0
+    if isinstance(source, str):
+        return len(units(source))
+    return source.end - source.start if source.start is not None and source.end is not None else len(serialise(source))

@@ -85,6 +85,11 @@ def merge_ranges(ranges: list[Range]) -> list[Range]:
     return out
 
 
+def clip_ranges(ranges: list[Range], start: int, end: int) -> list[Range]:
+    """The parts of the ranges inside [start, end), counted from its start."""
+    return [Range(max(r.start, start) - start, min(r.end, end) - start, r.type, r.penalty) for r in ranges if r.start < end and r.end > start]
+
+
 def penalised_ranges(tree: Node, options: Options) -> list[Range]:
     """Where boundaries cost something: inside links, images, code and formatting; without bound if they may not be split."""
     found = []
@@ -207,4 +212,4 @@ def split_text(node: Node, options: Options) -> list[str]:
     return list(_cuts(markdown, table, size, options.limit))
 
 
-__all__ = ["Boundary", "Range", "balance_bonus", "boundaries", "fragment_size", "merge_ranges", "pattern_ends", "penalised_ranges", "plain_paragraph", "split_plain", "score_boundary", "split_text", "word_ends"]
+__all__ = ["Boundary", "Range", "balance_bonus", "boundaries", "clip_ranges", "fragment_size", "merge_ranges", "pattern_ends", "penalised_ranges", "plain_paragraph", "split_plain", "score_boundary", "split_text", "word_ends"]

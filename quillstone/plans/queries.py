@@ -183,6 +183,51 @@ def word_boundaries(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, word_punct long, character long")
 
 
+_MARKED = "'Some ' || r_name || ' **' || r_regionkey || ' bold** and [' || r_name || '](http://x.org/' || r_regionkey || ') `code` ![pic](p.png)'"
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "region").select("r_regionkey", "r_name", F.expr(_MARKED).alias("text"))
+
+
+@query("SELECT r_regionkey, CAST(length('Some ' || r_name || ' ' || r_regionkey || ' bold and ' || r_name || ' code pic') AS BIGINT) AS content_size FROM region")
+def content_size_marked(spark: SparkSession, d: str) -> DataFrame:
+    """Markup does not count."""
+    return _marked(spark, d).select("r_regionkey", Q.content_size("text").cast("long").alias("content_size"))
+
+
+@query(
+    f"""
+    WITH t AS (SELECT r_regionkey, {_MARKED} AS text, r_name FROM region)
+    SELECT r_regionkey, 'strong' AS type, instr(text, '**') - 1 AS range_start, instr(text, '** and') + 1 AS range_end, 30.0 AS penalty FROM t
+    UNION ALL SELECT r_regionkey, 'link', instr(text, '[') - 1, instr(text, ') `'), 50.0 FROM t
+    UNION ALL SELECT r_regionkey, 'inlineCode', instr(text, '`') - 1, instr(text, '` !'), 50.0 FROM t
+    UNION ALL SELECT r_regionkey, 'image', instr(text, '!') - 1, length(text), 50.0 FROM t
+    """
+)
+def penalised_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Where cutting costs something."""
+    rows = _marked(spark, d).select("r_regionkey", F.explode(Q.penalised_ranges("text")).alias("r"))
+    return rows.select("r_regionkey", "r.type", F.col("r.start").cast("long").alias("range_start"), F.col("r.end").cast("long").alias("range_end"), "r.penalty")
+
+
+@query(
+    f"""
+    WITH t AS (SELECT r_regionkey, {_MARKED} AS text, length('Some ' || r_name || ' ' || r_regionkey || ' bold') AS bold, length('Some ' || r_name || ' ' || r_regionkey || ' bold and ' || r_name) AS link FROM region)
+    SELECT r_regionkey, bold AS plain_position, instr(text, '** and') + 1 AS markdown_position FROM t
+    UNION ALL SELECT r_regionkey, link, instr(text, ') `') FROM t
+    UNION ALL SELECT r_regionkey, 5, 5 FROM t
+    """
+)
+def plain_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions in the plain text, found again in the Markdown: the end of bold text lies behind its closing marks."""
+    place = lambda body: F.length(F.expr(body))
+    rows = _marked(spark, d).select(
+        "r_regionkey", "text", F.explode(F.array(place("'Some ' || r_name || ' ' || r_regionkey || ' bold'"), place("'Some ' || r_name || ' ' || r_regionkey || ' bold and ' || r_name"), F.lit(5))).alias("p")
+    )
+    return rows.select("r_regionkey", F.col("p").cast("long").alias("plain_position"), Q.markdown_position("text", "p").cast("long").alias("markdown_position"))
+
+
 # -- scores and rules
 
 

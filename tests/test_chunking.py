@@ -8,12 +8,12 @@ from hypothesis import strategies as st
 
 from quillstone import ALLOW, BY_SIZE, NEVER, REMOVE, Chunker, Options, Rule
 from quillstone.markdown.blocks import parse
-from quillstone.markdown.chunking import Splitter, cap, chunks, packed, trim, whole_chunks
+from quillstone.markdown.chunking import Splitter, cap, cap_all, chunks, packed, trim, whole_chunks
 from quillstone.markdown.sections import flatten, hierarchy, is_section, section, section_size
-from quillstone.markdown.nodes import content_size
+from quillstone.markdown.nodes import Node, content_size, tree_of
 from quillstone.markdown.positions import plain_map
-from quillstone.markdown.serialise import serialise
-from quillstone.markdown.textsplit import Range, balance_bonus, boundaries, fragment_size, merge_ranges, score_boundary, split_text
+from quillstone.markdown.serialise import raw_size, serialise
+from quillstone.markdown.textsplit import Range, balance_bonus, boundaries, clip_ranges, fragment_size, merge_ranges, score_boundary, split_text
 
 
 def texts(document, size, ratio=None, **options):
@@ -282,6 +282,23 @@ def test_no_words_are_lost_and_limits_hold(parts, size):
     assert all(fragment_size(t) <= max(size, 12) + 12 for t in found)
 
 
+@pytest.mark.parametrize(("kind", "text"), [("list", "- a\n- b"), ("table", "| a |\n|-|\n| 1 |"), ("blockquote", "> a"), ("code", "```\na\n```")])
+def test_elements_by_themselves(kind, text):
+    splitter = Splitter(Options(1, rules={}))
+    assert splitter.element(kind, text)
+    with pytest.raises(ValueError):
+        splitter.element(kind, "a paragraph")
+
+
+def test_small_parts():
+    assert cap_all(["", "abc", "abcdef"], 4) == ["", "abc", "abcd", "ef"]
+    assert clip_ranges([Range(2, 8, "link", 50), Range(9, 12, "strong", 30)], 4, 10) == [Range(0, 4, "link", 50), Range(5, 6, "strong", 30)]
+    assert raw_size("a😀") == 3 and raw_size(None) == 0 and raw_size(parse("a *b*").children[0]) == 5
+    assert raw_size(Node("text", value="Hello")) == 6
+    node = parse("a").children[0]
+    assert tree_of(node).children == [node] and tree_of([node, node]).children == [node, node] and tree_of(tree_of(node)).children == [node]
+
+
 def test_chunker_object():
     c = Chunker(Options(20, 1.5, 100))
     assert (c.chunk_size, c.max_overflow_ratio, c.max_raw_size) == (20, 1.5, 100)
