@@ -12,7 +12,8 @@ from .util import drop_scratch, scratch_table
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang every (larger) neighbour of a node on the least of the node and its (smaller) neighbours."""
     pairs = edges if not large else edges.union(edges.select("b", "a"))
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # written before it is joined: both sides of the join are then dealt out for it alone, and Spark can split a hub's rows
+    least = scratch_table(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     joined = pairs.join(least, "a")
     if large:
         hung = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
