@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE, BINS, BITS = 5, 128, 8
-#: Rows that one range of ids should hold, and the most ranges (each is a task's worth of the ordered pass).
-ROWS_PER_RANGE, MAX_RANGES = 4000, 1024
+#: Rows that one range of ids should hold, the most ranges (each is a task's worth of the ordered pass), and how many of
+#: their bounds are looked at together.
+ROWS_PER_RANGE, MAX_RANGES, BOUNDS_BLOCK = 4000, 1 << 16, 256
 
 _SHIFT = 64 - (BINS - 1).bit_length()
 
@@ -58,33 +59,39 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (share - chance) / (1 - chance)))
 
 
+def _numbers(values: list[int]) -> Column:
+    """A constant array, from one literal however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
+
+
+def _count_below(x: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are less than ``x``: first whole blocks of them, then within one."""
+    blocks = F.size(F.filter(_numbers(cuts[BOUNDS_BLOCK - 1 :: BOUNDS_BLOCK]), lambda c: c < x))
+    return blocks * BOUNDS_BLOCK + F.size(F.filter(F.slice(_numbers(cuts), blocks * BOUNDS_BLOCK + 1, BOUNDS_BLOCK), lambda c: c < x))
+
+
 def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``df`` with ``next_<column>`` of the row that follows in descending ``key`` order (after the last: the first).
 
     Ranges of keys are handled apart: each gets a copy of the row that follows its last one, so nothing is ordered in one
     task and rows are shuffled once. Null keys come last; rows of equal key follow each other in order of a hash.
     """
-    least = -(1 << 63)
-    df = df.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(least)))
+    df = df.withColumn("_k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))))
     n = df.select("_k").count()
     ranges = max(1, min(MAX_RANGES, ceil(n / ROWS_PER_RANGE)))
     cuts: list[int] = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
         cuts = sorted(set(df.agg(F.percentile_approx("_k", shares, 20 * ranges)).first()[0]))
-    of = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("_k"))) if cuts else F.lit(0)
-    df = df.withColumn("_range", of)
+    df = df.withColumn("_range", _count_below(F.col("_k"), cuts))
     # one row a range: bounded
     heads = sorted((r["_range"], r["head"]) for r in df.groupBy("_range").agg(F.max("_k").alias("head")).collect())
-    copies: dict[int, list[int]] = {}
-    for (_, head), (above, _) in zip(heads, heads[1:]):
-        copies.setdefault(head, []).append(above)
-    if heads:
-        copies.setdefault(heads[-1][1], []).append(heads[0][0])
-    homes = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy")))
-    if copies:
-        extra = F.create_map(*[x for k, to in copies.items() for x in (F.lit(k).cast("long"), F.array(*[F.struct(F.lit(r).alias("r"), F.lit(1).alias("copy")) for r in to]))])
-        homes = F.concat(homes, F.coalesce(F.try_element_at(extra, F.col("_k")), F.filter(homes, lambda _: F.lit(False))))
+    head, above = [0] * (len(cuts) + 1), [-1] * (len(cuts) + 1)
+    for (r, k), following in zip(heads, [*heads[1:], None]):
+        head[r], above[r] = k, following[0] if following else heads[0][0]  # the last one's head follows the very last row
+    here = F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy"))
+    there = F.struct(F.element_at(_numbers(above), F.col("_range") + 1).cast("int").alias("r"), F.lit(1).alias("copy"))
+    homes = F.when(F.col("_k") == F.element_at(_numbers(head), F.col("_range") + 1), F.array(here, there)).otherwise(F.array(here))
     dealt = df.withColumn("_home", F.explode(homes))
     order = Window.partitionBy("_home.r").orderBy("_home.copy", F.desc("_k"), F.xxhash64(*columns))
     out = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])

@@ -92,6 +92,7 @@ def test_equal_texts_have_equal_fingerprints(spark, awkward):
 
 def test_next_row_by_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 3)
+    monkeypatch.setattr(fingerprints, "BOUNDS_BLOCK", 2)
     ids = [5, 1, 900, 17, 17, None, 42, 3, 1000000, None, -4]
     df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "id long, t string")
     rows = fingerprints.with_next(df, "id", ["t"]).collect()
