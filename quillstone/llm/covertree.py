@@ -3,9 +3,10 @@
 On unit vectors cosine >= c is distance <= sqrt(2 - 2c). The upper level of the tree is a set of pivots: every vector lives
 in the cell of its nearest pivot, and visits a later cell only if its distance to that cell's pivot is within the cell's
 covering radius plus the threshold distance. In a task the vectors of one block of a cell and the visitors each get a cover
-tree (nested levels, halving radii, exact covering radii), and pairs of nodes are expanded together: a pair is dropped if
-its centres are farther apart than both radii and the threshold distance together. What is left is decided by the cosine
-in double precision, so the pairs are exact; the pivots only decide how much work is saved.
+tree (nested levels, halving radii, exact covering radii; only the lowest level for visitors), and pairs of nodes are
+expanded together: a pair is dropped if its centres are farther apart than both radii and the threshold distance together.
+What is left is decided by the cosine in double precision, so the pairs are exact; the pivots only decide how much work is
+saved.
 
 Kernels return a count and one edge for each linked vector, never the pairs. A cell too large for one task is cut into
 blocks; visitors stream past a block batch by batch.
@@ -27,8 +28,12 @@ from .util import scratch_table, small_batches
 COSINE = 0.95
 #: Vectors meant for a block, the most pivots, the vectors they are chosen from, and the visitors treated at a time.
 BLOCK, PIVOTS, SAMPLE, VISITORS = 4096, 1024, 4096, 4096
-#: Slack on distances, for rounding: bounds must never drop a pair that the cosine would link.
-SLACK = 1e-6
+#: Slack on distances and on cosines in single precision: bounds must never drop a pair that the cosine would link.
+SLACK = 1e-5
+#: Candidates for centres looked at together, and pairs of members that are compared without looking further down.
+CENTRES, SMALL = 256, 4096
+#: Pairs of centres whose bounds are looked at together, so that they stay in a core's cache.
+SLAB = 1 << 18
 
 
 def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,82 +50,131 @@ def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Node:
-    __slots__ = ("centre", "radius", "children", "members")
+    __slots__ = ("centre", "radius", "children", "members", "_table")
 
-    def __init__(self, centre: int, radius: float, members: np.ndarray):
-        self.centre, self.radius, self.members, self.children = centre, radius, members, None
+    def __init__(self, centre: int, radius: float, members: np.ndarray, children: list | None = None):
+        self.centre, self.radius, self.members, self.children, self._table = centre, radius, members, children, None
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Centres, radii and sizes of the children."""
+        if self._table is None:
+            self._table = tuple(np.array(x) for x in zip(*((n.centre, n.radius, len(n.members)) for n in self.children)))
+        return self._table
 
 
 class CoverTree:
-    """Nodes over rows of ``x``; a node's children have centres farther apart than half its level's radius and cover it."""
+    """Nodes over rows of ``x``; a node's children have centres farther apart than half its radius and cover it. Levels are
+    built when they are asked for. A ``flat`` tree has the vectors themselves right below its root: its own levels would be
+    met once only, so building them would cost more than they prune."""
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
+    def __init__(self, x: np.ndarray, flat: bool = False):
+        self.x, self.short = x, x.astype(np.float32)
         members = np.arange(len(x))
-        self.root = Node(0, self._far(0, members), members) if len(x) else None
-
-    def _distance(self, centre: int, members: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[members] @ self.x[centre])))
-
-    def _far(self, centre: int, members: np.ndarray) -> float:
-        return float(self._distance(centre, members).max())
+        self.root = Node(0, 2.0, members) if len(x) else None
+        if flat and len(x):
+            self.root.children = [Node(i, 0.0, members[i : i + 1]) for i in range(len(x))]
 
     def children(self, node: Node) -> list[Node]:
-        """The next level below: radius halved until the node falls apart; a single vector, or equal ones, stay."""
+        """The next level below: radius halved; a single vector, or equal ones, stay."""
         if node.children is None:
             node.children = []
             if len(node.members) > 1 and node.radius > SLACK:
-                net, left = node.radius / 2, node.members
+                near_enough, left = 1 - (node.radius / 2) ** 2 / 2, node.members
                 while len(left):
-                    d = self._distance(left[0], left)
-                    near = d <= net
-                    node.children.append(Node(int(left[0]), float(d[near].max()), left[near]))
-                    left = left[~near]
+                    seeds = left[:CENTRES]
+                    c = self.x[left] @ self.x[seeds].T
+                    covered = np.zeros(len(left), bool)
+                    for k in range(len(seeds)):
+                        if not covered[k]:
+                            near = (c[:, k] >= near_enough) & ~covered
+                            near[k] = True
+                            node.children.append(Node(int(seeds[k]), sqrt(max(0.0, 2 - 2 * float(c[near, k].min()))) if near.sum() > 1 else 0.0, left[near]))
+                            covered |= near
+                    left = left[~covered]
         return node.children
 
 
+def _floor(reach: float, *radii) -> np.ndarray:
+    """The cosine of two centres below which no members of their nodes can be within reach."""
+    return 1 - np.minimum(reach + sum(radii), 2.0) ** 2 / 2 - SLACK
+
+
+def descend(a: CoverTree, node: Node, b: CoverTree, which: np.ndarray, reach: float, least: float):
+    """Index pairs (i of a below ``node``, j of b in ``which``) with cosine >= ``least``: the node's levels against single
+    vectors, all those that are in reach of a child at once."""
+    todo = [(node, which)]
+    while todo:
+        node, which = todo.pop()
+        if len(node.members) * len(which) <= SMALL or not a.children(node):
+            i, j = np.nonzero(a.x[node.members] @ b.x[which].T >= least)
+            yield node.members[i], which[j]
+            continue
+        centres, radii, sizes = node.table()
+        ones = np.flatnonzero(sizes == 1)
+        if len(ones):
+            slab = max(1, SLAB // len(which))
+            for at in range(0, len(ones), slab):
+                part = centres[ones[at : at + slab]]
+                near = np.flatnonzero(a.short[part] @ b.short[which].T >= np.float32(least - SLACK))
+                if len(near):
+                    u, v = np.divmod(near, len(which))
+                    exact = np.einsum("ij,ij->i", a.x[part[u]], b.x[which[v]]) >= least
+                    yield part[u[exact]], which[v[exact]]
+        many = np.flatnonzero(sizes > 1)
+        if len(many):
+            near = a.short[centres[many]] @ b.short[which].T >= _floor(reach, radii[many])[:, None].astype(np.float32)
+            todo += [(node.children[k], which[row]) for k, row in zip(many, near) if row.any()]
+
+
 def dual(a: CoverTree, b: CoverTree, reach: float, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i of a, j of b) with cosine >= ``least``; for a tree with itself, each pair once with i < j."""
     found_i, found_j = [], []
     same = a is b
-    frontier = [(a.root, b.root)] if a.root and b.root else []
-    while frontier:
-        below = []
-        for p, q in frontier:
-            if len(p.members) * len(q.members) <= 4096 or not (a.children(p) or b.children(q)):
-                c = a.x[p.members] @ b.x[q.members].T
-                i, j = np.nonzero(c >= least)
-                i, j = p.members[i], q.members[j]
-                if same and p is q:
-                    i, j = i[i < j], j[i < j]
-                found_i.append(i), found_j.append(j)
-                continue
-            left, right = a.children(p) or [p], b.children(q) or [q]
-            lc, rc = np.array([n.centre for n in left]), np.array([n.centre for n in right])
-            lr, rr = np.array([n.radius for n in left]), np.array([n.radius for n in right])
-            slab = max(1, (1 << 22) // len(right))
-            for at in range(0, len(left), slab):
-                c = a.x[lc[at : at + slab]] @ b.x[rc].T
-                bound = np.minimum(reach + lr[at : at + slab, None] + rr[None, :], 2.0)
-                u, v = np.nonzero(c >= 1 - bound * bound / 2 - SLACK)  # distance within the bound, as a cosine
-                u = u + at
-                if same and p is q:
-                    u, v = u[u <= v], v[u <= v]
-                single = (lr[u] <= 0) & (rr[v] <= 0) & (np.array([len(n.members) for n in left])[u] * np.array([len(n.members) for n in right])[v] == 1)
-                if single.any():
-                    i, j = lc[u[single]], rc[v[single]]
-                    exact = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= least
-                    i, j = i[exact], j[exact]
-                    if same:
-                        i, j = np.minimum(i, j), np.maximum(i, j)
-                        i, j = i[i < j], j[i < j]
-                    found_i.append(i), found_j.append(j)
-                below += [(left[m], right[n]) for m, n in zip(u[~single], v[~single])]
-        frontier = below
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        if same:
+            i, j = np.minimum(i, j), np.maximum(i, j)
+            i, j = i[i < j], j[i < j]
+        found_i.append(i), found_j.append(j)
+
+    todo = [(a.root, b.root)] if a.root and b.root else []
+    while todo:
+        p, q = todo.pop()
+        itself = same and p is q
+        if len(p.members) * len(q.members) <= SMALL or not (a.children(p) or b.children(q)):
+            c = a.x[p.members] @ b.x[q.members].T
+            i, j = np.nonzero(np.triu(c >= least, 1) if itself else c >= least)
+            add(p.members[i], q.members[j])
+            continue
+        left, right = a.children(p) or [p], b.children(q) or [q]
+        lc, lr, ln = p.table() if p.children else (np.array([p.centre]), np.array([p.radius]), np.array([len(p.members)]))
+        rc, rr, rn = q.table() if q.children else (np.array([q.centre]), np.array([q.radius]), np.array([len(q.members)]))
+        one, many, other, several = (np.flatnonzero(x) for x in (ln == 1, ln > 1, rn == 1, rn > 1))
+        # single vectors against single vectors
+        if len(one) and len(other):
+            singles = Node(0, 2.0, lc[one], [Node(int(c), 0.0, np.array([c])) for c in lc[one]]) if len(one) * len(other) > SMALL else Node(0, 0.0, lc[one])
+            for i, j in descend(a, singles, b, rc[other], reach, least):
+                add(i[i < j] if itself else i, j[i < j] if itself else j)
+        # nodes against single vectors, either way round (in a tree with itself both ways are the same)
+        if len(many) and len(other):
+            near = a.short[lc[many]] @ b.short[rc[other]].T >= _floor(reach, lr[many])[:, None].astype(np.float32)
+            for k, row in zip(many, near):
+                if row.any():
+                    for i, j in descend(a, left[k], b, rc[other[row]], reach, least):
+                        add(i, j)
+        if len(several) and len(one) and not itself:
+            near = b.short[rc[several]] @ a.short[lc[one]].T >= _floor(reach, rr[several])[:, None].astype(np.float32)
+            for k, row in zip(several, near):
+                if row.any():
+                    for j, i in descend(b, right[k], a, lc[one[row]], reach, least):
+                        add(i, j)
+        # nodes against nodes
+        if len(many) and len(several):
+            near = a.short[lc[many]] @ b.short[rc[several]].T >= _floor(reach, lr[many][:, None], rr[several]).astype(np.float32)
+            todo += [(left[many[u]], right[several[v]]) for u, v in zip(*np.nonzero(near)) if not itself or u <= v]
     if not found_i:
         return np.array([], int), np.array([], int)
-    i, j = np.concatenate(found_i), np.concatenate(found_j)
-    return (np.minimum(i, j), np.maximum(i, j)) if same else (i, j)
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def pivots_of(x: np.ndarray, most: int) -> np.ndarray:
@@ -216,7 +270,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                 if len(i):
                     yield linked(ids, i, j)
             elif here == (cell, block):
-                i, j = dual(tree, CoverTree(x), reach, cosine)
+                i, j = dual(tree, CoverTree(x, flat=True), reach, cosine)
                 if len(i):
                     yield linked(np.concatenate([ids, rid]), i, j + len(ids))
 
