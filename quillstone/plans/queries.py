@@ -6,15 +6,18 @@ chunk it; their SQL packs the same rows relationally and never sees Markdown.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as Q
+from .. import streaming
 from ..markdown.options import ALLOW, BY_SIZE, NEVER, REMOVE, Options, Rule
 from ..markdown.textsplit import word_ends
 from ..operators import Chunker, blocks, greedy_groups, merge_intervals, section_paths, section_sizes
 from ..operators.chunk import register
-from ..sources import read_table, spread
+from ..sources import read_table, scratch, spread
 
 CAP = 1000
 #: Texts with any of these may hold markup; the others' content size is that of their lines without outer blanks.
@@ -82,6 +85,17 @@ def chunk_sql(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT i.item_id, c.chunk_index, c.text FROM quillstone_items i, LATERAL chunk(i.text, 120) c")
 
 
+@query()
+def chunk_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same operator on a stream: the benchmark items, chunked by a file stream that ends when it has read them."""
+    folder = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    table = read_table(spark, d, "benchmark")
+    one_file = all(f.endswith("/benchmark.parquet") for f in table.inputFiles())  # a stream reads folders
+    items = streaming.read_documents(spark, d if one_file else f"{d}/benchmark.parquet", table.schema, only="benchmark.parquet" if one_file else None)
+    streaming.write_chunks(items, Chunker(Options(120)), f"{folder}/chunks", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/chunks").select("item_id", "chunk_index", "text")
+
+
 @query()
 def chunk_stats_by_lang(spark: SparkSession, d: str) -> DataFrame:
     out = Chunker(Options(500)).transform(spread(read_table(spark, d, "documents").select("doc_id", "lang", "text")))
@@ -473,6 +487,17 @@ def block_breadcrumbs(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("r_regionkey", "block", "path")
 
 
+_CODE = "'SELECT ' || n_nationkey || ' FROM t' || chr(10) || 'WHERE a = ' || length(n_name) || chr(10) || 'ORDER BY 1'"
+
+
+@query(f"SELECT n_nationkey, CAST(0 AS BIGINT) AS chunk_index, '```sql' || chr(10) || {_CODE} || chr(10) || '```' AS text FROM nation UNION ALL SELECT n_nationkey, 1, 'After.' FROM nation")
+def code_protected(spark: SparkSession, d: str) -> DataFrame:
+    """A protected code block stays whole above the limit and apart from its neighbours."""
+    source = "'~~~sql' || char(10) || " + _CODE.replace("chr(10)", "char(10)") + " || char(10) || '~~~' || char(10) || char(10) || 'After.'"
+    docs = read_table(spark, d, "nation").select("n_nationkey", F.expr(source).alias("text"))
+    return Chunker(Options(20, rules={"code": NEVER})).transform(docs).select("n_nationkey", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
 # -- normal form, references, transforms
 
 

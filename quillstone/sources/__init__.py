@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share for intermediate files; a temporary one only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (folder or tempfile.mkdtemp(prefix="quillstone-")).rstrip("/")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table just read, over at least as many partitions as there are slots. Chunking is all computing, so a small input
     in one file would leave the other slots idle; an input of many files is left as it is and nothing is shuffled."""

@@ -9,8 +9,11 @@ from pyspark.sql.types import StructType
 from ..operators.chunk import Chunker
 
 
-def read_documents(spark: SparkSession, path: str, schema: StructType | str, format: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, schema: StructType | str, format: str = "parquet", files_per_trigger: int | None = None, only: str | None = None) -> DataFrame:
+    """A stream of the files in a folder, or of those whose names match ``only``."""
     reader = spark.readStream.format(format).schema(schema)
+    if only:
+        reader = reader.option("pathGlobFilter", only)
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
 
 
