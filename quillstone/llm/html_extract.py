@@ -194,16 +194,17 @@ def main_text(page: str | None) -> str:
         return ""
     score = ratios(found)
     chosen = score >= min(score.max(), max(score.mean() - score.std(), 0.35 * score.max()))
-    articles: dict[int, float] = {}
+    weight: dict[Element, float] = {}
     for (text, link, e), picked in zip(found, chosen):
         while e is not None:
             if e.tag in CONTENT:
-                articles[e.order] = articles.get(e.order, 0) + picked * (len(text) - link)
+                weight[e] = weight.get(e, 0) + picked * (len(text) - link)
             e = e.parent
-    if articles and max(articles.values()) > 0:
-        # the element with most of the content; of those with as much, the innermost
-        best = max(articles.items(), key=lambda x: (x[1], x[0]))[0]
-        return "\n".join(text for text, _, e in found if _within(e, best))
+    if weight and max(weight.values()) > 0:
+        # the element with most of the content (of those with as much, the innermost), and its like beside it
+        best = max(weight, key=lambda e: (weight[e], e.order))
+        orders = {e.order for e in weight if e.parent is best.parent and e.tag == best.tag}
+        return "\n".join(text for text, _, e in found if orders & set(_orders(e)))
     # without such an element: from the first chosen block to the last, inside the innermost element that holds them all
     picked = [e for (_, _, e), c in zip(found, chosen) if c]
     orders = set.intersection(*(set(_orders(e)) for e in picked))

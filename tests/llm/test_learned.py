@@ -186,6 +186,7 @@ def test_page_without_article():
         ('<div hidden>no</div><p style="display: none">no</p><p>yes</p>', "yes"),
         ("<!-- <p>no</p> --><p>yes</p><!-- open", "yes"),
         ("<p title='a>b'>x</p>", "x"),
+        ("<article><p>One, two.</p></article><article><p>Three, four.</p></article><article class='comment'><p>no</p></article>", "One, two.\nThree, four."),
     ],
 )
 def test_small_pages(page, text):
