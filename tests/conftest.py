@@ -2,7 +2,10 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
 
+settings.register_profile("steady", derandomize=True, deadline=None)
+settings.load_profile("steady")
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
