@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,6 +94,12 @@ def pattern_boundaries(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"type": n, "weight": w, "end": e} for n, w, e in textsplit.pattern_ends(units(t or ""))])
 
 
+@F.pandas_udf(T.MapType(T.StringType(), T.IntegerType()))
+def pattern_counts(text: pd.Series) -> pd.Series:
+    """How many boundaries of each kind a plain text has; kinds that it has none of are left out."""
+    return text.map(lambda t: dict(Counter(n for n, _, _ in textsplit.pattern_ends(units(t or "")))))
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("penalty", T.DoubleType())])))
 def penalised_ranges(text: pd.Series) -> pd.Series:
     """The merged ranges inside which a cut costs something, without rules."""

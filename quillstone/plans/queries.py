@@ -140,7 +140,7 @@ def plain_text(spark: SparkSession, d: str) -> DataFrame:
 )
 def raw_cap_split(spark: SparkSession, d: str) -> DataFrame:
     """The hard cap on raw length, on built-in functions."""
-    docs = read_table(spark, d, "documents")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.posexplode(Q.raw_cap(F.col("text"), CAP)).alias("piece_index", "piece")).withColumn("piece_index", F.col("piece_index").cast("long"))
 
 
@@ -168,9 +168,10 @@ _COUNT = r"""
 )
 def boundary_counts(spark: SparkSession, d: str) -> DataFrame:
     """Boundaries of each kind in the documents."""
-    docs = read_table(spark, d, "documents").select("doc_id", F.explode(Q.pattern_boundaries("text")).alias("b"))
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     kinds = ["period_newline", "period_sentence", "question_exclamation", "colon_semicolon", "line_break", "comma", "period_fallback", "whitespace"]
-    return docs.where(F.col("b.type").isin(kinds)).groupBy("doc_id", F.col("b.type").alias("type")).agg(F.count("*").alias("n"))
+    counts = docs.select("doc_id", F.explode(Q.pattern_counts("text")).alias("type", "n"))
+    return counts.where(F.col("type").isin(kinds)).select("doc_id", "type", F.col("n").cast("long").alias("n"))
 
 
 _WORD = "regexp_replace(w, '[^-/._:]', '', 'g')"
