@@ -63,6 +63,33 @@ def chunk_small(spark: SparkSession, d: str) -> DataFrame:
     return Chunker(Options(200)).transform(spread(read_table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "chunk_index", "text")
 
 
+#: What is escaped in normal form although it is no markup.
+ESCAPED = r"&[#A-Za-z]|[Ww]\.[-.\w]|[ps]:/"
+_AS_IS = f"NOT regexp_matches(text, '{MARKUP.replace(chr(39), chr(39) * 2)}') AND NOT regexp_matches(text, '{ESCAPED}')"
+
+
+def _plain_documents(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    return spread(docs.where(~F.col("text").rlike(MARKUP) & ~F.col("text").rlike(ESCAPED)))
+
+
+@query(f"SELECT doc_id, CAST(0 AS BIGINT) AS chunk_index, text, '' AS breadcrumbs FROM documents WHERE length(text) <= 750 AND {_AS_IS}")
+def chunk_fitting(spark: SparkSession, d: str) -> DataFrame:
+    """A plain document within the limit is its own only chunk."""
+    docs = _plain_documents(spark, d).where(F.length("text") <= 750)
+    out = Chunker(Options(500, 1.5)).transform(docs)
+    return out.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", crumbs().alias("breadcrumbs"))
+
+
+@query(f"SELECT doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS words, CAST(0 AS BIGINT) AS oversize FROM documents WHERE length(trim(text)) > 0 AND {_AS_IS}")
+def chunk_words_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of a document hold its words in order, and none is above the limit unless it is a single word."""
+    out = Chunker(Options(200)).transform(_plain_documents(spark, d))
+    oversize = (Q.raw_size(F.col("text")) > 200) & F.col("text").rlike("\\s")
+    kept = out.groupBy("doc_id").agg(lines(F.col("chunk_index"), F.col("text"), " ").alias("t"), F.sum(oversize.cast("long")).alias("oversize"))
+    return kept.select("doc_id", F.md5(F.trim(F.regexp_replace("t", "\\s+", " "))).alias("words"), "oversize")
+
+
 @query()
 def chunk_words(spark: SparkSession, d: str) -> DataFrame:
     """Chunks below the length of words, with words that may be split."""
