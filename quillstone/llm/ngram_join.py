@@ -27,7 +27,7 @@ from .util import scratch_table, small_batches
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, BANDS, ROWS, STEP = 128, 20, 5, 16
 #: Classes in a block, characters in a block, and rows of a table that may be broadcast.
-BLOCK, BLOCK_CHARS, BROADCAST_ROWS = 1000, 1 << 25, 400_000
+BLOCK, BLOCK_CHARS, BROADCAST_ROWS = 1000, 1 << 23, 400_000
 PIECES_KEPT = 300_000
 
 WORD = re.compile(r"[^\W_]+")
@@ -292,7 +292,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     counted = found.groupBy("cls").agg(F.sum("links").alias("links")).join(linked, "cls").join(ids.select("cls", "class_id"), "cls")
     least = counted.groupBy("root").agg(F.min("class_id").alias("component_id"))
     counted = counted.join(least, "root").select("cls", "links", "component_id")
-    info = ids.join(counted, "cls", "left")
+    # written before it is joined, so that the rows of a large class are dealt out for this join alone and can be split
+    info = scratch_table(ids.join(counted, "cls", "left"), "info")
     out = rows.select("doc_id", "cls").join(info, "cls", "left")
     component = F.coalesce("component_id", "class_id", "doc_id")
     return out.select(
