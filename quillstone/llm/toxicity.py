@@ -16,6 +16,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,25 +46,40 @@ WORD = re.compile(r"[^\W_]+")
 
 @dataclass
 class Model:
-    """Word and prefix scores (word -> score; "pre" + "*" -> score; zeros are words known to be neutral), the extreme-value
-    parameters and the logistic curve."""
+    """Word and prefix scores (word -> score; "pre" + "*" -> score; zeros are words known to be neutral), which of them have
+    weak support, the extreme-value parameters and the logistic curve."""
 
     units: dict[str, float] = field(default_factory=dict)
+    weak: set[str] = field(default_factory=set)
     lam: float = 1.0
     k: float = 1.0
     slope: float = 0.0
     offset: float = 0.0
 
+    def unit(self, w: str) -> str | None:
+        """The word itself or its longest prefix, whichever has a score first."""
+        return next((u for u in (w, *(w[:n] + "*" for n in PREFIXES if len(w) > n)) if u in self.units), None)
+
     def word(self, w: str) -> float:
-        for unit in (w, *(w[:n] + "*" for n in PREFIXES if len(w) > n)):
-            if (s := self.units.get(unit)) is not None:
-                return s
-        return 0.0
+        return self.units.get(self.unit(w), 0.0)
 
     def piece(self, piece: str) -> float:
         """The score, before drift, of what stands between two white spaces."""
         return sum(map(self.word, WORD.findall(piece)))
 
+    def scores(self, pieces: list[str], of: Callable[[str], float] | None = None) -> list[float]:
+        """The scores of a document's pieces; ``of`` is ``piece``, perhaps from a cache. A piece with weak support counts
+        once: saying it again makes it no likelier."""
+        found = list(map(of or self.piece, pieces))
+        if self.weak and any(found):
+            seen = set()
+            for i, (piece, s) in enumerate(zip(pieces, found)):
+                if s > 0 and all(self.unit(w) in self.weak for w in WORD.findall(piece) if self.word(w) > 0):
+                    if piece in seen:
+                        found[i] = 0.0
+                    seen.add(piece)
+        return found
+
     def segments(self, scores: list[float]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments (start, end, score) of the words' scores less the drift."""
         done: list[list[float]] = []  # start, end, sum before, sum after
@@ -146,6 +162,8 @@ def fit(sample: list[tuple[str, int]], toxic_share: float = 0.5) -> Model:
             odds = math.log((a + PRIOR * share) / (b + PRIOR * (1 - share))) - base
             g = 2 * sum(x * math.log(x / ((a + b) * p)) for x, p in ((a, share), (b, 1 - share)) if x)
             model.units[unit] = odds * min(1.0, g / FULL_G) if odds >= LEAST_ODDS and g >= LEAST_G else 0.0
+            if model.units[unit] and g < FULL_G:
+                model.weak.add(unit)
     # words that no tested unit covers keep score 0; neutral words are kept only where a scored prefix would cover them
     hot = {u for u, s in model.units.items() if s}
     model.units = {u: s for u, s in model.units.items() if s or any(u[:k] + "*" in hot for k in PREFIXES)}
@@ -170,7 +188,7 @@ def _calibrate(model: Model, learn: list, tune: list) -> None:
             mid = (low + high) / 2
             low, high = (low, mid) if float(p @ np.exp(np.minimum(mid * s, 700))) > 1 else (mid, high)
         model.lam = max(low, 1e-3)
-    found = [(model.segments([model.word(w) for w in words]), len(words), y) for words, y in tune]
+    found = [(model.segments(model.scores(words)), len(words), y) for words, y in tune]
     best = [(max((x[2] for x in segs), default=0.0), n) for segs, n, y in found if not y] or [(0.0, 1)]
     model.k = len(best) / max(1e-9, sum(max(n, 1) * math.exp(-model.lam * b) for b, n in best))
     x = np.array([max(-50.0, min(50.0, model.excess(segs, n))) for segs, n, _ in found])
@@ -224,7 +242,7 @@ def detect(df: DataFrame, model: Model, text: str = "text", names: tuple[str, st
             out, where = [], []
             for t in b.column(kept.index(text)).to_pylist():
                 words = (t or "").lower().split()
-                scores = list(map(scores_of, words))
+                scores = m.scores(words, scores_of)
                 segments = m.segments(scores) if any(scores) else []
                 out.append(m.probability(m.excess(segments, len(words))))
                 where.append([{"start": i, "end": j, "score": s, "e_value": e} for i, j, s in segments if (e := m.expected(s, len(words))) < E_VALUE])

@@ -51,7 +51,7 @@ def noisy(n=1200, seed=0):
 def test_toxicity_on_held_out_texts():
     rows = noisy()
     model = toxicity.fit(rows[:800], 0.25)
-    score = lambda t: model.probability(model.excess(model.segments([model.piece(w) for w in t.split()]), len(t.split())))
+    score = lambda t: model.probability(model.excess(model.segments(model.scores(t.split())), len(t.split())))
     wrong = [(t, y) for t, y in rows[800:] if (score(t) >= toxicity.THRESHOLD) != bool(y)]
     assert len(wrong) <= 4
     assert all(u in ("grubble", "snarkle", "foulness") or u.endswith("*") for u, s in model.units.items() if s > 0)
@@ -64,6 +64,12 @@ def test_passages_are_where_the_words_are(spark):
     assert r.predicted == 1 and [(p.start, p.end) for p in r.passages] == [(30, 32), (232, 233)]
 
 
+def test_weak_words_count_once():
+    model = toxicity.Model({"maybe": 1.0, "surely": 5.0, "pre*": 1.0}, {"maybe", "pre*"})
+    assert model.scores(["maybe", "x", "maybe!", "maybe", "surely", "surely"]) == [1.0, 0.0, 1.0, 0.0, 5.0, 5.0]
+    assert model.unit("prefix") is None and model.unit("maybe") == "maybe"
+
+
 def brute_segments(scores):
     """All maximal scoring segments by repeated best subsequence, longest sum first."""
     out, todo = [], [(0, len(scores))]
