@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, groups
-from .util import scratch_table, small_batches
+from .util import free_names, scratch_table, small_batches
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, BANDS, ROWS, STEP = 128, 20, 5, 16
@@ -304,6 +304,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that ``join`` keeps, one document of each component, with all their columns."""
-    gone = scratch_table(join(df, key, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    (name,) = free_names(df, "gone")
+    gone = scratch_table(join(df, key, text).where("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
     small = gone.count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(gone) if small else gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    return df.join(F.broadcast(gone) if small else gone, F.col(f"`{key}`") == F.col(name), "left_anti")

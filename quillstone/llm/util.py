@@ -61,6 +61,17 @@ def drop_scratch(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, with underscores added until none is that of a column (Spark compares names without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def crc_fold(column: str, folds: int):
     """crc32(id as text) mod ``folds``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds)

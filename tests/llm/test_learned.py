@@ -210,13 +210,13 @@ def test_extract_awkward_rows(spark):
 
 
 def test_stages(spark, tmp_path):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("score", F.lit(1.5)).withColumn("predicted", F.lit("x"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("score", F.lit(1.5)).withColumn("Toxic", F.lit("x")).withColumn("good", F.lit(0)).withColumn("gone", F.col("doc_id"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "n-gram Jaccard join", "packing"]
     before = docs.count()
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, DATA)
         if k < 3:
-            assert out.columns == docs.columns
+            assert out.columns == docs.columns and out.where("score <> 1.5 or Toxic <> 'x' or good <> 0 or gone <> doc_id").count() == 0
             out.write.parquet(str(tmp_path / str(k)))
             docs = spark.read.parquet(str(tmp_path / str(k)))
             after = docs.count()
