@@ -10,21 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm import ngram_join, packing, quality, toxicity
 from quillstone.llm.queries import VOCABULARY
-from quillstone.llm.util import scratch_table
+from quillstone.llm.util import free_names, scratch_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = toxicity.detect(docs, model, names=("_toxicity", "_is_toxic", "_passages"))
-    return found.where("_is_toxic = 0").select(*[f"`{c}`" for c in docs.columns])
+    names = free_names(docs, "toxicity", "toxic", "passages")
+    found = toxicity.detect(docs, model, names=names)
+    return found.where(found[names[1]] == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs, model, names=("_quality", "_is_good"))
-    return scored.where("_is_good = 1").select(*[f"`{c}`" for c in docs.columns])
+    names = free_names(docs, "quality", "good")
+    scored = quality.score(docs, model, names=names)
+    return scored.where(scored[names[1]] == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
