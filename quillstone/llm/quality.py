@@ -76,25 +76,29 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     layer[:, 1] = 1e-2
-    cache: dict[str, np.ndarray] = {}
     docs = [(p, y) for text, y in sample if (p := pieces(text))]
+    # every distinct piece once: its buckets lie at [first, first + size) of one array
+    number: dict[str, int] = {}
+    coded = [(np.array([number.setdefault(w, len(number)) for w in p]), y) for p, y in docs]
+    gram = Kept(bucket, GRAMS_KEPT).__getitem__
+    each = [np.array([bucket(own), *map(gram, grams)], np.int32) for own, *grams in map(parts, number)]
+    size = np.array([len(b) for b in each])
+    first = np.cumsum(size) - size
+    table = np.concatenate(each) if each else np.array([], np.int32)
     steps, done = max(1, EPOCHS * len(docs)), 0
     balance = np.array([len(docs) / (2 * max(1, sum(y == c for _, y in docs))) for c in (0, 1)], np.float32)
     for _ in range(EPOCHS):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
-            batch = [docs[i] for i in order[at : at + BATCH]]
-            ids, weight, owner = [], [], []
-            for d, (p, _) in enumerate(batch):
-                drawn = p if len(p) <= PIECES_A_STEP else [p[i] for i in rng.integers(0, len(p), PIECES_A_STEP)]
-                for w in drawn:
-                    b = cache.get(w)
-                    if b is None:
-                        b = cache[w] = np.array(buckets(w))
-                    ids.append(b)
-                    weight.append(np.full(len(b), 1 / len(b) / len(drawn), np.float32))
-                    owner.append(np.full(len(b), d))
-            ids, weight, owner = np.concatenate(ids), np.concatenate(weight), np.concatenate(owner)
+            batch = [coded[i] for i in order[at : at + BATCH]]
+            drawn = [p if len(p) <= PIECES_A_STEP else p[rng.integers(0, len(p), PIECES_A_STEP)] for p, _ in batch]
+            counts = np.array([len(p) for p in drawn])
+            piece = np.concatenate(drawn)
+            n = size[piece]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ids = table[np.repeat(first[piece], n) + within]
+            owner = np.repeat(np.repeat(np.arange(len(batch)), counts), n)
+            weight = np.repeat(1 / n / np.repeat(counts, counts), n).astype(np.float32)
             y = np.array([c for _, c in batch])
             hidden = np.add.reduceat(vectors[ids] * weight[:, None], np.searchsorted(owner, np.arange(len(batch))))
             logits = hidden @ layer + bias
@@ -102,14 +106,15 @@ def fit(sample: list[tuple[str, int]]) -> Model:
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
             p *= balance[y][:, None]
-            rate = RATE * (1 - done / steps)
+            rate = np.float32(RATE * (1 - done / steps))
             grad = p @ layer.T
             layer -= rate * hidden.T @ p / len(batch) * 4
             bias -= rate * p.mean(0)
-            step = (rate * 4 * weight)[:, None] * grad[owner]
-            rows, inverse = np.unique(ids, return_inverse=True)
-            total = np.stack([np.bincount(inverse, step[:, k], len(rows)) for k in range(DIMENSIONS)], 1)
-            vectors[rows] -= total.astype(np.float32)
+            by_bucket = np.argsort(ids, kind="stable")
+            found = ids[by_bucket]
+            starts = np.flatnonzero(np.diff(found, prepend=-1))
+            step = weight[by_bucket, None] * grad[owner[by_bucket]]
+            vectors[found[starts]] -= rate * 4 * np.add.reduceat(step, starts)
             done += len(batch)
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
