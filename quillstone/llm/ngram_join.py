@@ -18,7 +18,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, groups
@@ -28,6 +28,8 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, BANDS, ROWS, STEP = 128, 20, 5, 16
 #: Classes in a block, characters in a block, and rows of a table that may be broadcast.
 BLOCK, BLOCK_CHARS, BROADCAST_ROWS = 1000, 1 << 23, 400_000
+#: Groups of more classes than this are dealt out to several tasks, in up to so many blocks before blocks grow to ``BLOCK``.
+FINE_BLOCK, FINE_BLOCKS = 128, 16
 PIECES_KEPT = 300_000
 
 WORD = re.compile(r"[^\W_]+")
@@ -164,6 +166,11 @@ def sketch(df: DataFrame, key: str, text: str) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, cls long, size long, chars long, sig binary, bands array<long>")
 
 
+def _blocks(n: Column) -> Column:
+    """Into how many blocks a group of n classes is cut: small blocks spread a large group, large ones repeat its rows less."""
+    return F.greatest(F.ceil(n / BLOCK), F.least(F.ceil(n / FINE_BLOCK), F.lit(FINE_BLOCKS)))
+
+
 def _blocked(rows: DataFrame, blocks, keys: list[str]) -> DataFrame:
     """A copy of each row for every pair of blocks that its own block is in; one copy if the group is one block."""
     rows = rows.withColumn("_n", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("_n")).cast("int"))
@@ -178,7 +185,7 @@ def likely_edges(classes: DataFrame) -> DataFrame:
     banded = classes.select("cls", F.posexplode("bands").alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     members = banded.join(shared, ["band", "value"]).join(classes.select("cls", "sig"), "cls")
-    dealt = _blocked(members, F.ceil(F.col("n") / BLOCK), ["band", "value"]).select("band", "value", "here", "there", "block", "cls", "sig")
+    dealt = _blocked(members, _blocks(F.col("n")), ["band", "value"]).select("band", "value", "here", "there", "block", "cls", "sig")
 
     def run(batches):
         a, b = [], []
@@ -280,7 +287,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     near = components(likely_edges(classes.select("cls", "sig", "bands")))
     near = near.join(classes.select("cls", "class_id", "copies", "chars"), F.col("node") == F.col("cls")).select("cls", F.col("root").alias("component"), "class_id", "copies", "chars")
     near = scratch_table(near, "near")
-    sizes = near.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).alias("_blocks"))
+    sizes = near.groupBy("component").agg(F.greatest(_blocks(F.count("*")), F.ceil(F.sum("chars") / BLOCK_CHARS)).alias("_blocks"))
     placed = near.join(sizes, "component").select("cls", "component", "class_id", "copies", "_blocks")
     if near.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)

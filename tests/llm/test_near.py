@@ -48,6 +48,7 @@ def brute(texts):
 @pytest.mark.parametrize("block", [1000, 7])
 def test_join_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "FINE_BLOCK", min(block, 16))
     texts = near_copies(1, [(40, 120, 4), (25, 60, 3), (3, 300, 2), (2, 30, 1), *[(1, 50, 0)] * 30]) + ["", "a b", "a b", None, "a b c d e"]
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n_links long")
     pairs = brute(texts)
