@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from .inlines import Inlines, Source, normalise_label, parse_definition
-from .nodes import Node
+from .nodes import MAX_NESTING, Node
 
 _THEMATIC = re.compile(r"(?:\*[ \t]*){3,}$|(?:_[ \t]*){3,}$|(?:-[ \t]*){3,}$")
 _ATX = re.compile(r"(#{1,6})(?:[ \t]+|$)")
@@ -41,6 +41,7 @@ class Block:
 
     def __init__(self, kind: str, parent: Block | None, at: int, **fields):
         self.kind, self.parent, self.start, self.end = kind, parent, at, at
+        self.level: int = parent.level + 1 if parent else 0
         self.children: list[Block] = []
         self.lines: list[tuple[str, int]] = []
         self.open = True
@@ -275,7 +276,8 @@ class Blocks:
         rest, at = line.text[line.next :], line.at + line.next
         c = rest[0]
         holder = paragraph.parent if paragraph else block
-        if c == ">":
+        deep = holder.level >= MAX_NESTING
+        if c == ">" and not deep:
             new = self._start("blockquote", holder, at)
             line.to(line.next + 1)
             if line.pos < len(line.text) and line.text[line.pos] in " \t":
@@ -318,7 +320,7 @@ class Blocks:
             new = self._start("footnoteDefinition", holder, at, label=m[1])
             line.to(line.next + m.end())
             return new
-        return self._list_item(block, paragraph, holder, line, rest, at)
+        return None if deep else self._list_item(block, paragraph, holder, line, rest, at)
 
     def _list_item(self, block, paragraph, holder, line, rest, at) -> Block | None:
         m = _BULLET.match(rest)

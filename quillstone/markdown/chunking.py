@@ -31,19 +31,23 @@ def cap(text: str, most: int) -> list[str]:
     there is any. A character of two units is not cut in two."""
     if most < 1:
         raise ValueError("the limit must be 1 or more")
-    out, rest = [], text
-    while len(rest) > most:
-        at = next((i for i in range(most - 1, int(most * 0.8) - 1, -1) if rest[i] in _BLANK), None)
-        if at is not None:
-            piece, rest = rest[:at], trim(rest[at:])
-        else:
-            cut = most
-            if "\ud800" <= rest[cut - 1] <= "\udbff" and "\udc00" <= rest[cut] <= "\udfff":
-                cut = cut - 1 or 2
-            piece, rest = rest[:cut], rest[cut:]
-        if piece := trim(piece):
+    out, start, end = [], 0, len(text)
+    while end - start > most:
+        cut = next((i for i in range(start + most - 1, start + int(most * 0.8) - 1, -1) if text[i] in _BLANK), None)
+        spaced = cut is not None
+        if not spaced:
+            cut = start + most
+            if "\ud800" <= text[cut - 1] <= "\udbff" and "\udc00" <= text[cut] <= "\udfff":
+                cut = cut - 1 if most > 1 else cut + 1
+        if piece := trim(text[start:cut]):
             out.append(piece)
-    return [*out, rest] if rest else out
+        start = cut
+        if spaced:  # what is left is trimmed at both ends
+            while start < end and text[start] in _BLANK:
+                start += 1
+            while end > start and text[end - 1] in _BLANK:
+                end -= 1
+    return [*out, text[start:end]] if end > start else out
 
 
 def cap_all(texts: list[str], most: int) -> list[str]:

@@ -7,7 +7,7 @@ import unicodedata
 from bisect import bisect_right
 from html.entities import html5
 
-from .nodes import Node, plain_text, units
+from .nodes import MAX_NESTING, Node, plain_text, units
 
 ESCAPABLE = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _ENTITY = re.compile(r"&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});")
@@ -280,50 +280,62 @@ class Inlines:
         return j
 
     def _emphasis(self, bottom: int) -> None:
-        """Pair the delimiter runs from ``bottom`` on, then forget them."""
-        runs = self.runs
-        at = bottom
-        while at < len(runs):
-            closer = runs[at]
-            if not closer["close"] or not closer["count"]:
-                at += 1
+        """Pair the delimiter runs from ``bottom`` on, then forget them.
+
+        Nodes move one by one to ``left``; a run that closes takes what is behind its opener there into a new node, so each
+        node is handled about once however long the text is."""
+        runs = self.runs[bottom:]
+        del self.runs[bottom:]
+        if not runs:
+            return
+        first = self._index(runs[0]["node"])
+        pending = self.out[first:]
+        del self.out[first:]
+        run_of = {id(r["node"]): r for r in runs}
+        left: list[Node] = []
+        openers: list[dict] = []
+        floors: dict[tuple, int] = {}  # openers below these have been tried for such a closer
+        for node in pending:
+            run = run_of.get(id(node))
+            if run is None:
+                left.append(node)
                 continue
-            found = None
-            for k in range(at - 1, bottom - 1, -1):
-                o = runs[k]
-                if o["char"] != closer["char"] or not o["open"] or not o["count"]:
-                    continue
-                if closer["char"] == "~":
-                    if o["size"] == closer["size"]:
-                        found = k
-                        break
-                    continue
-                odd = (o["close"] or closer["open"]) and (o["size"] + closer["size"]) % 3 == 0 and not (o["size"] % 3 == 0 and closer["size"] % 3 == 0)
-                if not odd:
-                    found = k
+            kind = (run["char"], run["open"], run["size"] if run["char"] == "~" else run["size"] % 3)
+            while run["close"] and run["count"]:
+                k = next((k for k in range(len(openers) - 1, floors.get(kind, 0) - 1, -1) if self._pairs(openers[k], run)), None)
+                if k is None:
+                    floors[kind] = len(openers)
                     break
-            if found is None:
-                at += 1
-                continue
-            opener = runs[found]
-            use = closer["size"] if closer["char"] == "~" else 2 if opener["count"] >= 2 and closer["count"] >= 2 else 1
-            first, last = opener["node"], closer["node"]
-            a, b = self._index(first), self._index(last)
-            kind = "delete" if closer["char"] == "~" else "strong" if use == 2 else "emphasis"
-            node = Node(kind, self.out[a + 1 : b], start=first.end - use, end=last.start + use)
-            first.value, first.end = first.value[:-use], first.end - use
-            last.value, last.start = last.value[use:], last.start + use
-            opener["count"] -= use
-            closer["count"] -= use
-            self.out[a + 1 : b] = [node]
-            del runs[found + 1 : at]
-            at = found + 1
-            if not opener["count"]:
-                del runs[found]
-                at -= 1
-            if not closer["count"]:
-                at += 1
-        del runs[bottom:]
+                opener = openers[k]
+                use = run["size"] if run["char"] == "~" else 2 if opener["count"] >= 2 and run["count"] >= 2 else 1
+                start = opener["node"]
+                inner = left[opener["at"] + 1 :]
+                height = 1 + max((getattr(n, "height", 0) for n in inner), default=0)
+                if height > MAX_NESTING:
+                    break
+                del left[opener["at"] + 1 :]
+                left.append(Node("delete" if run["char"] == "~" else "strong" if use == 2 else "emphasis", inner, start=start.end - use, end=node.start + use, height=height))
+                start.value, start.end = start.value[:-use], start.end - use
+                node.value, node.start = node.value[use:], node.start + use
+                opener["count"] -= use
+                run["count"] -= use
+                del openers[k + bool(opener["count"]) :]
+                floors = {c: min(n, len(openers)) for c, n in floors.items()}
+            left.append(node)
+            run["at"] = len(left) - 1
+            if run["open"] and run["count"]:
+                openers.append(run)
+        self.out += left
+
+    @staticmethod
+    def _pairs(opener: dict, closer: dict) -> bool:
+        if opener["char"] != closer["char"]:
+            return False
+        if closer["char"] == "~":
+            return opener["size"] == closer["size"]
+        # runs that could do both pair only if their lengths do not add up to a multiple of three, or both are one
+        odd = (opener["close"] or closer["open"]) and (opener["size"] + closer["size"]) % 3 == 0
+        return not odd or (opener["size"] % 3 == 0 and closer["size"] % 3 == 0)
 
     def _index(self, node: Node) -> int:
         return next(k for k in range(len(self.out) - 1, -1, -1) if self.out[k] is node)
@@ -373,7 +385,8 @@ class Inlines:
             alt = "".join(map(plain_text, children))
             node = Node("image" if found else "imageReference", alt=alt, start=start, end=end, **fields)
         else:
-            node = Node("link" if found else "linkReference", self._finish(children, False), start=start, end=end, **fields)
+            height = 1 + max((getattr(n, "height", 0) for n in children), default=0)
+            node = Node("link" if found else "linkReference", self._finish(children, False), start=start, end=end, height=height, **fields)
             for b in self.brackets:
                 if not b["image"]:
                     b["active"] = False

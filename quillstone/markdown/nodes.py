@@ -4,6 +4,9 @@ from __future__ import annotations
 
 PHRASING = frozenset("text emphasis strong delete inlineCode break html link linkReference image imageReference footnoteReference".split())
 
+#: Blocks and formatting nested deeper than this are text: no real document goes so far, and a hostile one must not end a job.
+MAX_NESTING = 100
+
 
 class Node:
     """``type`` and whatever fields that type has; ``children`` is None for leaves, ``start``/``end`` are source offsets."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -149,10 +150,12 @@ def boundaries(tree: Node, markdown: str, options: Options) -> tuple[list[Bounda
     """All boundaries that may be used, best score first, and the length of the plain text."""
     mapping, ranges = plain_map(tree, markdown), penalised_ranges(tree, options)
     locate = mapping.locate if not mapping.literal() else int
+    starts = [r.start for r in ranges]  # ranges do not overlap: at most one is around a position
     found = []
     for name, weight, plain in (*pattern_ends(mapping.plain), *word_ends(mapping.plain, options)):
         md = locate(plain)
-        score = score_boundary(md, weight, ranges) if ranges else weight
+        near = bisect_left(starts, md)
+        score = score_boundary(md, weight, ranges[near - 1 : near]) if near else weight
         if score > -math.inf:
             found.append(Boundary(md, plain, name, weight, score))
     return sorted(found, key=lambda b: (-b.score, b.md)), len(mapping.plain)

@@ -98,3 +98,13 @@ def test_normal_form_is_stable(parts, lead):
     once = normal(lead + " ".join(parts))
     assert normal(once) == once
     assert plain_text(parse(once)) == plain_text(parse(lead + " ".join(parts)))
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["> " * 2000 + "a", "- " * 1500 + "x", "*" * 4000 + "a" + "*" * 4000, "*a **b " * 800 + "** *" * 800, "[" * 5000, "`" * 5000 + "a", "[*a " * 200 + "*](b)" * 200,
+     "\n".join(" " * 2 * i + "- x" for i in range(300)), "\n".join(">" * i + " x" for i in range(300)), "<" * 5000, "_a_" * 3000],
+)
+def test_hostile_nesting_is_survived(text):
+    made = serialise(parse(text))
+    assert "a" in made or "x" in made or "\\[" in made or "<" in made
