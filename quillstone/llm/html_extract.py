@@ -48,7 +48,8 @@ BOILERPLATE = frozenset(
 )
 NEGATED = frozenset("no not has with without".split())
 CONTENT = frozenset(("article", "main"))
-WIDTH = 1.0
+#: Width of the smoothing, in blocks, and how deep elements are followed (what is deeper belongs to the deepest one).
+WIDTH, DEEPEST = 1.0, 256
 
 
 class Element:
@@ -149,7 +150,7 @@ def blocks(page: str) -> list[tuple[str, int, Element]]:
         marked, classes = _marked(tag, m[3] or m[6] or "")
         inside = up.inside or tag in CONTENT
         count += 1
-        if not (m[3] or m[6] or "").endswith("/") or tag in BLOCKS:
+        if len(stack) < DEEPEST and (not (m[3] or m[6] or "").endswith("/") or tag in BLOCKS):
             stack.append(Element(tag, tag + classes, up, up.dropped or marked or tag in DROPPED or (tag == "header" and not inside), inside, count))
     add(page[at:])
     flush()

@@ -199,6 +199,12 @@ def test_small_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_deep_and_broken_pages():
+    assert html_extract.main_text("<div>" * 20000 + "text, here." + "</div>" * 20000) == "text, here."
+    assert html_extract.main_text("<p " * 3000) is not None and html_extract.main_text("<a href='x" * 500) is not None
+    assert html_extract.main_text("<article><p>" + "word, " * 200000 + "</p></article>") == ("word, " * 200000).strip()
+
+
 def test_extract_awkward_rows(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", 5), (1, "u", "<p>a</p>", 5), (None, None, None, None)], "page_id long, url string, html string, n_chars long")
     rows = html_extract.extract(df).collect()
