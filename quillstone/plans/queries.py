@@ -201,14 +201,11 @@ def boundary_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts.where(F.col("type").isin(kinds)).select("doc_id", "type", F.col("n").cast("long").alias("n"))
 
 
-_WORD = "regexp_replace(w, '[^-/._:]', '', 'g')"
-
-
 @query(
     """
     WITH words AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents),
     each AS (SELECT doc_id, length(w) AS n, length(regexp_replace(substr(w, 1, length(w) - 1), '[^-/._:]', '', 'g')) AS p FROM words WHERE length(w) > 0)
-    SELECT doc_id, sum(p) AS word_punct, sum(CASE WHEN n > 12 THEN n - 1 - p ELSE 0 END) AS character FROM each GROUP BY doc_id
+    SELECT doc_id, CAST(sum(p) AS BIGINT) AS word_punct, CAST(sum(CASE WHEN n > 12 THEN n - 1 - p ELSE 0 END) AS BIGINT) AS character FROM each GROUP BY doc_id
     """
 )
 def word_boundaries(spark: SparkSession, d: str) -> DataFrame:
@@ -241,10 +238,10 @@ def content_size_marked(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""
     WITH t AS (SELECT r_regionkey, {_MARKED} AS text, r_name FROM region)
-    SELECT r_regionkey, 'strong' AS type, instr(text, '**') - 1 AS range_start, instr(text, '** and') + 1 AS range_end, 30.0 AS penalty FROM t
-    UNION ALL SELECT r_regionkey, 'link', instr(text, '[') - 1, instr(text, ') `'), 50.0 FROM t
-    UNION ALL SELECT r_regionkey, 'inlineCode', instr(text, '`') - 1, instr(text, '` !'), 50.0 FROM t
-    UNION ALL SELECT r_regionkey, 'image', instr(text, '!') - 1, length(text), 50.0 FROM t
+    SELECT r_regionkey, 'strong' AS type, instr(text, '**') - 1 AS range_start, instr(text, '** and') + 1 AS range_end, CAST(30 AS DOUBLE) AS penalty FROM t
+    UNION ALL SELECT r_regionkey, 'link', instr(text, '[') - 1, instr(text, ') `'), 50 FROM t
+    UNION ALL SELECT r_regionkey, 'inlineCode', instr(text, '`') - 1, instr(text, '` !'), 50 FROM t
+    UNION ALL SELECT r_regionkey, 'image', instr(text, '!') - 1, length(text), 50 FROM t
     """
 )
 def penalised_ranges(spark: SparkSession, d: str) -> DataFrame:
@@ -286,7 +283,7 @@ def balance_bonus(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    SELECT o_orderkey, 100.0 - coalesce((SELECT max(l_linenumber * 10) FROM lineitem
+    SELECT o_orderkey, CAST(100 AS DOUBLE) - coalesce((SELECT max(l_linenumber * 10) FROM lineitem
       WHERE l_orderkey = o_orderkey AND o_custkey % 200 > l_partkey % 150 AND o_custkey % 200 < l_partkey % 150 + l_quantity), 0) AS score FROM orders
     """
 )
