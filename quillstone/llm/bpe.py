@@ -14,6 +14,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,10 @@ class ForcedBoundaryBPE:
         self.inner = [vocab.get(c) for c in alphabet]
         self.final = [vocab.get(c + self.suffix) for c in alphabet]
         self.joined = self._pairs_inside(vocab, alphabet)
+        # the same for ASCII words, as strings of two characters: inside a word, and at its end
+        ascii_ = range(33, 127)
+        self.inside = {chr(a) + chr(b) for a in ascii_ for b in ascii_ if (self.inner[a], self.inner[b]) in self.joined}
+        self.closing = {chr(a) + chr(b) for a in ascii_ for b in ascii_ if (self.inner[a], self.final[b]) in self.joined}
         # only the known kind of pipeline is encoded here; any other is left to the library
         steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
@@ -140,6 +145,10 @@ class ForcedBoundaryBPE:
     def _word(self, word: str) -> bytes:
         """One pre-token's ids. The model adds the word-end suffix to what it encodes, so only a word's last fragment
         can go to it; the others are merged here."""
+        if word.isascii():
+            pairs = [*map(add, word, word[1:])]
+            if not pairs or (pairs.pop() in self.closing and self.inside.issuperset(pairs)):  # no forced boundary
+                return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         *inner, last = self.cut(word)
         shown = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
         ids = array("I", [t.id for t in self.model.tokenize(shown[-len(last) :])]).tobytes()
