@@ -199,7 +199,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     spark = df.sparkSession
     small_batches(spark, 2048)
     reach = sqrt(2 - 2 * cosine) + SLACK
-    source = df.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("rid", F.monotonically_increasing_id())
+    # single-precision vectors travel as such and are scaled again where they are compared: half the bytes, the same cosines
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    source = df.select(F.col(key).alias("vec_id"), F.col(vector).cast(kind).alias("v")).withColumn("rid", F.monotonically_increasing_id())
     rows = scratch_table(source, "vectors")
     n = rows.count()
     sample = rows.select("rid", "v").where("v is not null").orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).collect()
@@ -224,10 +226,16 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             c = x @ p.T
             cell = c.argmax(1)
             d = np.sqrt(np.maximum(0, 2 - 2 * c[np.arange(len(x)), cell]))
-            units = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("rid").take(pa.array(at)), units, pa.array(cell.astype(np.int32)), pa.array(d)], names=["rid", "u", "cell", "d"])
+            kept = [b.column(c).take(pa.array(at)) for c in ("rid", "v")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(cell.astype(np.int32)), pa.array(d)], names=["rid", "v", "cell", "d"])
 
-    homes = scratch_table(rows.select("rid", "v").mapInArrow(assign, "rid long, u array<double>, cell int, d double"), "cells")
+    def units_of(column) -> np.ndarray:
+        """Unit vectors of a column that holds usable vectors only; the same sums as in ``unit``."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        x = np.array(column.flatten(), np.float64).reshape(-1, width)
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+    homes = scratch_table(rows.select("rid", "v").mapInArrow(assign, f"rid long, v {kind}, cell int, d double"), "cells")
     cells = {r["cell"]: (r["n"], r["r"]) for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}  # a row a pivot
     blocks = spark.sparkContext.broadcast({c: ceil(k / BLOCK) for c, (k, _) in cells.items()})
     radii = spark.sparkContext.broadcast({c: r for c, (_, r) in cells.items()})
@@ -237,7 +245,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         p, parts, radius = pivots.value, blocks.value, radii.value
         targets = np.array(sorted(parts))
         for b in batches:
-            x = np.array(b.column("u").flatten()).reshape(-1, width)
+            x = units_of(b.column("v"))
             rid, cell = b.column("rid").to_numpy(), b.column("cell").to_numpy()
             home = (rid * 2654435761 % (1 << 31)) % np.array([parts[c] for c in cell])
             d = np.sqrt(np.maximum(0, 2 - 2 * (x @ p[targets].T)))
@@ -251,7 +259,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             for at in range(0, len(row), 4096):
                 part = row[at : at + 4096]
                 cols = [np.concatenate(x)[at : at + 4096].astype(np.int32) for x in (block_cell, block, role)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(rid[part]), b.column("u").take(pa.array(part))], names=["cell", "block", "role", "rid", "u"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(rid[part]), b.column("v").take(pa.array(part))], names=["cell", "block", "role", "rid", "v"])
 
     def compare(batches):
         def linked(ids, i, j):
@@ -260,10 +268,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             root = roots(len(ids), i, j)
             return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[root[some]])], names=["rid", "links", "root"])
 
-        matrix = lambda t: np.array(t.column("u").combine_chunks().flatten()).reshape(-1, width)
         here, tree, ids = None, None, None
         for (cell, block, role), rows in streamed(batches):
-            x, rid = matrix(rows), rows.column("rid").to_numpy()
+            x, rid = units_of(rows.column("v")), rows.column("rid").to_numpy()
             if role == 0:
                 here, ids, tree = (cell, block), rid, CoverTree(x)
                 i, j = dual(tree, tree, reach, cosine)
@@ -293,7 +300,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         if held:
             yield last, pa.concat_tables(held)
 
-    dealt = homes.select("rid", "u", "cell").mapInArrow(visit, "cell int, block int, role int, rid long, u array<double>")
+    dealt = homes.select("rid", "v", "cell").mapInArrow(visit, f"cell int, block int, role int, rid long, v {kind}")
     dealt = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
     found = scratch_table(dealt.mapInArrow(compare, "rid long, links long, root long"), "links")
     linked = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rid")
