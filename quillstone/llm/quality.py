@@ -76,21 +76,21 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     layer[:, 1] = 1e-2
-    docs = [(p, y) for text, y in sample if (p := pieces(text))]
     # every distinct piece once: its buckets lie at [first, first + size) of one array
     number: dict[str, int] = {}
-    coded = [(np.array([number.setdefault(w, len(number)) for w in p]), y) for p, y in docs]
+    docs = [(np.array([number.setdefault(w, len(number)) for w in p], np.int32), y) for text, y in sample if (p := pieces(text))]
     gram = Kept(bucket, GRAMS_KEPT).__getitem__
     each = [np.array([bucket(own), *map(gram, grams)], np.int32) for own, *grams in map(parts, number)]
     size = np.array([len(b) for b in each])
     first = np.cumsum(size) - size
     table = np.concatenate(each) if each else np.array([], np.int32)
+    del each, number
     steps, done = max(1, EPOCHS * len(docs)), 0
     balance = np.array([len(docs) / (2 * max(1, sum(y == c for _, y in docs))) for c in (0, 1)], np.float32)
     for _ in range(EPOCHS):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), BATCH):
-            batch = [coded[i] for i in order[at : at + BATCH]]
+            batch = [docs[i] for i in order[at : at + BATCH]]
             drawn = [p if len(p) <= PIECES_A_STEP else p[rng.integers(0, len(p), PIECES_A_STEP)] for p, _ in batch]
             counts = np.array([len(p) for p in drawn])
             piece = np.concatenate(drawn)
