@@ -146,12 +146,12 @@ def fit(sample: list[tuple[str, int]], toxic_share: float = 0.5) -> Model:
         return model
     halves: tuple[list, list] = ([], [])
     for text, y in distinct(sample):
-        halves[zlib.crc32(text.encode()) % 3 == 0].append((WORD.findall(text.lower()), y))
+        halves[zlib.crc32(text.encode("utf-8", "surrogatepass")) % 3 == 0].append((text.lower(), y))  # words are made when needed: they take many times the room
     learn, tune = halves if halves[1] else (halves[0], halves[0])
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     size = [1, 1]
-    for words, y in learn:
-        units = set(words)
+    for text, y in learn:
+        units = set(WORD.findall(text))
         counts[y].update(units | {w[:k] + "*" for w in units for k in PREFIXES if len(w) > k})
         size[y] += 1
     base = math.log(size[1] / size[0])
@@ -175,7 +175,7 @@ def fit(sample: list[tuple[str, int]], toxic_share: float = 0.5) -> Model:
 
 
 def _calibrate(model: Model, learn: list, tune: list) -> None:
-    clean = Counter(model.word(w) for words, y in learn + tune if not y for w in words)
+    clean = Counter(model.word(w) for text, y in learn + tune if not y for w in WORD.findall(text))
     positive = [s for s in model.units.values() if s > 0]
     if positive:
         clean[float(np.mean(positive))] += 0.5  # the Dirichlet prior's share of words not yet seen in clean text
@@ -188,7 +188,7 @@ def _calibrate(model: Model, learn: list, tune: list) -> None:
             mid = (low + high) / 2
             low, high = (low, mid) if float(p @ np.exp(np.minimum(mid * s, 700))) > 1 else (mid, high)
         model.lam = max(low, 1e-3)
-    found = [(model.segments(model.scores(words)), len(words), y) for words, y in tune]
+    found = [(model.segments(model.scores(words)), len(words), y) for words, y in ((WORD.findall(text), y) for text, y in tune)]
     best = [(max((x[2] for x in segs), default=0.0), n) for segs, n, y in found if not y] or [(0.0, 1)]
     model.k = len(best) / max(1e-9, sum(max(n, 1) * math.exp(-model.lam * b) for b, n in best))
     x = np.array([max(-50.0, min(50.0, model.excess(segs, n))) for segs, n, _ in found])
