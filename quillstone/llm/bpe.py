@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .util import small_batches
 
 #: Entries of each of the two generations of the caches of white-space-separated pieces (and the words in them) and of fragments.
-PIECES_KEPT, FRAGMENTS_KEPT = 450_000, 20_000
+PIECES_KEPT, FRAGMENTS_KEPT = 350_000, 20_000
 
 #: Texts with these characters (controls, or anything from U+0300 on, where normalisation and Unicode versions matter,
 #: and the dotted capital I, which lower-cases to two characters) are encoded by the tokenizers library itself.

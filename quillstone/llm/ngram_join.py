@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, groups
-from .util import free_names, scratch_table, small_batches
+from .util import free_names, release, scratch_table, small_batches
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 HASHES, BANDS, ROWS, STEP = 128, 20, 5, 16
@@ -30,7 +30,7 @@ HASHES, BANDS, ROWS, STEP = 128, 20, 5, 16
 BLOCK, BLOCK_CHARS, BROADCAST_ROWS = 1000, 1 << 23, 400_000
 #: Groups of more classes than this are dealt out to several tasks, in up to so many blocks before blocks grow to ``BLOCK``.
 FINE_BLOCK, FINE_BLOCKS = 128, 16
-PIECES_KEPT = 300_000
+PIECES_KEPT = 150_000
 
 WORD = re.compile(r"[^\W_]+")
 _RANDOM = np.random.default_rng(20)
@@ -161,6 +161,8 @@ def sketch(df: DataFrame, key: str, text: str) -> DataFrame:
                 bands.append(_mix((v[: BANDS * ROWS].reshape(BANDS, ROWS) * _BAND).sum(1)).view(np.int64))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip((cls, size, chars, sigs, bands), kinds)]], names=["doc_id", "cls", "size", "chars", "sig", "bands"])
+        del shingle
+        release()
 
     source = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(run, f"doc_id {source.schema[0].dataType.simpleString()}, cls long, size long, chars long, sig binary, bands array<long>")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import Kept, labelled_sample, small_batches
+from .util import Kept, labelled_sample, release, small_batches
 
 #: Bound of the labelled sample, of each class.
 PER_CLASS = 1500
@@ -30,7 +30,7 @@ EPOCHS, BATCH, RATE, PIECES_A_STEP, SEED = 6, 32, 0.5, 96, 7
 #: Document folds: labels of fold ``HELD_OUT`` are never learned from.
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5
 #: Entries of each generation of the scoring caches of pieces and of n-grams.
-PIECES_KEPT, GRAMS_KEPT = 500_000, 300_000
+PIECES_KEPT, GRAMS_KEPT = 150_000, 100_000
 REPEATED = "\x00same"
 
 
@@ -158,5 +158,7 @@ def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str
                 out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, mean + m.offset)))))
             s = np.array(out, float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*kept, *new])
+        del of, gram, weight, weigh
+        release()
 
     return source.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import crc_fold, labelled_sample, small_batches
+from .util import crc_fold, labelled_sample, release, small_batches
 
 #: Bound of the labelled sample, of each class.
 PER_CLASS = 2500
@@ -39,7 +39,7 @@ SKETCH = 6
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: A passage is significant if fewer than this many like it are expected in a clean text of its length.
 E_VALUE = 0.05
-PIECES_KEPT = 200_000
+PIECES_KEPT = 150_000
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -248,5 +248,7 @@ def detect(df: DataFrame, model: Model, text: str = "text", names: tuple[str, st
                 where.append([{"start": i, "end": j, "score": s, "e_value": e} for i, j, s in segments if (e := m.expected(s, len(words))) < E_VALUE])
             score = np.array(out, float)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(where, kind)], names=[*kept, *new])
+        del scores_of
+        release()
 
     return source.mapInArrow(run, schema)
