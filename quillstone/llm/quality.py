@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -25,20 +26,24 @@ from .util import Kept, labelled_sample, release, small_batches
 
 #: Bound of the labelled sample, of each class.
 PER_CLASS = 1500
-BUCKETS, DIMENSIONS, GRAMS, LONGEST = 1 << 17, 16, (2, 3, 4), 40
+BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE, PIECES_A_STEP, SEED = 6, 32, 0.5, 96, 7
 #: Document folds: labels of fold ``HELD_OUT`` are never learned from.
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5
 #: Entries of each generation of the scoring caches of pieces and of n-grams.
 PIECES_KEPT, GRAMS_KEPT = 150_000, 100_000
+#: Pieces of more characters are not cached; their n-grams are hashed as arrays, so many characters (or n-grams) at a time.
+LONG, SLAB = 80, 1 << 16
+#: Documents of more n-grams in a step are added up by bucket first (no document without long pieces has so many).
+MANY = PIECES_A_STEP * (1 + len(GRAMS) * (LONG + 1))
 REPEATED = "\x00same"
 
 
 def parts(piece: str) -> list[str]:
-    """A piece and its character n-grams (of its first and last characters, if very long)."""
+    """A piece and its character n-grams."""
     if piece == REPEATED:
         return [piece]
-    body = f"<{piece if len(piece) <= 2 * LONGEST else piece[:LONGEST] + piece[-LONGEST:]}>"
+    body = f"<{piece}>"
     return [piece, *[body[i : i + n] for n in GRAMS for i in range(len(body) - n + 1)]]
 
 
@@ -50,6 +55,40 @@ def buckets(piece: str) -> list[int]:
     return list(map(bucket, parts(piece)))
 
 
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = (_CRC >> np.uint32(1)) ^ (np.uint32(0xEDB88320) * (_CRC & np.uint32(1)))
+
+
+def long_buckets(piece: str) -> Iterator[np.ndarray]:
+    """The ``buckets`` of a long piece in arrays of bounded size: CRC-32 of the UTF-8 form, for all n-grams at once."""
+    yield np.array([bucket(piece)])
+    body = f"<{piece}>"
+    for at in range(0, len(body), SLAB):
+        c = np.frombuffer(body[at : at + SLAB + max(GRAMS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        two, three, four = c >= 0x80, c >= 0x800, c >= 0x10000
+        first = np.select([four, three, two], [0xF0 | c >> 18, 0xE0 | c >> 12, 0xC0 | c >> 6], c)
+        steps = [(None, first), *[(there, 0x80 | (c >> shift & 0x3F)) for there, shift in ((four, 12), (three, 6), (two, 0)) if there.any()]]
+        state = np.full(len(c), 0xFFFFFFFF, np.uint32)
+        for n in range(1, max(GRAMS) + 1):
+            last = min(SLAB, len(c) - n + 1)
+            if last <= 0:
+                break
+            state = state[:last]
+            for there, byte in steps:
+                new = _CRC[(state ^ byte[n - 1 : n - 1 + last]) & 0xFF] ^ (state >> 8)
+                state = new if there is None else np.where(there[n - 1 : n - 1 + last], new, state)
+            if n in GRAMS:
+                yield 1 + (~state % np.uint32(BUCKETS - 1)).astype(np.int64)
+
+
+class Pieces(Kept):
+    """A cache of pieces that computes long ones each time."""
+
+    def __missing__(self, piece):
+        return self.make(piece) if len(piece) > LONG else super().__missing__(piece)
+
+
 def pieces(text: str | None) -> list[str]:
     words = (text or "").split()
     return [x for i, w in enumerate(words) for x in ((w, REPEATED) if i and words[i - 1] == w else (w,))]
@@ -80,11 +119,31 @@ def fit(sample: list[tuple[str, int]]) -> Model:
     number: dict[str, int] = {}
     docs = [(np.array([number.setdefault(w, len(number)) for w in p], np.int32), y) for text, y in sample if (p := pieces(text))]
     gram = Kept(bucket, GRAMS_KEPT).__getitem__
-    each = [np.array([bucket(own), *map(gram, grams)], np.int32) for own, *grams in map(parts, number)]
-    size = np.array([len(b) for b in each])
+    size = np.array([1 if w == REPEATED else 1 + sum(max(0, len(w) + 3 - n) for n in GRAMS) for w in number], np.int64)
     first = np.cumsum(size) - size
-    table = np.concatenate(each) if each else np.array([], np.int32)
-    del each, number
+    table = np.empty(size.sum(), np.int32)
+    for w, at, n in zip(number, first.tolist(), size.tolist()):
+        if len(w) > LONG:
+            for ids in long_buckets(w):
+                table[at : at + len(ids)] = ids
+                at += len(ids)
+        else:
+            own, *grams = parts(w)
+            table[at : at + n] = [bucket(own), *map(gram, grams)]
+    del number
+
+    def totals(drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct buckets of the drawn pieces of a document and their weights."""
+        piece, times = np.unique(drawn, return_counts=True)
+        n = size[piece]
+        ends, weight, sums = np.cumsum(n), times / n / len(drawn), np.zeros(BUCKETS)
+        for at in range(0, int(ends[-1]), SLAB * 16):
+            place = np.arange(at, min(int(ends[-1]), at + SLAB * 16))
+            which = np.searchsorted(ends, place, "right")
+            sums += np.bincount(table[first[piece[which]] + place - (ends - n)[which]], weight[which], BUCKETS)
+        some = np.flatnonzero(sums)
+        return some, sums[some].astype(np.float32)
+
     steps, done = max(1, EPOCHS * len(docs)), 0
     balance = np.array([len(docs) / (2 * max(1, sum(y == c for _, y in docs))) for c in (0, 1)], np.float32)
     for _ in range(EPOCHS):
@@ -92,15 +151,21 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         for at in range(0, len(order), BATCH):
             batch = [docs[i] for i in order[at : at + BATCH]]
             drawn = [p if len(p) <= PIECES_A_STEP else p[rng.integers(0, len(p), PIECES_A_STEP)] for p, _ in batch]
-            counts = np.array([len(p) for p in drawn])
-            piece = np.concatenate(drawn)
-            n = size[piece]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            ids = table[np.repeat(first[piece], n) + within]
-            owner = np.repeat(np.repeat(np.arange(len(batch)), counts), n)
-            weight = np.repeat(1 / n / np.repeat(counts, counts), n).astype(np.float32)
+            many = {k: totals(p) for k, p in enumerate(drawn) if size[p].sum() > MANY}
+            few = np.array([k for k in range(len(batch)) if k not in many], np.int64)
+            hidden = np.zeros((len(batch), DIMENSIONS), np.float32)
+            if len(few):
+                counts = np.array([len(drawn[k]) for k in few])
+                piece = np.concatenate([drawn[k] for k in few])
+                n = size[piece]
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                ids = table[np.repeat(first[piece], n) + within]
+                owner = np.repeat(np.repeat(few, counts), n)
+                weight = np.repeat(1 / n / np.repeat(counts, counts), n).astype(np.float32)
+                hidden[few] = np.add.reduceat(vectors[ids] * weight[:, None], np.searchsorted(owner, few))
+            for k, (some, share) in many.items():
+                hidden[k] = share @ vectors[some]
             y = np.array([c for _, c in batch])
-            hidden = np.add.reduceat(vectors[ids] * weight[:, None], np.searchsorted(owner, np.arange(len(batch))))
             logits = hidden @ layer + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -110,11 +175,14 @@ def fit(sample: list[tuple[str, int]]) -> Model:
             grad = p @ layer.T
             layer -= rate * hidden.T @ p / len(batch) * 4
             bias -= rate * p.mean(0)
-            by_bucket = np.argsort(ids, kind="stable")
-            found = ids[by_bucket]
-            starts = np.flatnonzero(np.diff(found, prepend=-1))
-            step = weight[by_bucket, None] * grad[owner[by_bucket]]
-            vectors[found[starts]] -= rate * 4 * np.add.reduceat(step, starts)
+            if len(few):
+                by_bucket = np.argsort(ids, kind="stable")
+                found = ids[by_bucket]
+                starts = np.flatnonzero(np.diff(found, prepend=-1))
+                step = weight[by_bucket, None] * grad[owner[by_bucket]]
+                vectors[found[starts]] -= rate * 4 * np.add.reduceat(step, starts)
+            for k, (some, share) in many.items():
+                vectors[some] -= rate * 4 * share[:, None] * grad[k]
             done += len(batch)
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
@@ -144,10 +212,15 @@ def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str
         gram = Kept(lambda part: weight[bucket(part)], GRAMS_KEPT).__getitem__
 
         def weigh(piece: str) -> float:
+            if len(piece) > LONG:
+                total = count = 0
+                for ids in long_buckets(piece):
+                    total, count = total + float(m.weights[ids].sum(dtype=np.float64)), count + len(ids)
+                return total / count
             own, *grams = parts(piece)
             return (weight[bucket(own)] + sum(map(gram, grams))) / (1 + len(grams))
 
-        of = Kept(weigh, PIECES_KEPT).__getitem__
+        of = Pieces(weigh, PIECES_KEPT).__getitem__
         repeated = m.piece(REPEATED)
         for b in batches:
             out = []

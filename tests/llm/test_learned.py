@@ -1,8 +1,10 @@
 """Quality, toxicity, main text, and the pipeline."""
 
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +137,31 @@ def test_scoring_is_the_models(spark):
     assert quality.pieces("a a b") == ["a", "a", quality.REPEATED, "b"]
 
 
+@pytest.mark.parametrize("slab", [1 << 16, 7])
+def test_long_pieces_count_whole(spark, monkeypatch, slab):
+    monkeypatch.setattr(quality, "SLAB", slab)
+    rng = random.Random(3)
+    for letters in ("ab", "aéß", "文章質", "a文😀é\udc80"):
+        for n in (81, 90, 300):
+            piece = "".join(rng.choices(letters, k=n))
+            assert sorted(x for ids in quality.long_buckets(piece) for x in ids) == sorted(quality.buckets(piece))
+            assert len(quality.buckets(piece)) == 1 + 3 * n  # n + 1, n and n - 1 n-grams of two, three and four characters
+
+
+def test_documents_that_differ_in_the_middle(spark, monkeypatch):
+    ends = "文" * 40
+    text = lambda i, letters: ends + "".join(random.Random(i).choices(letters, k=400)) + ends
+    sample = [(text(i, "良好質量"), 1) for i in range(60)] + [(text(i, "壞垃圾差"), 0) for i in range(60)]
+    model = quality.fit(sample)
+    df = spark.createDataFrame([(1, text(901, "良好質量")), (2, text(902, "壞垃圾差"))], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.score(df, model).collect()}
+    assert got[1].predicted == 1 and got[2].predicted == 0
+    for i, letters in ((1, "良好質量"), (2, "壞垃圾差")):
+        assert abs(got[i].score - 1 / (1 + math.exp(-model.piece(text(900 + i, letters)) - model.offset))) < 1e-6
+    monkeypatch.setattr(quality, "MANY", 10)  # by bucket first: the same up to rounding
+    assert np.allclose(quality.fit(sample).weights, model.weights, atol=1e-4)
+
+
 @pytest.mark.parametrize("operator", ["toxicity", "quality"])
 def test_without_labels(spark, awkward, operator):
     docs = awkward.select("doc_id", "text")
