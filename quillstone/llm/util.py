@@ -96,11 +96,12 @@ SAMPLE_CHARS = 24_000_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int):
-    """At most ``per_class`` labelled texts of each class from the folds that are not held out, of at most ``SAMPLE_CHARS``
-    characters together (texts are taken whole or not at all).
+    """The texts of at most ``per_class`` labelled ids of each class from the folds that are not held out, of at most
+    ``SAMPLE_CHARS`` characters together: texts are taken whole, and one that does not fit any more is left out by itself.
 
-    The choice is by a hash of the id, so it does not depend on file order or partitioning. Rows with a null id,
-    label or other label value than 0 and 1 are skipped; an id labelled twice counts with its larger label.
+    The choice is by a hash of the id (of an id with several texts, one is taken in each turn), so it does not depend on
+    file order or partitioning. Rows with a null id, label or other label value than 0 and 1 are skipped; an id labelled
+    twice counts with its larger label; repeated rows count once. A class none of whose texts fits is an error.
     Returns a list of (text, label) on the driver, of bounded size.
     """
     ids = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
@@ -109,12 +110,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     for y in (0, 1):
         part = ids.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    # at most per_class rows a class (times the rows that repeat an id) get here
-    so_far = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = found.withColumn("_chars", F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).over(so_far)).where(F.col("_chars") <= SAMPLE_CHARS)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    found = found.withColumns({"_hash": F.xxhash64("text"), "_chars": F.length("text").cast("long")})
+    stored = found = scratch_table(found.dropDuplicates(["_y", "doc_id", "_hash"]), "sample")
+    chars = {r["_y"]: r["n"] for r in found.groupBy("_y").agg(F.sum("_chars").alias("n")).collect()}
+    if any(n > SAMPLE_CHARS for n in chars.values()):
+        turn = F.row_number().over(Window.partitionBy("_y", "doc_id").orderBy("_hash"))
+        listed = found.drop("text").withColumn("_turn", turn).orderBy("_turn", F.xxhash64("_id"), "_id", "doc_id")
+        room, taken = dict.fromkeys(chars, SAMPLE_CHARS), []
+        for r in listed.toLocalIterator():
+            if r["_chars"] <= room[r["_y"]]:
+                room[r["_y"]] -= r["_chars"]
+                taken.append((r["_y"], r["doc_id"], r["_hash"]))
+        for y, n in chars.items():
+            if n and room[y] == SAMPLE_CHARS:
+                raise ValueError(f"every labelled text with {label} = {y} is longer than {SAMPLE_CHARS} characters")
+        keys = ["_y", "doc_id", "_hash"]
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame(taken, found.select(*keys).schema)), keys)
     best: dict = {}
     for r in found.select("doc_id", "text", "_y").collect():
-        key = (r["doc_id"], r["text"] or "")
+        key = (r["doc_id"], r["text"])
         best[key] = max(best.get(key, 0), r["_y"])
+    drop_scratch(stored)
     return [(text, y) for (_, text), y in sorted(best.items())]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstone.llm import html_extract, quality, toxicity
+from quillstone.llm import html_extract, quality, toxicity, util
 from quillstone.llm.queries import QUERIES
 from quillstone.llm.util import crc_fold, crc_fold_py, labelled_sample
 
@@ -33,6 +33,24 @@ def test_sample_is_bounded_and_held_out(spark):
     assert labelled_sample(docs, odd, "toxic", 4, 2, 10) == []
 
 
+def test_sample_leaves_out_only_what_does_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(util, "SAMPLE_CHARS", 100)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    kept = [i for i in range(20) if crc_fold_py(i, 4) != 2]
+    ones, zeros = [i for i in kept if i % 2], [i for i in kept if i % 2 == 0]
+    sample = lambda rows, size=100: labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", 4, 2, size)
+    for giant in ones:  # whichever comes first in the order
+        rows = [(i, "x" * 101 if i == giant else f"text {i}") for i in kept]
+        assert sorted(sample(rows)) == sorted((f"text {i}", i % 2) for i in kept if i != giant)
+    # many rows of one id count once; many texts of one id leave the others in
+    rows = [(i, f"text {i}") for i in kept]
+    assert sorted(sample(rows + [(ones[0], f"text {ones[0]}")] * 50 + [(ones[1], None)] * 50)) == sorted([*((f"text {i}", i % 2) for i in kept), ("", 1)])
+    got = sample(rows + [(i, f"{k:08}") for i in ones for k in range(30)])
+    assert {t for t, y in got if y == 0} == {f"text {i}" for i in zeros} and 92 < sum(len(t) for t, y in got if y) <= 100
+    with pytest.raises(ValueError, match="toxic = 1"):
+        sample([(i, "x" * 101 if i % 2 else "y") for i in kept])
+
+
 # -- toxicity
 
 
