@@ -48,6 +48,8 @@ BOILERPLATE = frozenset(
 )
 NEGATED = frozenset("no not has with without".split())
 CONTENT = frozenset(("article", "main"))
+#: Elements that can hold an article; of others the one around them does.
+HOLDERS = CONTENT | frozenset("body center div html section td th".split())
 #: Width of the smoothing, in blocks, and how deep elements are followed (what is deeper belongs to the deepest one).
 WIDTH, DEEPEST = 1.0, 256
 
@@ -81,6 +83,8 @@ def blocks(page: str) -> list[tuple[str, int, Element]]:
     """The text blocks in page order: (text, characters of it that are link text, innermost block element)."""
     root = Element("", "", None, False, False, 0)
     stack, out, text, links, at, count = [root], [], [], 0, 0, 0
+    deep: list[str] = []  # the open elements that are too deep for the stack, and how many there are of each tag
+    deeper: dict[str, int] = {}
 
     def flush():
         nonlocal links
@@ -103,6 +107,7 @@ def blocks(page: str) -> list[tuple[str, int, Element]]:
         if any(e.tag in BLOCKS for e in stack[index:]):
             flush()
         del stack[index:]
+        deep.clear(), deeper.clear()
 
     while m := _TAG.search(page, at):
         add(page[at : m.start()])
@@ -113,6 +118,14 @@ def blocks(page: str) -> list[tuple[str, int, Element]]:
                 add(entities.escape(m[0][9:-3]))
             continue
         if m[1] or m[4]:
+            if deeper.get(tag):
+                if tag in BLOCKS:
+                    flush()
+                last = None
+                while last != tag:
+                    last = deep.pop()
+                    deeper[last] -= 1
+                continue
             index = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), None)
             if index is not None:
                 close(index)
@@ -150,7 +163,12 @@ def blocks(page: str) -> list[tuple[str, int, Element]]:
         marked, classes = _marked(tag, m[3] or m[6] or "")
         inside = up.inside or tag in CONTENT
         count += 1
-        if len(stack) < DEEPEST and (not (m[3] or m[6] or "").endswith("/") or tag in BLOCKS):
+        if (m[3] or m[6] or "").endswith("/") and tag not in BLOCKS:
+            continue
+        if len(stack) >= DEEPEST:
+            deep.append(tag)
+            deeper[tag] = deeper.get(tag, 0) + 1
+        else:
             stack.append(Element(tag, tag + classes, up, up.dropped or marked or tag in DROPPED or (tag == "header" and not inside), inside, count))
     add(page[at:])
     flush()
@@ -206,14 +224,15 @@ def main_text(page: str | None) -> str:
         best = max(weight, key=lambda e: (weight[e], e.order))
         orders = {e.order for e in weight if e.parent is best.parent and e.tag == best.tag}
         return "\n".join(text for text, _, e in found if orders & set(_orders(e)))
-    # without such an element: from the first chosen block to the last, inside the innermost element that holds them all
+    # without such an element: the innermost holder of all chosen blocks, and the heading before the first of them
     picked = [e for (_, _, e), c in zip(found, chosen) if c]
-    orders = set.intersection(*(set(_orders(e)) for e in picked))
-    holder = max(orders)
-    first, last = np.flatnonzero(chosen)[[0, -1]]
+    shared = set.intersection(*(set(_orders(e)) for e in picked))
+    holder = picked[0]
+    while holder.parent is not None and (holder.order not in shared or holder.tag not in HOLDERS):
+        holder = holder.parent
+    first = int(np.flatnonzero(chosen)[0])
     heading = max((i for i in range(first) if found[i][2].tag in ("h1", "h2", "h3")), default=first)
-    kept = [i for i in range(min(first, heading), last + 1) if _within(found[i][2], holder) or i == heading]
-    return "\n".join(found[i][0] for i in kept if found[i][1] < 0.7 * len(found[i][0]) or chosen[i])
+    return "\n".join(text for i, (text, _, e) in enumerate(found) if i == heading or _within(e, holder.order))
 
 
 def _orders(e: Element | None) -> list[int]:

@@ -244,6 +244,22 @@ def test_small_pages(page, text):
     assert html_extract.main_text(page) == text
 
 
+def test_all_of_an_article_in_a_div():
+    long = [f"Part {i}, " + "some words, and more. " * 18 for i in range(8)]
+    parts = [("address", "By Someone"), ("h1", "Title"), *[("p", x.strip()) for x in long], ("h2", "See also"), *[("li", f"a short item of the list no {i}") for i in range(3)], ("li", "<a href=x>All of it a link</a>")]
+    inner = "".join(f"<{t}>{x}</{t}>" for t, x in parts)
+    page = f"<body><div><span>Site</span></div><div class=wrap><div class=menu><ul><li><a href=1>x</a></ul></div><div class=post>{inner}<div class=share>Share, now.</div></div></div><div>End</div></body>"
+    want = "\n".join("All of it a link" if "href" in x else x for _, x in parts)
+    assert html_extract.main_text(page) == want
+    one = f"<body><div class=post><h2>Title</h2><p>Short.</p><p>{long[0]}</p><p>End</p></div></body>"
+    assert html_extract.main_text(one) == f"Title\nShort.\n{long[0].strip()}\nEnd"
+
+
+def test_end_tags_of_deep_elements():
+    nested = "<div>" * 400 + "<ul><li>x, y.<li>z</ul>" + "</div>" * 400
+    assert html_extract.main_text(f"<div><div class=sidebar>{nested}<p>Still aside, here.</p></div><p>yes</p></div>") == "yes"
+
+
 def test_deep_and_broken_pages():
     assert html_extract.main_text("<div>" * 20000 + "text, here." + "</div>" * 20000) == "text, here."
     assert html_extract.main_text("<p " * 3000) is not None and html_extract.main_text("<a href='x" * 500) is not None
