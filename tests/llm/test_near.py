@@ -45,6 +45,15 @@ def brute(texts):
     return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
 
 
+def test_bands_miss_no_more_than_the_tolerance():
+    assert (1 - ngram_join.THRESHOLD**ngram_join.ROWS) ** ngram_join.BANDS <= ngram_join.TOLERANCE
+    rng = np.random.default_rng(5)
+    for _ in range(3000):  # 20 bands miss one such pair in 2,800
+        common, a, b = np.split(rng.integers(0, 1 << 63, 100, dtype=np.uint64), [80, 90])
+        x, y = (ngram_join.signature(np.concatenate([common, s])).reshape(-1, ngram_join.ROWS) for s in (a, b))
+        assert len(x) == ngram_join.BANDS and (x == y).all(1).any()
+
+
 @pytest.mark.parametrize("block", [1000, 7])
 def test_join_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
