@@ -67,6 +67,22 @@ LICENSES = {
     "0. You just DO WHAT THE FUCK YOU WANT TO.",
 }
 
+#: Digests of the canonical forms of whole licences, as Debian has them in /usr/share/common-licenses.
+DIGESTS = {
+    "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847": "Apache-2.0",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71": "GFDL-1.2",
+    "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6": "GFDL-1.3",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68": "GPL-3.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354": "MPL-1.1",
+    "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9": "MPL-2.0",
+}
+
 #: One-line notices. Each has a word that begins with "licens", which lets other lines be passed over.
 NOTICES = {
     "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
@@ -88,6 +104,16 @@ NOTICES = {
     "SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0",
 }
 
+#: More of them: the SPDX ids that ``NOTICES`` has not.
+SPDX = {
+    f"SPDX-License-Identifier: {name}{suffix}": name
+    for names, suffixes in (
+        ("BSD-2-Clause ISC 0BSD WTFPL Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 MPL-1.1 MPL-2.0", ("",)),
+        ("GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 GFDL-1.2 GFDL-1.3", ("", "+", "-only", "-or-later")),
+    )
+    for name in names.split() for suffix in suffixes if (name, suffix) != ("GPL-3.0", "-only")
+}
+
 #: A line that opens with a copyright sign, or with the word and a sign, year or placeholder.
 _COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n©(]*(©|\([cC]\)[ \t]|(?i:copyright)[ \t]*(©|\([cC]\)|[0-9<\[]))[^\n]*"
 _NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -123,14 +149,15 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     are read, so other columns cannot clash; an empty table gives no rows.
     """
     spark = df.sparkSession
-    by_text = {t: n for t, n in NOTICES.items()}
+    by_text = NOTICES | SPDX
+    # notices that differ in punctuation only ("GPL-3.0+", "GPL-3.0") have one digest
     lookup = F.map_from_entries(F.array_distinct(F.array(*[F.struct(digest(F.lit(t)), F.lit(n)) for t, n in by_text.items()])))
     marked = F.filter(F.split(F.col("_text"), "\n"), lambda line: F.lower(line).contains(_MARK))
     names = F.array_compact(F.transform(marked, lambda line: F.try_element_at(lookup, digest(line))))
     notices = F.when(F.lower("_text").contains(_MARK), F.array_join(F.array_sort(F.array_distinct(names)), ",")).otherwise(F.lit(""))
     docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     docs = docs.select("doc_id", digest(F.col("_text")).alias("canonical_sha256"), notices.alias("notices"))
-    texts = known(spark, LICENSES)
+    texts = known(spark, LICENSES).unionByName(spark.createDataFrame(list(DIGESTS.items()), "known_digest string, license string"))
     return docs.join(F.broadcast(texts), docs.canonical_sha256 == texts.known_digest, "left").select("doc_id", "canonical_sha256", "license", "notices")
 
 

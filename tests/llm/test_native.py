@@ -166,3 +166,14 @@ def test_sharding_awkward_rows(spark, awkward):
 def test_trees_grow(regions):
     tree = sharding.grown(sharding.topology(regions, 2, 2))
     assert max(s for racks in tree.values() for shards in racks.values() for s in shards) == regions * 4
+
+
+def test_whole_licences_and_spdx_ids(spark):
+    texts = {n: open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read() for n, f in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"))}
+    rows = [(n, t) for n, t in texts.items()] + [(n + " wrapped", t.upper().replace("\n", "\n\n * ")) for n, t in texts.items() if n == "MPL-2.0"]
+    rows += [(f"id {n}", f"# SPDX-License-Identifier: {n}\ncode") for n in ("LGPL-2.1-or-later", "MPL-2.0", "AGPL-3.0-only", "BSD-2-Clause", "GPL-2.0+")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert all(got[n].license == n for n in texts) and got["MPL-2.0 wrapped"].license == "MPL-2.0"
+    assert {k[3:]: r.notices for k, r in got.items() if k.startswith("id ")} == {
+        "LGPL-2.1-or-later": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "AGPL-3.0-only": "AGPL-3.0", "BSD-2-Clause": "BSD-2-Clause", "GPL-2.0+": "GPL-2.0",
+    }
