@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import small_batches
+from .util import bounded_batches
 
 #: Entries of each of the two generations of the caches of white-space-separated pieces (and the words in them) and of fragments.
 PIECES_KEPT, FRAGMENTS_KEPT = 350_000, 20_000
@@ -179,7 +179,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     ones are replaced); repeated rows are encoded alike; an empty table gives an empty table. Decoding here, rather than by
     ``decode`` afterwards, saves a second worker in each task and a second trip of the ids.
     """
-    small_batches(df.sparkSession, 64)
+    bounded_batches(df.sparkSession)
     new = [ids, *[decoded] * bool(decoded)]
     kept = [c for c in df.columns if c not in new]
     source = df.select(*[F.col(f"`{c}`") for c in kept])
@@ -201,7 +201,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the text that its token ids stand for; a null array gives a null text, an empty one an empty text."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c != decoded]
     source = df.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*source.schema.fields, T.StructField(decoded, T.StringType())])

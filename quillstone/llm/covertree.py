@@ -1,33 +1,38 @@
 """Embedding near-duplicates by dual traversal of cover trees.
 
-On unit vectors cosine >= c is distance <= sqrt(2 - 2c). The upper level of the tree is a set of pivots: every vector lives
-in the cell of its nearest pivot, and visits a later cell only if its distance to that cell's pivot is within the cell's
-covering radius plus the threshold distance. In a task the vectors of one block of a cell and the visitors each get a cover
-tree (nested levels, halving radii, exact covering radii; only the lowest level for visitors), and pairs of nodes are
-expanded together: a pair is dropped if its centres are farther apart than both radii and the threshold distance together.
-What is left is decided by the cosine in double precision, so the pairs are exact; the pivots only decide how much work is
-saved.
-
-Kernels return a count and one edge for each linked vector, never the pairs. A cell too large for one task is cut into
-blocks; visitors stream past a block batch by batch.
+On unit vectors cosine >= c is distance <= sqrt(2 - 2c). Equal vectors are one class, so that a vector which many rows hold
+is compared once. The upper level of the tree, for each length of vectors, is a set of pivots: every vector lives in the
+cell of its nearest pivot, cells too large for one task are cut into blocks, and a vector visits another block only if its
+distance to that cell's pivot is within the cell's covering radius plus the threshold distance. Of two blocks one is at
+home and the other visits, in turns, so that each block is host to about half of the others. In a task the block at home
+and each visiting block get a cover tree (nested levels, halving radii, exact covering radii, built when asked for), and
+pairs of nodes are expanded together: a pair is dropped if its centres are farther apart than both radii and the threshold
+distance together. What is left is decided by the cosine in double precision, so the pairs are exact; the pivots only decide
+how much work is saved.
+
+Kernels return a count and one edge for each linked vector, never the pairs. Visitors stream past a block at home, some
+thousands at a time. Where vectors are so far apart that no bound prunes, each travels once for every second block: blocks
+grow with the table up to ``MOST`` numbers, so that up to millions of vectors a vector travels to a fixed number of tasks.
 """
 
 from __future__ import annotations
 
-from math import ceil, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, groups
-from .ngram_join import roots
-from .util import scratch_table, small_batches
+from .components import groups, representative, resolve, roots
+from .util import Scratch, bounded_batches, slices
 
 COSINE = 0.95
-#: Vectors meant for a block, the most pivots, the vectors they are chosen from, and the visitors treated at a time.
-BLOCK, PIVOTS, SAMPLE, VISITORS = 4096, 1024, 4096, 4096
+#: Blocks that vectors of one length are cut into, unless they would have fewer vectors than ``LEAST`` or more numbers than
+#: ``MOST``; the most pivots of a length, the lengths that get any, the vectors that all pivots are chosen from, and the
+#: visitors treated at a time.
+BLOCKS, LEAST, MOST, PIVOTS, LENGTHS, SAMPLE, VISITORS = 16, 256, 1 << 22, 1024, 16, 4096, 8192
 #: Slack on distances and on cosines in single precision: bounds must never drop a pair that the cosine would link.
 SLACK = 1e-5
 #: Candidates for centres looked at together, and pairs of members that are compared without looking further down.
@@ -36,17 +41,19 @@ CENTRES, SMALL = 256, 4096
 SLAB = 1 << 18
 
 
-def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(indices of usable rows, their unit vectors): no nulls, no null or non-finite components, not zero, the batch's
-    most frequent length."""
-    rows = column.to_pylist()
-    usable = [i for i, r in enumerate(rows) if r and None not in r]
-    if not usable:
-        return np.array([], int), np.zeros((0, 0))
-    x = np.array([rows[i] for i in usable], np.float64)
-    norm = np.sqrt((x * x).sum(1))
-    good = np.isfinite(x).all(1) & (norm > 0) & np.isfinite(norm)
-    return np.array(usable)[good], x[good] / norm[good, None]
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows scaled to length 1; first by their largest component, so that no square overflows or vanishes. Rows that
+    are zero or hold non-finite numbers become NaN."""
+    with np.errstate(all="ignore"):
+        most = np.abs(x).max(1, initial=0.0)
+        x = x / np.where(np.isfinite(most) & (most > 0), most, np.nan)[:, None]
+        return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def matrix(column) -> np.ndarray:
+    """A column of lists of one length, without nulls, as rows of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.array(column.flatten(), np.float64).reshape(len(column), -1)
 
 
 class Node:
@@ -64,15 +71,11 @@ class Node:
 
 class CoverTree:
     """Nodes over rows of ``x``; a node's children have centres farther apart than half its radius and cover it. Levels are
-    built when they are asked for. A ``flat`` tree has the vectors themselves right below its root: its own levels would be
-    met once only, so building them would cost more than they prune."""
+    built when they are asked for."""
 
-    def __init__(self, x: np.ndarray, flat: bool = False):
+    def __init__(self, x: np.ndarray):
         self.x, self.short = x, x.astype(np.float32)
-        members = np.arange(len(x))
-        self.root = Node(0, 2.0, members) if len(x) else None
-        if flat and len(x):
-            self.root.children = [Node(i, 0.0, members[i : i + 1]) for i in range(len(x))]
+        self.root = Node(0, 2.0, np.arange(len(x))) if len(x) else None
 
     def children(self, node: Node) -> list[Node]:
         """The next level below: radius halved; a single vector, or equal ones, stay."""
@@ -188,111 +191,111 @@ def pivots_of(x: np.ndarray, most: int) -> np.ndarray:
     return x[chosen]
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """Per vector: vec_id, n_links (other vectors with cosine >= ``cosine``), component_id (least id reachable by links),
-    kept (the row has that id).
+def upper_level(classes: DataFrame) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+    """How many vectors there are of each of the ``LENGTHS`` commonest lengths, and pivots for those that fill more than one
+    block: a row for each length and at most ``SAMPLE`` vectors come to the driver."""
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()}
+    wanted = {d: min(PIVOTS, parts_of(n, d)) for d, n in sizes.items() if parts_of(n, d) > 1}
+    if not wanted:
+        return sizes, {}
+    drawn = classes.where(F.col("dim").isin(list(wanted))).orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE)
+    found: dict[int, list] = {}
+    for r in drawn.select("dim", "v").collect():
+        found.setdefault(r["dim"], []).append(r["v"])
+    return sizes, {d: pivots_of(unit(np.array(v, np.float64)), wanted[d]) for d, v in found.items()}
 
-    Vectors that are null, zero or hold null or non-finite components link with nothing and keep their own id; so do ones
-    whose length is not that of the pivots. Repeated rows are vectors of their own. A null id is kept. Only ``key`` and
-    ``vector`` are read, so labels and other columns play no part; an empty table gives no rows.
-    """
-    spark = df.sparkSession
-    small_batches(spark, 2048)
+
+def parts_of(n: int, dim: int) -> int:
+    """Into how many blocks n vectors of a length are cut."""
+    return max(1, min(BLOCKS, n // LEAST), -(-n * dim // MOST))
+
+
+def links_between(classes: DataFrame, kind: str, cosine: float, scratch: Scratch) -> DataFrame:
+    """(cls, links, root, settled) for ``resolve``, from classes (cls, digest, dim, copies, v) of distinct vectors."""
+    spark = classes.sparkSession
     reach = sqrt(2 - 2 * cosine) + SLACK
-    # single-precision vectors travel as such and are scaled again where they are compared: half the bytes, the same cosines
-    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
-    source = df.select(F.col(key).alias("vec_id"), F.col(vector).cast(kind).alias("v")).withColumn("rid", F.monotonically_increasing_id())
-    rows = scratch_table(source, "vectors")
-    n = rows.count()
-    sample = rows.select("rid", "v").where("v is not null").orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).collect()
-    width = max((len(r["v"]) for r in sample), key=[len(r["v"]) for r in sample].count, default=0)
-    _, x = unit(pa.array([list(r["v"]) for r in sample if len(r["v"]) == width], pa.list_(pa.float64())))
-    if not len(x):
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = spark.sparkContext.broadcast(pivots_of(x, min(PIVOTS, max(1, ceil(n / BLOCK)))))
-
-    def usable(column):
-        fit = pa.compute.equal(pa.compute.list_value_length(column), width).fill_null(False)
-        at = np.flatnonzero(fit.to_numpy(zero_copy_only=False))
-        index, x = unit(column.take(pa.array(at)))
-        return at[index], x
+    sizes, chosen = upper_level(classes)
+    pivots = spark.sparkContext.broadcast(chosen)
 
     def assign(batches):
+        """The cell of each vector and its distance to the pivot; a length without pivots is one cell of radius 2."""
         p = pivots.value
         for b in batches:
-            at, x = usable(b.column("v"))
-            if not len(at):
-                continue
-            c = x @ p.T
-            cell = c.argmax(1)
-            d = np.sqrt(np.maximum(0, 2 - 2 * c[np.arange(len(x)), cell]))
-            kept = [b.column(c).take(pa.array(at)) for c in ("rid", "v")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(cell.astype(np.int32)), pa.array(d)], names=["rid", "v", "cell", "d"])
-
-    def units_of(column) -> np.ndarray:
-        """Unit vectors of a column that holds usable vectors only; the same sums as in ``unit``."""
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        x = np.array(column.flatten(), np.float64).reshape(-1, width)
-        return x / np.sqrt((x * x).sum(1))[:, None]
-
-    homes = scratch_table(rows.select("rid", "v").mapInArrow(assign, f"rid long, v {kind}, cell int, d double"), "cells")
-    cells = {r["cell"]: (r["n"], r["r"]) for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect()}  # a row a pivot
-    blocks = spark.sparkContext.broadcast({c: ceil(k / BLOCK) for c, (k, _) in cells.items()})
-    radii = spark.sparkContext.broadcast({c: r for c, (_, r) in cells.items()})
+            dims = b.column("dim").to_numpy()
+            cell, d = np.zeros(len(dims), np.int32), np.full(len(dims), 2.0)
+            for dim in np.unique(dims):
+                if dim in p:
+                    at = np.flatnonzero(dims == dim)
+                    c = unit(matrix(b.column("v").take(pa.array(at)))) @ p[dim].T
+                    cell[at] = c.argmax(1)
+                    d[at] = np.sqrt(np.maximum(0, 2 - 2 * c.max(1)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(d)], names=[*b.schema.names, "cell", "d"])
+
+    homes = classes.select("cls", "dim", "copies", "v").mapInArrow(assign, f"cls long, dim int, copies long, v {kind}, cell int, d double")
+    homes = scratch.table(homes, "cells")
+    cells = homes.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("d").alias("r"))
+    # a row for each pivot: the blocks of each cell, numbered through within a length
+    units: dict[int, list[tuple[int, float, int]]] = {}
+    for r in cells.where(F.col("dim").isin(list(sizes))).orderBy("dim", "cell").collect() if sizes else []:
+        share = -(-sizes[r["dim"]] // parts_of(sizes[r["dim"]], r["dim"]))
+        units.setdefault(r["dim"], []).extend((r["cell"], r["r"], part) for part in range(-(-r["n"] // max(1, share))))
+    placed = spark.sparkContext.broadcast(units)
+    # rarer lengths have no pivots; how many blocks they have stays in a table
+    parts = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.floor(F.col("n") / LEAST)), F.ceil(F.col("n") * F.col("dim") / MOST)).cast("int")
+    homes = homes.join(cells.groupBy("dim").agg(F.sum("n").alias("n")).select("dim", parts.alias("parts")), "dim")
 
     def visit(batches):
-        """Every vector at home in its block, and as a visitor of later blocks of its cell and of later cells in reach."""
-        p, parts, radius = pivots.value, blocks.value, radii.value
-        targets = np.array(sorted(parts))
+        """Every vector at home in its block, and as a visitor of the blocks in reach that are host to its own."""
+        p, known = pivots.value, placed.value
         for b in batches:
-            x = units_of(b.column("v"))
-            rid, cell = b.column("rid").to_numpy(), b.column("cell").to_numpy()
-            home = (rid * 2654435761 % (1 << 31)) % np.array([parts[c] for c in cell])
-            d = np.sqrt(np.maximum(0, 2 - 2 * (x @ p[targets].T)))
-            near = (d <= np.array([radius[c] for c in targets]) + reach) & (targets[None, :] > cell[:, None])
-            row, block_cell, block, role = [np.arange(len(x))], [cell], [home], [np.zeros(len(x), np.int32)]
-            for k, c in enumerate(targets):
-                for part in range(parts[c]):
-                    who = np.flatnonzero(near[:, k] | ((cell == c) & (home < part)))
-                    row.append(who), block_cell.append(np.full(len(who), c)), block.append(np.full(len(who), part)), role.append(np.ones(len(who), np.int32))
-            row = np.concatenate(row)
-            for at in range(0, len(row), 4096):
-                part = row[at : at + 4096]
-                cols = [np.concatenate(x)[at : at + 4096].astype(np.int32) for x in (block_cell, block, role)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(rid[part]), b.column("v").take(pa.array(part))], names=["cell", "block", "role", "rid", "v"])
+            dims, cell = b.column("dim").to_numpy(), b.column("cell").to_numpy()
+            hashed = b.column("cls").to_numpy() * 2654435761 % (1 << 31)
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                blocks = known.get(dim) or [(0, 2.0, part) for part in range(b.column("parts")[int(at[0])].as_py())]
+                of_cell = np.array([c for c, *_ in blocks])
+                first, count = np.searchsorted(of_cell, cell[at]), np.searchsorted(of_cell, cell[at], "right") - np.searchsorted(of_cell, cell[at])
+                home = first + hashed[at] % count
+                near = np.ones((len(at), len(blocks)), bool)
+                if dim in p:
+                    x = unit(matrix(b.column("v").take(pa.array(at))))
+                    d = np.sqrt(np.maximum(0, 2 - 2 * (x @ p[dim].T)))
+                    near = d[:, of_cell] <= np.array([r for _, r, _ in blocks]) + reach
+                number = np.arange(len(blocks))
+                hosts = ((home[:, None] + number) % 2 == 0) == (number < home[:, None])  # of two blocks the lesser if their sum is even
+                row, block = np.nonzero((near & hosts) | (number == home[:, None]))
+                cols = [np.full(len(row), dim, np.int32), block.astype(np.int32), np.where(block == home[row], -1, home[row]).astype(np.int32)]
+                took = [b.column(c).take(pa.array(at[row])) for c in ("cls", "copies", "v")]
+                yield from slices([pa.RecordBatch.from_arrays([*map(pa.array, cols), *took], names=["dim", "block", "visitor", "cls", "copies", "v"])], 4096)
 
     def compare(batches):
-        def linked(ids, i, j):
-            links = np.bincount(np.concatenate([i, j]), minlength=len(ids))
+        def linked(ids, copies, i, j):
+            links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
             some = np.flatnonzero(links)
-            root = roots(len(ids), i, j)
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[root[some]])], names=["rid", "links", "root"])
-
-        here, tree, ids = None, None, None
-        for (cell, block, role), rows in streamed(batches):
-            x, rid = units_of(rows.column("v")), rows.column("rid").to_numpy()
-            if role == 0:
-                here, ids, tree = (cell, block), rid, CoverTree(x)
+            order = np.argsort(ids, kind="stable")  # the root is the least class
+            rank = np.argsort(order, kind="stable")
+            root = ids[order[roots(len(ids), rank[i], rank[j])[rank]]]
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some]), pa.array([False] * len(some))], names=["cls", "links", "root", "settled"])
+
+        here, tree, ids, copies = None, None, None, None
+        for (dim, block, visitor), rows in streamed(batches):
+            x, cls, times = unit(matrix(rows.column("v"))), rows.column("cls").to_numpy(), rows.column("copies").to_numpy()
+            if visitor < 0:
+                here, ids, copies, tree = (dim, block), cls, times, CoverTree(x)
                 i, j = dual(tree, tree, reach, cosine)
                 if len(i):
-                    yield linked(ids, i, j)
-            elif here == (cell, block):
-                i, j = dual(tree, CoverTree(x, flat=True), reach, cosine)
+                    yield linked(ids, copies, i, j)
+            elif here == (dim, block):
+                i, j = dual(tree, CoverTree(x), reach, cosine)
                 if len(i):
-                    yield linked(np.concatenate([ids, rid]), i, j + len(ids))
+                    yield linked(np.concatenate([ids, cls]), np.concatenate([copies, times]), i, j + len(ids))
 
     def streamed(batches):
-        """Home rows of a block together; its visitors a bounded number at a time."""
-
-        def small():
-            for b in batches:
-                for at in range(0, b.num_rows, VISITORS):
-                    yield b.slice(at, VISITORS)
-
+        """Home rows of a block together; each visiting block's rows a bounded number at a time."""
         held, last = [], None
-        for b in small():
-            for k, rows in groups([b], ["cell", "block", "role"]):
-                if held and (k != last or (k[2] == 1 and sum(t.num_rows for t in held) >= VISITORS)):
+        for b in slices(batches, VISITORS):
+            for k, rows in groups([b], ["dim", "block", "visitor"]):
+                if held and (k != last or (k[2] >= 0 and sum(t.num_rows for t in held) >= VISITORS)):
                     yield last, pa.concat_tables(held)
                     held = []
                 last = k
@@ -300,15 +303,44 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         if held:
             yield last, pa.concat_tables(held)
 
-    dealt = homes.select("rid", "v", "cell").mapInArrow(visit, f"cell int, block int, role int, rid long, v {kind}")
-    dealt = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
-    found = scratch_table(dealt.mapInArrow(compare, "rid long, links long, root long"), "links")
-    linked = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rid")
-    info = found.groupBy("rid").agg(F.sum("links").alias("links")).join(linked, "rid").join(rows.select("rid", "vec_id"), "rid")
-    least = info.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    info = info.join(least, "root").select("rid", "links", "component_id")
-    out = rows.select("rid", "vec_id").join(info, "rid", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")
-    )
+    dealt = homes.mapInArrow(visit, f"dim int, block int, visitor int, cls long, copies long, v {kind}")
+    dealt = dealt.repartition("dim", "block").sortWithinPartitions("dim", "block", "visitor")
+    return scratch.table(dealt.mapInArrow(compare, "cls long, links long, root long, settled boolean"), "links")
+
+
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """Per vector: vec_id, n_links (other vectors with cosine >= ``cosine``), component_id (least id reachable by links),
+    kept (the row has that id).
+
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing and keep their own id.
+    Vectors of different lengths do not link with each other. Repeated rows are vectors of their own. A null id is kept.
+    Only ``key`` and ``vector`` are read, so labels and other columns play no part; an empty table gives no rows.
+    """
+    bounded_batches(df.sparkSession)
+    scratch = Scratch()
+    # single-precision vectors travel as such and are scaled where they are compared: half the bytes, the same cosines
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+
+    def digests(batches):
+        for b in batches:
+            column = b.column(2)
+            dims = pa.compute.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
+            digest: list[bytes | None] = [None] * len(dims)
+            for dim in np.unique(dims[dims > 0]):
+                at = np.flatnonzero(dims == dim)
+                part = column.take(pa.array(at)).flatten()
+                whole = ~part.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(1)
+                x = part.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, dim) + 0.0  # no negative zeros
+                for k in np.flatnonzero(whole & np.isfinite(x).all(1) & (x != 0).any(1)):
+                    digest[at[k]] = xxhash.xxh3_128_digest(x[k].tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dims), pa.array(digest, pa.binary())], names=["rid", "vec_id", "v", "dim", "digest"])
+
+    source = df.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("vec_id"), F.col(vector).cast(kind).alias("v"))
+    rows = scratch.table(source.mapInArrow(digests, f"rid long, vec_id {source.schema['vec_id'].dataType.simpleString()}, v {kind}, dim int, digest binary"), "vectors")
+    grouped = rows.where("digest is not null").groupBy("digest", "dim")
+    classes = grouped.agg(representative("vec_id", "rid").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    classes = scratch.table(classes.withColumn("cls", F.col("rep.rid")), "classes")
+    found = links_between(classes, kind, cosine, scratch)
+    out = resolve(rows.drop("v", "dim"), classes, found, "vec_id", scratch)
+    scratch.close(rows, scratch.tables[-1][0])  # the result reads the vectors' ids and what resolve wrote last
+    return out.select("vec_id", "n_links", "component_id", "kept")

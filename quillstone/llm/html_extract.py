@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import small_batches
+from .util import bounded_batches
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -253,7 +253,7 @@ def extract(df: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
     Null and empty pages have an empty text. Columns named like the new ones are replaced, others pass through; repeated
     rows give repeated rows; an empty table gives an empty table. Pages are read whole, whatever their length.
     """
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in (html, name, "n_chars")]
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html}`"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(name, T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import codec
-from .util import small_batches
+from .util import bounded_batches
 
 WINDOW, END_ID = 2048, 1
 #: Windows' worth of tokens gathered before any is filled, and left in the pool while more documents come.
@@ -134,7 +134,7 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", wind
     A null or empty text is the end id alone. Repeated rows and null keys are packed as rows of their own; only ``key``
     and ``text`` are read, so other columns cannot clash; an empty table gives no sequences.
     """
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     source = df.select(F.col(key), F.col(text))
     kind = source.schema[0].dataType
     schema = T.StructType([T.StructField(key, kind), *T._parse_datatype_string("start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long").fields])

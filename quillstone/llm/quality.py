@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import Kept, labelled_sample, release, small_batches
+from .util import Kept, bounded_batches, labelled_sample, release
 
 #: Bound of the labelled sample, of each class.
 PER_CLASS = 1500
@@ -198,7 +198,7 @@ def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str
     through; repeated rows score alike; an empty table gives an empty table.
     """
     spark = df.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     new = list(names)
     kept = [c for c in df.columns if c not in new]
     source = df.select(*[F.col(f"`{c}`") for c in kept])

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import spread
 from . import bpe, covertree, fingerprints, html_extract, licenses, ngram_join, packing, quality, sharding, toxicity
 from .util import crc_fold
 
@@ -13,7 +14,8 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; one of fewer partitions than there are slots is spread, as each row takes much computing."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,25 +12,33 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python, so that a batch of very long texts stays small.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch handed to Python, the same for every operator of a session: batches of very long texts
+#: stay small. Kernels that want fewer rows cut the batches themselves (``slices``).
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 23
+#: Longest key that a cache keeps, and characters of keys for each entry of its limit.
+KEY_CHARS, MEAN_CHARS = 64, 16
 
 
 class Kept(dict):
     """A bounded cache: a dict that computes missing values. When full, it becomes the old generation, from which what is
-    asked for again moves on. It holds at most twice ``limit`` entries."""
+    asked for again moves on. It holds at most twice ``limit`` entries, with keys of ``MEAN_CHARS`` characters in the mean;
+    keys of more than ``longest`` characters are computed each time and never held."""
 
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.old = make, limit, {}
+    def __init__(self, make, limit: int, longest: int = KEY_CHARS):
+        self.make, self.limit, self.longest, self.old, self.chars = make, limit, longest, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        n = len(key)
+        if n > self.longest:
+            return self.make(key)
+        if len(self) >= self.limit or self.chars > self.limit * MEAN_CHARS:
+            self.old, self.chars = dict(self), 0
             self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
+        self.chars += n
         return value
 
 
@@ -41,34 +49,67 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small enough for long texts (the setting is read when the plan is executed)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in rows and bytes. Settings are read when a plan is executed, so they have one value only."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def slices(batches, rows: int):
+    """The batches, cut into ones of at most ``rows`` rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a local session gets a temporary one; on a
+    cluster it is an error, as executors would write to disks of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    return _write(df, name)[0]
+
+
+class Scratch:
+    """The scratch tables of one call, so that those which nothing returned reads can be removed."""
+
+    def __init__(self):
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(_write(df, name))
+        return self.tables[-1][0]
 
+    def drop(self, *frames: DataFrame) -> None:
+        """Remove these tables."""
+        for df, path in self.tables:
+            if any(df is f for f in frames):
+                _remove(df.sparkSession, path)
+        self.tables = [t for t in self.tables if not any(t[0] is f for f in frames)]
 
-def drop_scratch(*frames: DataFrame) -> None:
-    """Remove scratch tables that no later plan reads."""
-    for df in frames:
-        spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    def close(self, *kept: DataFrame) -> None:
+        """Remove all tables but these."""
+        self.drop(*[df for df, _ in self.tables if not any(df is k for k in kept)])
 
 
 def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
@@ -112,7 +153,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         picked = part if picked is None else picked.unionByName(part)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     found = found.withColumns({"_hash": F.xxhash64("text"), "_chars": F.length("text").cast("long")})
-    stored = found = scratch_table(found.dropDuplicates(["_y", "doc_id", "_hash"]), "sample")
+    scratch = Scratch()
+    found = scratch.table(found.dropDuplicates(["_y", "doc_id", "_hash"]), "sample")
     chars = {r["_y"]: r["n"] for r in found.groupBy("_y").agg(F.sum("_chars").alias("n")).collect()}
     if any(n > SAMPLE_CHARS for n in chars.values()):
         turn = F.row_number().over(Window.partitionBy("_y", "doc_id").orderBy("_hash"))
@@ -131,5 +173,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     for r in found.select("doc_id", "text", "_y").collect():
         key = (r["doc_id"], r["text"])
         best[key] = max(best.get(key, 0), r["_y"])
-    drop_scratch(stored)
+    scratch.close()
     return [(text, y) for (_, text), y in sorted(best.items())]

@@ -7,8 +7,13 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillstone.llm import covertree, ngram_join
+from pyspark.sql import Row
+
+from quillstone.llm import covertree, ngram_join, util
 from quillstone.llm.components import components
+from quillstone.llm.queries import QUERIES
+
+MORE = "/root/testdata/sf0.01"
 
 
 def linked(n, pairs):
@@ -42,7 +47,52 @@ def near_copies(seed, groups):
 def brute(texts):
     shingle = ngram_join.Shingler()
     sets = [set(shingle(t).tolist()) for t in texts]
-    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    common = Counter((i, j) for h in holders.values() for k, i in enumerate(h) for j in h[:k])
+    return [(i, j) for (i, j), n in common.items() if 5 * n >= 4 * (len(sets[i]) + len(sets[j]) - n)]
+
+
+def test_an_id_with_several_texts(spark):
+    rng = random.Random(2)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for i in range(20):
+        a, b = words(60), words(60)
+        rows += [(i, " ".join(a)), (i, " ".join(b)), (100 + i, " ".join([*a, "tail"])), (200 + i, " ".join([*b, "tail"]))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = ngram_join.join(df.repartition(3)).collect()
+    assert len(out) == 80 and all(r.n_links == 1 and r.component_id == r.doc_id % 100 for r in out)
+    # one of each pair stays, and it has the least id
+    assert sorted(r.doc_id for r in ngram_join.deduplicate(df).collect()) == sorted([*range(20)] * 2)
+
+
+def test_a_text_without_a_copy_is_never_dropped(spark):
+    text = "one two three four five six seven eight nine ten " * 2
+    alone = "quite another text that has no copy anywhere in here at all"
+    rows = [(2, text, "x"), (5, text + "tail", "y"), (5, alone, "z"), (7, alone, "a"), (7, alone, "a"), (None, text, "n"), (9, "", ""), (9, None, None), (9, "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    kept = ngram_join.deduplicate(df)
+    assert kept.columns == df.columns
+    got = sorted(map(str, kept.collect()))
+    assert got == sorted(str(Row(doc_id=i, text=t, digest=d)) for i, t, d in [rows[0], rows[2], *rows[6:]])
+
+
+def test_connected_by_surviving_pairs():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 16, (6, ngram_join.HASHES)).astype(np.uint16)
+    values = base[rng.integers(0, 6, 90)].copy()
+    change = rng.random(values.shape) < 0.08
+    values[change] = rng.integers(0, 1 << 16, int(change.sum()))
+    i, j = np.triu_indices(90, 1)
+    side = rng.integers(0, 2, 90)
+    for block in (None, side):
+        pick = np.ones(len(i), bool) if block is None else side[i] != side[j]
+        want = linked(90, zip(*map(np.ndarray.tolist, ngram_join.prune(values, i[pick], j[pick]))))
+        assert ngram_join.connected(values, block).tolist() == want
 
 
 def test_bands_miss_no_more_than_the_tolerance():
@@ -57,6 +107,7 @@ def test_bands_miss_no_more_than_the_tolerance():
 @pytest.mark.parametrize("block", [1000, 7])
 def test_join_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SIGNATURES", block)
     monkeypatch.setattr(ngram_join, "FINE_BLOCK", min(block, 16))
     texts = near_copies(1, [(40, 120, 4), (25, 60, 3), (3, 300, 2), (2, 30, 1), *[(1, 50, 0)] * 30]) + ["", "a b", "a b", None, "a b c d e"]
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n_links long")
@@ -71,10 +122,11 @@ def test_join_against_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in ngram_join.deduplicate(df).collect()) == sorted(set(roots))
 
 
-def test_join_of_the_documents(spark, documents):
-    rows = {r.doc_id: r for r in ngram_join.join(documents).collect()}
-    docs = sorted((r.doc_id, r.text) for r in documents.collect())
+def test_query_on_the_documents(spark):
+    rows = {r.doc_id: r for r in QUERIES["op9_ngram_join"](spark, MORE).collect()}
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{MORE}/documents.parquet").collect())
     pairs = brute([t for _, t in docs])
+    assert len(pairs) > 100
     links = Counter(x for p in pairs for x in p)
     roots = linked(len(docs), pairs)
     assert [rows[i].n_links for i, _ in docs] == [links[k] for k in range(len(docs))]
@@ -87,7 +139,7 @@ def test_join_awkward_rows(spark, awkward):
     assert got == sorted([("1", 2, "1", True)] * 2 + [("8", 2, "1", False)] + [(str(i), 0, str(i), True) for i in (2, 3, 4, 5, 6, None, 9)])
     assert ngram_join.join(awkward.limit(0)).count() == 0
     kept = ngram_join.deduplicate(awkward)
-    assert kept.columns == awkward.columns and kept.where("doc_id = 8").count() == 0
+    assert kept.columns == awkward.columns and kept.where("doc_id = 8").count() == 0 and kept.where("doc_id = 1").count() == 1
 
 
 def test_pruning_keeps_pairs_at_the_threshold():
@@ -109,10 +161,12 @@ def test_bayesian_bound_is_the_beta_tail():
 
 def test_intersections():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 120)).astype(np.uint64)) for _ in range(20)]
-    a, b = np.arange(12), np.arange(12, 20)
+    sets = [np.unique(rng.integers(0, high, rng.integers(1, 120)).astype(np.uint64)) for high in (300, 900, 9000) for _ in range(20)]
+    a, b = np.arange(32), np.arange(32, 60)
     want = [[len(np.intersect1d(sets[i], sets[j])) for j in b] for i in a]
     assert ngram_join.intersections(sets, a, b).tolist() == want
+    own = [[len(np.intersect1d(sets[i], sets[j])) * (i != j) for j in a] for i in a]
+    assert ngram_join.intersections(sets, a, a).tolist() == own
 
 
 def test_components(spark):
@@ -124,6 +178,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_scratch_tables_that_nothing_reads_are_removed(spark, documents):
+    import os
+
+    where = util.scratch_dir(spark)
+    before = set(os.listdir(where))
+    out = ngram_join.join(documents)
+    left = {n.split("-")[0] for n in set(os.listdir(where)) - before}
+    assert left == {"sketches", "info"} and out.count() == documents.count()
+
+
 # -- embeddings
 
 
@@ -161,9 +225,9 @@ def test_tree_invariants():
             todo += kids
 
 
-@pytest.mark.parametrize("block", [4096, 40])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(covertree, "BLOCK", block)
+@pytest.mark.parametrize("least", [256, 20])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr(covertree, "LEAST", least)
     monkeypatch.setattr(covertree, "VISITORS", 64)
     x = vectors(9, 260, 6)
     df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, n_links int")
@@ -178,6 +242,53 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
         assert (r.n_links, r.component_id, r.kept) == ((gram[r.vec_id] >= 0.95).sum(), roots[r.vec_id], roots[r.vec_id] == r.vec_id)
 
 
+def test_query_on_the_embeddings(spark):
+    table = spark.read.parquet(f"{MORE}/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").orderBy("vec_id").collect()
+    some = [r for r in rows if r.embedding and None not in r.embedding and any(r.embedding) and np.isfinite(r.embedding).all()]
+    x = np.array([r.embedding for r in some], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    gram = x @ x.T
+    np.fill_diagonal(gram, -1)
+    ids = [r.vec_id for r in some]
+
+    def want(cosine):
+        root = linked(len(ids), zip(*map(np.ndarray.tolist, np.nonzero(gram >= cosine))))
+        return {r.vec_id: (0, r.vec_id, True) for r in rows} | {i: (int((gram[k] >= cosine).sum()), ids[root[k]], root[k] == k) for k, i in enumerate(ids)}
+
+    seen = lambda df: {r.vec_id: (r.n_links, r.component_id, r.kept) for r in df.collect()}
+    assert seen(QUERIES["op2_covertree"](spark, MORE)) == want(0.95)
+    few = float(np.quantile(gram, 0.999))  # the small table has few near copies, or none
+    assert seen(covertree.near_duplicates(table, cosine=few)) == want(few)
+
+
+def test_vectors_of_every_kind_are_compared(spark):
+    # mostly zero vectors; several lengths, common and rare ones; numbers whose squares overflow or vanish
+    rows = [(i, [0.0, 0.0, 0.0]) for i in range(30_000)] + [(40_000, [1.0, 2.0, 3.0]), (40_001, [2.0, 4.0, 6.0]), (40_002, [1.0, 2.0]), (40_003, [1.0, 2.0]), (40_004, [-0.0, 1.0]), (40_005, [0.0, 1.0])]
+    rows += [(50_000, [1e-200, 0.0]), (50_001, [1e-200, 0.0]), (50_002, [1e200, 0.0]), (50_003, [1.0, 0.0]), (50_004, [5e-324, 0.0])]
+    rows += [(60_000 + 10 * n + k, [1.0] * n + [float(k > 1)] * n) for n in range(5, 25) for k in range(4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in covertree.near_duplicates(df).where("vec_id >= 40000").collect()}
+    assert [got[i] for i in range(40_000, 40_006)] == [(1, 40_000)] * 2 + [(1, 40_002)] * 2 + [(1, 40_004)] * 2
+    assert [got[i] for i in range(50_000, 50_005)] == [(4, 50_000)] * 5
+    assert all(got[60_000 + 10 * n + k] == (1, 60_000 + 10 * n + k // 2 * 2) for n in range(5, 25) for k in range(4))
+    single = df.where("vec_id = 50003").selectExpr("vec_id", "cast(embedding as array<float>) embedding")
+    assert covertree.near_duplicates(single.union(single)).collect() == [(50_003, 1, 50_003, True)] * 2
+
+
+def test_many_blocks_and_a_common_vector(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "LEAST", 10)
+    monkeypatch.setattr(covertree, "MOST", 400)  # more blocks than BLOCKS
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(500, 5)), np.tile(rng.normal(size=5), (300, 1))])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    y = covertree.unit(x)
+    gram = y @ y.T
+    np.fill_diagonal(gram, -1)
+    got = {r.vec_id: r.n_links for r in covertree.near_duplicates(df.repartition(3)).collect()}
+    assert got == dict(enumerate((gram >= 0.95).sum(1).tolist()))
+
+
 def test_vectors_that_link_with_nothing(spark):
     rows = [(1, None), (2, [0.0, 0.0]), (3, [1.0, math.nan]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (5, [2.0, 0.1]), (6, [1.0, None]), (None, [1.0, 0.01]), (8, [1.0, 2.0, 3.0]), (9, []), (10, [math.inf, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
