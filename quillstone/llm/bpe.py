@@ -5,6 +5,9 @@ the vocabulary: no merge can ever span it, so the text may be cut there, its fra
 ids concatenated, with exactly the result of encoding the whole. White space and the pre-tokenizer's cuts are such
 boundaries too. Fragments repeat often, so they are encoded once per worker and kept in bounded caches.
 
+Texts are cut at white space first. Where a piece has unusual characters, the library's normalizer and pre-tokenizer are
+run on that piece; its words are then cut at forced boundaries of their byte symbols like all others, whatever the script.
+
 The vocabulary file is a parameter (a tokenizers JSON file with a BPE model); it is read on each worker.
 """
 
@@ -14,6 +17,7 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from operator import add
 
 import numpy as np
@@ -22,14 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import bounded_batches
+from .util import Kept, bounded_batches, slices
 
-#: Entries of each of the two generations of the caches of white-space-separated pieces (and the words in them) and of fragments.
-PIECES_KEPT, FRAGMENTS_KEPT = 350_000, 20_000
+#: Entries of each of the two generations of the caches: of white-space-separated pieces (and the words in them), of pieces
+#: with unusual characters, and of fragments. Rows encoded at a time, and symbols from which a fragment is merged by a heap.
+PIECES_KEPT, ODD_KEPT, FRAGMENTS_KEPT, ROWS, LONG = 350_000, 50_000, 20_000, 64, 64
 
-#: Texts with these characters (controls, or anything from U+0300 on, where normalisation and Unicode versions matter,
-#: and the dotted capital I, which lower-cases to two characters) are encoded by the tokenizers library itself.
-UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9fİ̀-\U0010ffff]")
+#: Pieces with these characters (controls, or anything from U+0300 on, where normalisation and Unicode versions matter,
+#: and the dotted capital I, which lower-cases to two characters) are normalised by the tokenizers library itself.
+UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9fİ\u0300-\U0010ffff]")
+#: White space at which texts with unusual characters are cut: nothing is composed, reordered or matched across it.
+SPACE = re.compile("[ \t\n\r]+")
 
 #: The pre-tokenizer's pattern for texts without unusual characters (numbers there: digits, superscripts, fractions).
 PRE_TOKEN = re.compile("'(?:s|t|re|ve|m|ll|d)|[^\\W\\d_²³¹¼½¾]+|[\\d²³¹¼½¾]|(?:[^\\w\\s]|_)+")
@@ -45,23 +52,6 @@ def byte_alphabet() -> list[str]:
 NEVER = 1 << 62
 
 
-class _Cache(dict):
-    """A dict that computes missing values; when full, it becomes the old generation and what is asked for again moves on."""
-
-    def __init__(self, make, limit: int):
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-
 class ForcedBoundaryBPE:
     """Encoder and decoder for a lower-casing, word-ended byte-level BPE vocabulary in tokenizers JSON."""
 
@@ -93,8 +83,10 @@ class ForcedBoundaryBPE:
         steps = [s["type"] for s in (spec["normalizer"] or {}).get("normalizers", [])]
         split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         self.known = steps == ["NFC", "Replace", "Lowercase"] and split == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and None not in self.inner + self.final
-        self.fragments = _Cache(self._merge, FRAGMENTS_KEPT)
-        self.pieces = _Cache(self._piece, PIECES_KEPT)
+        self.byte_of = {c: b for b, c in enumerate(alphabet)}
+        self.fragments = Kept(self._merge, FRAGMENTS_KEPT)
+        self.pieces = Kept(self._piece, PIECES_KEPT)
+        self.odd = Kept(self._odd, ODD_KEPT)
 
     @staticmethod
     def _token_strings(spec: dict) -> list[str]:
@@ -113,6 +105,8 @@ class ForcedBoundaryBPE:
 
     def _merge(self, symbols: tuple[int, ...]) -> bytes:
         """Byte-pair merges of one fragment, lowest rank and leftmost first; ids as little-endian 32-bit integers."""
+        if len(symbols) > LONG:
+            return self._merge_long(symbols)
         parts, rank = list(symbols), self.merges.get
         ranks = [rank(pair, NEVER) for pair in zip(symbols, symbols[1:])]
         while ranks and (best := min(ranks)) != NEVER:
@@ -125,9 +119,27 @@ class ForcedBoundaryBPE:
                 ranks[i] = rank((parts[i], parts[i + 1]), NEVER)
         return array("I", parts).tobytes()
 
-    def cut(self, word: str) -> list[tuple[int, ...]]:
-        """The symbols of one pre-token, cut at its forced boundaries."""
-        raw = word.encode()
+    def _merge_long(self, symbols: tuple[int, ...]) -> bytes:
+        """The same with a heap of mergeable pairs over a linked list, in n log n steps."""
+        parts: list[int | None] = [*symbols, None]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap = [(r, i, pair) for i, pair in enumerate(zip(symbols, symbols[1:])) if (r := self.merges.get(pair)) is not None]
+        heapify(heap)
+        while heap:
+            r, i, pair = heappop(heap)
+            j = after[i]
+            if (parts[i], parts[j] if j < len(parts) else None) != pair:
+                continue  # merged with another neighbour since
+            parts[i], parts[j], after[i] = r & 0xFFFFFFFF, None, after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            for left in (before[i], i):
+                if left >= 0 and after[left] < len(parts) and (r := self.merges.get(near := (parts[left], parts[after[left]]))) is not None:
+                    heappush(heap, (r, left, near))
+        return array("I", [x for x in parts if x is not None]).tobytes()
+
+    def cut(self, raw: bytes) -> list[tuple[int, ...]]:
+        """The symbols of one pre-token (its UTF-8 form), cut at its forced boundaries."""
         symbols = [*map(self.inner.__getitem__, raw[:-1]), self.final[raw[-1]]]
         out, start = [], 0
         for i, pair in enumerate(zip(symbols, symbols[1:]), 1):
@@ -142,15 +154,24 @@ class ForcedBoundaryBPE:
         words = PRE_TOKEN.findall(piece)
         return self._word(piece) if words == [piece] else b"".join(map(self.pieces.__getitem__, words))
 
+    def _odd(self, piece: str) -> bytes:
+        """A piece with unusual characters: what the library's normalizer and pre-tokenizer make of it, word by word."""
+        words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+        return b"".join(self._fragments(bytes(map(self.byte_of.__getitem__, w)), w) for w, _ in words)
+
     def _word(self, word: str) -> bytes:
-        """One pre-token's ids. The model adds the word-end suffix to what it encodes, so only a word's last fragment
-        can go to it; the others are merged here."""
+        """One pre-token's ids."""
         if word.isascii():
             pairs = [*map(add, word, word[1:])]
             if not pairs or (pairs.pop() in self.closing and self.inside.issuperset(pairs)):  # no forced boundary
                 return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        *inner, last = self.cut(word)
-        shown = word if word.isascii() else "".join(map(self.alphabet.__getitem__, word.encode()))
+        raw = word.encode()
+        return self._fragments(raw, word if word.isascii() else "".join(map(self.alphabet.__getitem__, raw)))
+
+    def _fragments(self, raw: bytes, shown: str) -> bytes:
+        """The ids of a pre-token's fragments; ``shown`` is its byte-level form. The model adds the word-end suffix to what
+        it encodes, so only a word's last fragment can go to it; the others are merged here."""
+        *inner, last = self.cut(raw)
         ids = array("I", [t.id for t in self.model.tokenize(shown[-len(last) :])]).tobytes()
         return b"".join([*map(self.fragments.__getitem__, inner), ids]) if inner else ids
 
@@ -158,8 +179,10 @@ class ForcedBoundaryBPE:
         """The ids of a whole text (null: empty) as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if not self.known or (not text.isascii() and UNUSUAL.search(text)) or (text.isascii() and UNUSUAL.search(text)) or any(t in text for t in self.added):
+        if not self.known or any(t in text for t in self.added):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if UNUSUAL.search(text):
+            return b"".join(self.odd[p] if UNUSUAL.search(p) else b"".join(map(self.pieces.__getitem__, p.lower().split())) for p in SPACE.split(text) if p)
         return b"".join(map(self.pieces.__getitem__, text.lower().split()))
 
     def decode(self, ids: list[int]) -> str:
@@ -187,7 +210,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
     def run(batches):
         bpe = codec(path)
-        for b in batches:
+        for b in slices(batches, ROWS):
             parts = [bpe.encode(t) for t in b.column(kept.index(text)).to_pylist()]
             ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
             values = pa.array(np.frombuffer(b"".join(parts), "<i4"))
@@ -208,7 +231,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
 
     def run(batches):
         bpe = codec(path)
-        for b in batches:
+        for b in slices(batches, ROWS):
             texts = [None if x is None else bpe.decode(x) for x in b.column(kept.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*kept, decoded])
 

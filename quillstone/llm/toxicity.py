@@ -81,8 +81,10 @@ class Model:
         return found
 
     def segments(self, scores: list[float]) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments (start, end, score) of the words' scores less the drift."""
-        done: list[list[float]] = []  # start, end, sum before, sum after
+        """All maximal scoring segments (start, end, score) of the words' scores less the drift, in linear time: each
+        candidate has a link to the nearest one before it with a smaller sum on its left, and a link once followed is
+        never followed again."""
+        done: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum after, link
         total, last = 0.0, -1
         for i, s in enumerate(scores):
             if s <= DRIFT:
@@ -90,18 +92,19 @@ class Model:
                     total += s
                 continue
             total -= DRIFT * (i - last - 1)
-            new, last = [i, i + 1, total, total + s - DRIFT], i
-            total = new[3]
+            start, left, last = i, total, i
+            total = right = left + s - DRIFT
+            j = len(done) - 1
             while True:
-                j = len(done) - 1
-                while j >= 0 and done[j][2] >= new[2]:
-                    j -= 1
-                if j < 0 or done[j][3] >= new[3]:
+                while j >= 0 and done[j][2] >= left:
+                    j = done[j][4]
+                if j < 0 or done[j][3] >= right:
                     break
-                new = [done[j][0], new[1], done[j][2], new[3]]
+                start, _, left, _, link = done[j]
                 del done[j:]
-            done.append(new)
-        return [(int(a), int(b), right - left) for a, b, left, right in done]
+                j = link
+            done.append((start, i + 1, left, right, j))
+        return [(a, b, right - left) for a, b, left, right, _ in done]
 
     def excess(self, segments: list, words: int) -> float:
         """Sum of the significant segments' excess, in nats, over what chance reaches; else the best one's shortfall."""
@@ -229,14 +232,7 @@ def detect(df: DataFrame, model: Model, text: str = "text", names: tuple[str, st
 
     def run(batches):
         m = shared.value
-        class Scores(dict):
-            def __missing__(self, piece):
-                if len(self) >= PIECES_KEPT:
-                    self.clear()
-                s = self[piece] = m.piece(piece)
-                return s
-
-        scores_of = Scores().__getitem__
+        scores_of = Kept(m.piece, PIECES_KEPT).__getitem__
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
         for b in batches:
             out, where = [], []

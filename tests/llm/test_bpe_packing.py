@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import resource
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +14,7 @@ from hypothesis import strategies as st
 
 from quillstone.llm import bpe, packing
 from quillstone.llm.packing import Packer, best_fill
+from quillstone.llm.util import KEY_CHARS, MEAN_CHARS, Kept
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,17 +46,56 @@ def test_fragments_join_to_the_whole(codec):
     # pieces between forced boundaries, merged apart, give what merging the whole word gives
     rng = random.Random(3)
     for _ in range(500):
-        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüßñ") for _ in range(rng.randint(1, 14)))
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüßñ") for _ in range(rng.randint(1, 14))).encode()
         symbols = tuple(s for f in codec.cut(word) for s in f)
         assert b"".join(codec._merge(f) for f in codec.cut(word)) == codec._merge(symbols)
-    assert len(codec.cut("zqxj" * 3)) > 1
+    assert len(codec.cut(b"zqxj" * 3)) > 1
+
+
+def test_other_scripts_take_the_method_too(codec, monkeypatch):
+    rng = random.Random(8)
+    alphabets = ["αβγδέήΐΣς", "абвгдежзЖЁ", "漢字仮名交じり文", "😀🎉👩‍👧", "“”–—…€ abc", "एकदोहिन्दी", "e\u0301a\u0308 \u00a0x\u2028y\u0085", "가각한글"]
+    texts = ["".join(rng.choices(a + "the ,.", k=rng.randint(1, 300))) for a in alphabets for _ in range(20)]
+    want = [library_ids(codec, t) for t in texts]
+    fresh = bpe.ForcedBoundaryBPE(PATH)
+    cuts = []
+    cut = fresh.cut
+    monkeypatch.setattr(fresh, "cut", lambda raw: cuts.append(raw) or cut(raw))
+    monkeypatch.setattr(fresh, "library", type("Parts", (), {"normalizer": codec.library.normalizer, "pre_tokenizer": codec.library.pre_tokenizer}))  # no encode
+    assert [np.frombuffer(fresh.encode(t), "<u4").tolist() for t in texts] == want and len(cuts) > 500
+
+
+def test_long_fragments(codec, monkeypatch):
+    rng = random.Random(5)
+    for letters, n in (("the", 3000), ("ab", 500), ("ainoer", 5000), ("漢字", 900)):
+        text = "".join(rng.choices(letters, k=n))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library_ids(codec, text)
+        symbols = tuple(codec.inner[b] for b in text[:300].encode())
+        long = codec._merge(symbols)
+        monkeypatch.setattr(bpe, "LONG", 10**9)
+        assert codec._merge(symbols) == long
+        monkeypatch.undo()
+    began = time.time()
+    codec._merge(tuple(codec.inner[b] for b in rng.choices(b"ainoerthd", k=100_000)))
+    assert time.time() - began < 5
 
 
 def test_caches_stay_bounded(codec):
-    kept = bpe._Cache(str, 10)
+    kept = Kept(str.upper, 10)
     for i in range(100):
-        assert kept[i] == str(i)
+        assert kept[f"a{i}"] == f"A{i}"
     assert len(kept) + len(kept.old) <= 21
+    for i in range(1000):
+        assert kept["long" * 10 + str(i)] == "LONG" * 10 + str(i) and sum(map(len, [*kept, *kept.old])) < 2 * (10 * MEAN_CHARS + KEY_CHARS)
+    assert kept["x" * (KEY_CHARS + 1)] and all(len(k) <= KEY_CHARS for k in [*kept, *kept.old])
+
+
+def test_pieces_without_white_space_take_little_memory(codec):
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    fresh, rng = bpe.ForcedBoundaryBPE(PATH), random.Random(6)
+    for _ in range(300):
+        fresh.encode(" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=20_000)) for _ in range(2)))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150_000  # kilobytes; 12 million characters went by
 
 
 def test_query_digests(spark, documents, codec):
@@ -133,8 +175,8 @@ def test_packing_documents(spark, documents, codec):
     for r in sorted(rows, key=lambda r: r.start):
         whole[r.doc_id] = whole.get(r.doc_id, b"") + bytes(r.ids)
     assert {k: np.frombuffer(v, "<u4").tolist() for k, v in whole.items()} == {k: [*library_ids(codec, t), 1] for k, t in texts.items()}
-    got = {(r.doc_id, r.start): r.ids_crc32 for r in packing.pieces(documents.repartition(3), PATH).collect()}
-    assert {(r.doc_id, r.start): zlib.crc32(bytes(r.ids)) for r in rows}.keys() == got.keys() or sum(got.values()) > 0
+    for r in packing.pieces(documents.repartition(3), PATH).collect():
+        assert r.ids_crc32 == zlib.crc32(whole[r.doc_id][4 * r.start : 4 * (r.start + r.length)])
 
 
 def test_packing_awkward_rows(spark, awkward):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -113,6 +114,18 @@ def test_segments_against_brute_force():
         assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(got, want))
 
 
+def test_segments_take_linear_time():
+    rng = random.Random(1)
+    model = toxicity.Model()
+    for values in ([0.0, 0.0, 0.4, 2.0], [0.06, 0.0, 0.051], [0.0, 0.2]):
+        scores = rng.choices(values, k=160_000)
+        began = time.time()
+        assert model.segments(scores)
+        assert time.time() - began < 2
+    began = time.time()  # sums that fall all the way: every candidate stays
+    assert len(model.segments([0.051, 0.0, 0.0] * 50_000)) == 50_000 and time.time() - began < 2
+
+
 def test_near_copies_count_once():
     base = [f"t{i}" for i in range(60)]
     copies = [(" ".join([*base[:k], "changed", *base[k + 1 :]]), 1) for k in range(20)]
@@ -124,6 +137,18 @@ def test_toxicity_query(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     assert len(rows) == 1000
     assert all(r.held_out == (crc_fold_py(r.doc_id, 4) == 2) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows:  # again from the model's numbers, with the segments of the brute-force scan where there are few hot words
+        words = (texts[r.doc_id] or "").lower().split()
+        found = model.scores(words)
+        hot = [k for k, s in enumerate(found) if s]
+        segs = brute_segments([s - toxicity.DRIFT for s in found[hot[0] : hot[-1] + 1]]) if hot and hot[-1] - hot[0] < 25 else model.segments(found)
+        over = [model.lam * s - math.log(model.k * max(1, len(words))) for *_, s in segs]
+        x = sum(v for v in over if v > 0) or max(over, default=-math.log(model.k * max(1, len(words))) - 1)
+        assert abs(r.score - 1 / (1 + math.exp(-(model.slope * max(-50, min(50, x)) + model.offset)))) < 1e-9
+        assert r.n_passages == sum(model.k * len(words) * math.exp(-model.lam * s) < toxicity.E_VALUE for *_, s in segs)
     clean = [r.predicted for r in rows if labels.get(r.doc_id) == 0]
     toxic = [r.predicted for r in rows if labels.get(r.doc_id) == 1]
     assert sum(clean) <= 0.01 * len(clean) and sum(toxic) >= 0.6 * len(toxic)  # the table has few toxic labels
