@@ -3,9 +3,10 @@
 A document is the sequence of its white-space pieces, with a marker after a piece that repeats the one before. Every piece
 has the average of the learned vectors of its own hash bucket and of those of its character n-grams; a document has the
 average over its pieces, and a softmax layer on that gives the score. Vectors and layer are trained by stochastic gradient
-descent in numpy, on the driver, on at most ``PER_CLASS`` labelled documents of each class (each step sees at most
-``PIECES_A_STEP`` pieces of a document, drawn at random). The average and the layer are linear, so scoring needs one number
-a bucket; every document is scored over its whole text.
+descent in numpy, on the driver, on at most ``PER_CLASS`` labelled documents of each class. Every epoch goes over the whole
+text of each of them: its pieces are shuffled and cut into parts of at most ``PIECES_A_STEP``, each an example whose weight
+is its share of the document. The average and the layer are linear, so scoring needs one number a bucket; every document is
+scored over its whole text.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import types as T
 from .util import Kept, bounded_batches, labelled_sample, release
 
 #: Bound of the labelled sample, of each class.
-PER_CLASS = 1500
+PER_CLASS = 1000
 BUCKETS, DIMENSIONS, GRAMS = 1 << 17, 16, (2, 3, 4)
-EPOCHS, BATCH, RATE, PIECES_A_STEP, SEED = 6, 32, 0.5, 96, 7
+BATCH, RATE, PIECES_A_STEP, SEED = 32, 0.5, 512, 7
+#: Epochs: as many as give this number of examples, between the least and the most.
+EXAMPLES, EPOCHS = 3000, (2, 7)
 #: Document folds: labels of fold ``HELD_OUT`` are never learned from.
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.5
 #: Entries of each generation of the scoring caches of pieces and of n-grams.
@@ -82,13 +85,6 @@ def long_buckets(piece: str) -> Iterator[np.ndarray]:
                 yield 1 + (~state % np.uint32(BUCKETS - 1)).astype(np.int64)
 
 
-class Pieces(Kept):
-    """A cache of pieces that computes long ones each time."""
-
-    def __missing__(self, piece):
-        return self.make(piece) if len(piece) > LONG else super().__missing__(piece)
-
-
 def pieces(text: str | None) -> list[str]:
     words = (text or "").split()
     return [x for i, w in enumerate(words) for x in ((w, REPEATED) if i and words[i - 1] == w else (w,))]
@@ -144,13 +140,22 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         some = np.flatnonzero(sums)
         return some, sums[some].astype(np.float32)
 
-    steps, done = max(1, EPOCHS * len(docs)), 0
+    cut = [max(1, -(-len(p) // PIECES_A_STEP)) for p, _ in docs]
+    epochs = min(EPOCHS[1], max(EPOCHS[0], -(-EXAMPLES // max(1, sum(cut)))))
+    steps, done = max(1, epochs * sum(cut)), 0
     balance = np.array([len(docs) / (2 * max(1, sum(y == c for _, y in docs))) for c in (0, 1)], np.float32)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(docs))
+    for _ in range(epochs):
+        for p, _ in docs:
+            rng.shuffle(p)
+        order = rng.permutation(np.repeat(np.arange(len(docs)), cut))
+        turn = np.zeros(len(docs), np.int64)
         for at in range(0, len(order), BATCH):
-            batch = [docs[i] for i in order[at : at + BATCH]]
-            drawn = [p if len(p) <= PIECES_A_STEP else p[rng.integers(0, len(p), PIECES_A_STEP)] for p, _ in batch]
+            batch, drawn = [docs[i] for i in order[at : at + BATCH]], []
+            for i in order[at : at + BATCH]:  # the document's next part
+                p = docs[i][0]
+                drawn.append(p[turn[i] * len(p) // cut[i] : (turn[i] + 1) * len(p) // cut[i]])
+                turn[i] += 1
+            part = np.array([1 / cut[i] for i in order[at : at + BATCH]], np.float32)
             many = {k: totals(p) for k, p in enumerate(drawn) if size[p].sum() > MANY}
             few = np.array([k for k in range(len(batch)) if k not in many], np.int64)
             hidden = np.zeros((len(batch), DIMENSIONS), np.float32)
@@ -170,7 +175,7 @@ def fit(sample: list[tuple[str, int]]) -> Model:
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(y)), y] -= 1
-            p *= balance[y][:, None]
+            p *= (balance[y] * part)[:, None]
             rate = np.float32(RATE * (1 - done / steps))
             grad = p @ layer.T
             layer -= rate * hidden.T @ p / len(batch) * 4
@@ -220,7 +225,7 @@ def score(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str
             own, *grams = parts(piece)
             return (weight[bucket(own)] + sum(map(gram, grams))) / (1 + len(grams))
 
-        of = Pieces(weigh, PIECES_KEPT).__getitem__
+        of = Kept(weigh, PIECES_KEPT, LONG).__getitem__
         repeated = m.piece(REPEATED)
         for b in batches:
             out = []

@@ -1,7 +1,10 @@
 """Quality, toxicity, main text, and the pipeline."""
 
+import functools
+import html
 import math
 import random
+import re
 import time
 import zlib
 
@@ -161,6 +164,12 @@ def test_quality_on_held_out_texts(spark):
     rows = QUERIES["op7_quality"](spark, DATA).collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     assert len(rows) == 1000
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    texts, of = {r.doc_id: r.text for r in docs.collect()}, functools.cache(model.piece)
+    for r in rows:  # again from the model's numbers
+        parts = quality.pieces(texts[r.doc_id])
+        assert abs(r.score - 1 / (1 + math.exp(-sum(map(of, parts)) / max(1, len(parts)) - model.offset))) < 1e-6
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert sum(p == y for p, y in held) >= 0.97 * len(held)
     assert all(r.held_out == (crc_fold_py(r.doc_id, 3) == 1) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
@@ -191,6 +200,16 @@ def test_long_pieces_count_whole(spark, monkeypatch, slab):
             assert len(quality.buckets(piece)) == 1 + 3 * n  # n + 1, n and n - 1 n-grams of two, three and four characters
 
 
+def test_training_sees_all_of_a_long_document():
+    rng = random.Random(7)
+    filler = lambda n: rng.choices([f"w{k}" for k in range(300)], k=n)
+    text = lambda word, at: " ".join([*filler(at), *[word] * 700, *filler(2100 - at)])
+    for at in (0, 1050, 2100):  # wherever in the text the telling part is
+        model = quality.fit([(text("fine" if y else "poor", at), y) for y in (0, 1) for _ in range(30)])
+        others = [abs(model.piece(f"w{k}")) for k in range(300)]
+        assert model.piece("fine") > 2 * max(others) and -model.piece("poor") > 2 * max(others)
+
+
 def test_documents_that_differ_in_the_middle(spark, monkeypatch):
     ends = "文" * 40
     text = lambda i, letters: ends + "".join(random.Random(i).choices(letters, k=400)) + ends
@@ -222,20 +241,69 @@ def test_without_labels(spark, awkward, operator):
 # -- main text
 
 
-def test_pages_give_their_articles(spark):
-    import html
-    import re
+def article(page):
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    parts = [re.search(r"<h1>(.*?)</h1>", inner, re.S)[1], *re.findall(r"<p>(?:<b>)?(.*?)(?:</p>|<br>)", inner[inner.index("</h1>") :], re.S)]
+    return "\n".join(x for x in (" ".join(html.unescape(x).split()) for x in parts) if x)
+
 
+def test_pages_give_their_articles(spark):
     got = {r.page_id: r for r in QUERIES["op3_html"](spark, DATA).collect()}
     pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
     assert len(got) == len(pages)
     for p in pages:
-        article = re.search(r"<article>(.*)</article>", p.html, re.S)[1]
-        parts = [re.search(r"<h1>(.*?)</h1>", article, re.S)[1], *re.findall(r"<p>(?:<b>)?(.*?)(?:</p>|<br>)", article[article.index("</h1>") :], re.S)]
-        assert got[p.page_id].text == "\n".join(x for x in (" ".join(html.unescape(x).split()) for x in parts) if x)
+        assert got[p.page_id].text == article(p.html)
         assert got[p.page_id].n_chars == len(got[p.page_id].text) and got[p.page_id].url == p.url
 
 
+def test_the_ratios_decide(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    plain = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in pages]
+    right = lambda some: sum(html_extract.main_text(p) == article(q) for p, q in zip(some, pages))
+    assert right(plain) == len(pages)  # no tag tells the article there
+    rng = np.random.default_rng(0)
+
+    def any_ratios(found):
+        of = {}
+        return np.array([of.setdefault(e.path, rng.random()) for *_, e in found])
+
+    monkeypatch.setattr(html_extract, "ratios", any_ratios)
+    assert right(plain) < 0.7 * len(pages) and right(pages) < 0.97 * len(pages)
+    monkeypatch.setattr(html_extract, "ratios", lambda found: np.ones(len(found)))
+    assert right(plain) == 0
+
+
+LONG = "A sentence of prose, with commas; and more of it. " * 6
+SECTIONS = f"""<article><h1>Title</h1><p>{LONG}</p><section class="share-of-market"><h2>Shares</h2><p>{LONG}</p></section>
+<section id="search-algorithms"><h2>Search</h2><p>Short, here.</p></section><div class="feedback-loops no-banner"><p>{LONG}</p><ul><li>x</li><li>y</li></ul></div>
+<div class="share">Share, now.</div><div class="post-comments"><p>{LONG}</p></div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><p><a href=3>The source of it</a></p></article>"""
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_inside_an_article(tag):
+    page = f"<body><div class=menu>Menu, here.</div>{SECTIONS.replace('article', tag)}<div class='newsletter-signup'><p>{LONG}</p></div></body>"
+    one = LONG.strip()
+    assert html_extract.main_text(page) == f"Title\n{one}\nShares\n{one}\nSearch\nShort, here.\n{one}\nx\ny\nThe source of it"
+
+
+def test_boilerplate_at_any_depth():
+    deep = lambda inner: "<div>" * 300 + inner + "</div>" * 300
+    inner = f"<nav><ul><li>Menu, entry.</ul></nav><p>{LONG}</p><div class=comments><p>{LONG} Comment.</p></div><aside><p>{LONG}</p></aside>"
+    assert html_extract.main_text(f"<body>{deep(inner)}</body>") == LONG.strip()
+    assert html_extract.main_text(f"<body><article>{deep(inner)}</article></body>") == LONG.strip()
+
+
+def test_reading_takes_linear_time():
+    pages = [
+        "<a " * 350_000, "<a href='x" * 100_000, "<![CDATA[" * 100_000 + ">", "</script " * 100_000, "<div>" * 20_000 + "x<li>y" * 5000, "<dl>" * 5000 + "<li>z" * 5000,
+        "<b>" * 20_000 + "<p>t</b>" * 5000, "<p>x<a " * 50_000 + ">", "<div><p>some, text." * 10_000, "<td>x" * 20_000, "</b>" * 100_000, "<!--" * 100_000, "<? " * 100_000,
+    ]
+    for page in pages:
+        began = time.time()
+        html_extract.main_text(page)
+        assert time.time() - began < 3, page[:20]
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>x</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1><a href=/>Home</a></header>
 <div class="cookie-notice">We use cookies. Accept, please.</div><div id="wrap"><div class="sidebar"><ul><li><a href=1>x</a></ul></div><div class="post">
 <h2>Head &lt;one&gt;</h2><p>First paragraph, with   text; and&nbsp;more. Indeed.</p><p>Short.</p><ul><li>item one<li>item two</ul><blockquote>Quote, here.</blockquote>
