@@ -14,20 +14,24 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table; one of fewer partitions than there are slots is spread, as each row takes much computing."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spread(_table(spark, sf_dir, name))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pieces(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return packing.pieces(_spread(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op2_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return covertree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return covertree.near_duplicates(_spread(spark, sf_dir, "embeddings"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return html_extract.extract(_spread(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +43,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
+    return bpe.digests(_spread(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", (crc_fold("doc_id", quality.FOLDS) == quality.HELD_OUT).alias("held_out"), "score", "predicted")
@@ -54,11 +58,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(_table(spark, sf_dir, "documents"))
+    return ngram_join.join(_spread(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _spread(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     found = toxicity.detect(docs, model)
     held_out = (crc_fold("doc_id", toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out")

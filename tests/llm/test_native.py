@@ -103,10 +103,46 @@ def test_next_row_by_ranges(spark, monkeypatch):
     assert len(wrapped) == 1 and wrapped[0].next_t == "t8"
 
 
+@pytest.mark.parametrize("kind", ["string", "double", "date"])
+def test_ids_of_any_type(spark, documents, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 30)
+    name = {"string": "concat('doc-', doc_id, '-é')", "double": "doc_id + 0.5", "date": "date_add(date'2020-01-01', cast(doc_id as int))"}[kind]
+    df = documents.selectExpr(f"{name} doc_id", "text")
+    rows = fingerprints.with_next(df, "doc_id", ["text"]).collect()
+    order = sorted(((str(r.doc_id).encode(), r.text) for r in df.collect()), reverse=True)
+    follows = {k: order[(i + 1) % len(order)][1] for i, (k, _) in enumerate(order)}
+    assert all(r.next_text == follows[str(r.doc_id).encode()] for r in rows) and len(rows) == len(order)
+
+
+def test_rows_of_one_key_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 50)
+    df = spark.range(1000).selectExpr("if(id % 3 = 0, null, 7L) k", "concat('t', id) t")
+    out = fingerprints.with_next(df, "k", ["t"])
+    rows = out.collect()
+    follows = {r.t: r.next_t for r in rows}
+    seen, at = set(), "t0"
+    while at not in seen:
+        seen.add(at)
+        at = follows[at]
+    assert len(seen) == 1000  # one circle of all rows
+    assert max(r["n"] for r in df.withColumn("p", F.lit(1)).groupBy("k").agg(F.count("*").alias("n")).collect()) > 300
+    assert sum((a < 0) != (b < 0) for a, b in ((1 if r.k else -1, 1 if follows_key(rows, r) else -1) for r in rows)) == 2
+
+
+def follows_key(rows, row):
+    return next(r.k for r in rows if r.t == row.next_t)
+
+
+def test_packing_of_bins(spark, documents):
+    df = fingerprints.with_bins(documents.select("doc_id", "text"), "text", "bins")
+    got = df.select("bins", fingerprints.packed(F.col("bins")).alias("f")).withColumn("again", fingerprints.unpacked(F.col("f"))).collect()
+    assert all(r.bins == r.again and len(r.f) in (0, 2 * fingerprints.BINS) for r in got)
+
+
 def test_densified_bins_estimate_short_texts(spark):
     a = "one two three four five six seven eight nine ten eleven twelve"
     df = spark.createDataFrame([(1, a, a + " thirteen")], "i int, a string, b string")
-    r = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "fa"), "b", "fb").select(fingerprints.likeness(F.col("fa"), F.col("fb")).alias("x")).first()
+    r = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "fa"), "b", "fb").select(fingerprints.likeness(fingerprints.unpacked(F.col("fa")), fingerprints.unpacked(F.col("fb"))).alias("x")).first()
     assert abs(r.x - 8 / 9) < 0.15
 
 
