@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,8 @@ from ..markdown.options import Options
 #: ECMAScript white space as a Java character class.
 JS_SPACE = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
 
+BLANK = "".join(sorted(chunking.BLANK))
+
 
 def raw_size(text: Column) -> Column:
     """Length in UTF-16 units; null counts as 0."""
@@ -26,7 +29,7 @@ def raw_size(text: Column) -> Column:
 
 def trim(text: Column) -> Column:
     """Without ECMAScript white space at either end."""
-    return F.regexp_replace(text, f"\\A{JS_SPACE}+|{JS_SPACE}+\\z", "")
+    return F.trim(text, F.lit(BLANK))
 
 
 def balance_bonus(first: Column, second: Column) -> Column:
@@ -41,27 +44,48 @@ def score_boundary(position: Column, weight: Column, ranges: Column) -> Column:
     return weight - F.coalesce(F.array_max(F.transform(around, lambda r: r["penalty"].cast("double"))), F.lit(0.0))
 
 
+#: Stands for the second unit of a character beyond the basic plane while such a text is cut (a noncharacter of Unicode).
+_SECOND = "\ufdd0"
+
+
 def raw_cap(text: Column, most: int) -> Column:
-    """Pieces of at most ``most`` characters, cut at the last white space of a piece's final fifth if there is any, with
-    built-in functions (for texts without characters beyond the basic plane, whose two units count as one here)."""
+    """Pieces of at most ``most`` UTF-16 units, cut at the last white space of a piece's final fifth if there is any, with
+    built-in functions, in steps in proportion to the text. Null stays null; a text without pieces gives an empty array.
+
+    One pattern reads piece after piece: all of what is left if that is short enough, else up to such white space (which is
+    skipped), else a full piece. Characters of two units are read as themselves and a mark that no piece begins with."""
     if most < 1:
         raise ValueError("the limit must be 1 or more")
+    if most < 6:  # less than two places to look for white space at
+        return raw_cap_units(text, F.lit(most))
     soft = int(most * 0.8)
-    state = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, _: Column) -> Column:
-        rest = s["rest"]
-        head = F.regexp_extract(F.substring(rest, soft + 1, most - soft), f"(?s)\\A(.*){JS_SPACE}", 1)
-        spaced = F.substring(rest, soft + 1, most - soft).rlike(JS_SPACE)
-        at = F.when(spaced, F.lit(soft) + F.length(head)).otherwise(F.lit(most))
-        tail = F.substring(rest, at + 1, F.length(rest))
-        piece = trim(F.substring(rest, F.lit(1), at))
-        out = F.when(piece != "", F.concat(s["out"], F.array(piece))).otherwise(s["out"])
-        cut = F.struct(F.when(spaced, trim(tail)).otherwise(tail).alias("rest"), out.alias("out"))
-        return F.when(F.length(rest) > most, cut).otherwise(s)
-
-    rounds = F.sequence(F.lit(1), (F.length(text) / max(1, soft)).cast("int") + 1)
-    return F.aggregate(rounds, state, step, lambda s: F.when(s["rest"] != "", F.concat(s["out"], F.array(s["rest"]))).otherwise(s["out"]))
+    full = [f".{{{most}}}(?!{_SECOND})", f".{{{most - 1}}}(?!{_SECOND})"]
+    pattern = "|".join([f".{{1,{most}}}\\z", f".{{{soft},{most - 1}}}{JS_SPACE}+", *full])
+    wide = "[\\x{10000}-\\x{10FFFF}]"
+    marked = F.when(text.rlike(wide), F.regexp_replace(text, f"({wide})", f"$1{_SECOND}")).otherwise(text)
+    read = lambda t: F.regexp_extract_all(t, F.lit(f"(?s)(?:{pattern})"), F.lit(0))
+    # from the first cut at white space on, what is left has none at its end; without such a cut it stays as it is
+    shorter = _bound(read(F.rtrim(marked, F.lit(BLANK))), lambda found: F.when(F.exists(found, lambda m: m.rlike(f"{JS_SPACE}\\z")), found))
+    return _bound(F.coalesce(shorter, read(marked)), _pieces(most))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pieces(most: int) -> Callable[[Column], Column]:
+    """Cut pieces are trimmed and dropped if empty; the rest after the last cut is neither, but for white space at its end
+    after a cut at white space."""
+
+    def shown(found: Column) -> Column:
+        rest = lambda m, i: (i == F.size(found) - 1) & (F.char_length(m) <= most)
+        spaced = F.exists(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda m: m.rlike(f"{JS_SPACE}\\z"))
+        ended = lambda m: F.when(spaced, F.rtrim(m, F.lit(BLANK))).otherwise(m)
+        made = F.transform(found, lambda m, i: F.replace(F.when(rest(m, i), ended(m)).otherwise(trim(m)), F.lit(_SECOND), F.lit("")))
+        return F.filter(made, lambda m: m != "")
+
+    return shown
 
 
 @F.pandas_udf(T.IntegerType())

@@ -7,7 +7,8 @@ by the same rule: in order, as many as fit; one that alone is too large stands a
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from typing import Protocol
 
 from .blocks import parse
 from .nodes import Node, content_size, from_units, plain_text, root, units
@@ -18,7 +19,7 @@ from .serialise import serialise
 from .textsplit import SPACE, plain_paragraph, split_plain, split_text
 
 _EDGES = re.compile(rf"\A[{SPACE}]+|[{SPACE}]+\Z")
-_BLANK = frozenset("\t\n\v\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B))))
+BLANK = frozenset("\t\n\v\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B))))
 
 
 def trim(text: str) -> str:
@@ -33,7 +34,7 @@ def cap(text: str, most: int) -> list[str]:
         raise ValueError("the limit must be 1 or more")
     out, start, end = [], 0, len(text)
     while end - start > most:
-        cut = next((i for i in range(start + most - 1, start + int(most * 0.8) - 1, -1) if text[i] in _BLANK), None)
+        cut = next((i for i in range(start + most - 1, start + int(most * 0.8) - 1, -1) if text[i] in BLANK), None)
         spaced = cut is not None
         if not spaced:
             cut = start + most
@@ -43,9 +44,9 @@ def cap(text: str, most: int) -> list[str]:
             out.append(piece)
         start = cut
         if spaced:  # what is left is trimmed at both ends
-            while start < end and text[start] in _BLANK:
+            while start < end and text[start] in BLANK:
                 start += 1
-            while end > start and text[end - 1] in _BLANK:
+            while end > start and text[end - 1] in BLANK:
                 end -= 1
     return [*out, text[start:end]] if end > start else out
 
@@ -76,11 +77,28 @@ def packed(items: list, size: Callable, limit: float) -> Iterator[tuple[list, bo
 ELEMENTS = ("list", "table", "blockquote", "code")
 
 
+class NodeSplitter(Protocol):
+    """How blocks of one kind are split: called with a block that is above the limit and the ``Splitter`` at work (its
+    ``options``, ``limit``, and ``split`` and ``pieces`` for what the block holds); gives the nodes it falls into, in order.
+    A node that is still above the limit stays so. It runs on workers, so it must be picklable."""
+
+    def __call__(self, node: Node, splitter: Splitter) -> Iterable[Node]: ...
+
+
 class Splitter:
-    """Splits trees under one set of options. Results are root nodes whose ``crumbs`` are the headings above them."""
+    """Splits trees under one set of options. Results are root nodes whose ``crumbs`` are the headings above them.
+    ``own`` maps kinds of blocks to splitters that are used instead of the ones here."""
+
+    def __init__(self, options: Options, own: Mapping[str, NodeSplitter] | None = None):
+        self.options, self.limit, self.own = options, options.limit, own or {}
 
-    def __init__(self, options: Options):
-        self.options, self.limit = options, options.limit
+    def pieces(self, node: Node) -> list[Node]:
+        """The parts of one block by the splitter of its kind; a block that fits is its only part."""
+        if content_size(node) <= self.limit:
+            return [node]
+        if node.type in self.own:
+            return list(self.own[node.type](node, self))
+        return getattr(self, "_" + node.type)(node) if node.type in ELEMENTS else self._text(node)
 
     def element(self, kind: str, text: str) -> list[str]:
         """The pieces of a text whose first block is of this kind (list, table, blockquote or code)."""
@@ -151,11 +169,7 @@ class Splitter:
                 yield self._chunk(run, crumbs if run[0] is heading else below)
 
     def _block(self, node: Node, crumbs: tuple) -> Iterator[Node]:
-        if content_size(node) <= self.limit:
-            parts = [node]
-        else:
-            parts = getattr(self, "_" + node.type)(node) if node.type in ELEMENTS else self._text(node)
-        for part in parts:
+        for part in self.pieces(node):
             made = part.copy() if part.type == "root" else root([part])
             made.crumbs = crumbs
             yield made
@@ -223,25 +237,25 @@ def parsed(text: str, options: Options) -> Node:
     return preprocess(parse(units(text)), options)
 
 
-def chunks(text: str | None, options: Options) -> list[tuple[str, list[tuple[str, int]]]]:
+def chunks(text: str | None, options: Options, own: Mapping[str, NodeSplitter] | None = None) -> list[tuple[str, list[tuple[str, int]]]]:
     """(chunk, breadcrumbs as (heading text, depth)) of a document, in order; null and blank ones have none."""
     if not text:
         return []
     out = []
-    for markdown, headings in whole_chunks(units(text), options):
+    for markdown, headings in whole_chunks(units(text), options, own=own):
         crumbs = [(from_units(plain_text(h)), h.depth) for h in headings]
         pieces = cap(markdown, options.max_raw_size) if options.max_raw_size is not None and len(markdown) > options.max_raw_size else [markdown]
         out += [(from_units(p), crumbs) for p in pieces]
     return out
 
 
-def whole_chunks(text: str, options: Options, shortcut: bool = True) -> Iterator[tuple[str, tuple]]:
+def whole_chunks(text: str, options: Options, shortcut: bool = True, own: Mapping[str, NodeSplitter] | None = None) -> Iterator[tuple[str, tuple]]:
     """(Markdown, headings above) of each chunk, before the raw cap. Plain paragraphs need no tree (``shortcut``)."""
-    body = plain_paragraph(text) if shortcut else None
+    body = plain_paragraph(text) if shortcut and "paragraph" not in (own or {}) else None
     if body is not None:
         found = [(piece, ()) for piece in ([body] if len(body) <= options.limit else split_plain(body, options))]
     else:
-        found = [(serialise(n), n.crumbs) for n in Splitter(options).split(preprocess(parse(text), options).children)]
+        found = [(serialise(n), n.crumbs) for n in Splitter(options, own).split(preprocess(parse(text), options).children)]
     for markdown, crumbs in found:
         if markdown := trim(markdown):
             yield markdown, crumbs

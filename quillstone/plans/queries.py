@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as Q
 from .. import streaming
+from ..markdown.chunking import cap_all
+from ..markdown.nodes import tree_of
 from ..markdown.options import ALLOW, BY_SIZE, NEVER, REMOVE, Options, Rule
-from ..markdown.textsplit import word_ends
+from ..markdown.sections import flatten, is_section, section
+from ..markdown.sections import section_size as size_of_section
+from ..markdown.textsplit import Range, clip_ranges, word_ends
 from ..operators import Chunker, blocks, greedy_groups, merge_intervals, section_paths, section_sizes
 from ..operators.chunk import register
 from ..sources import read_table, scratch, spread
@@ -23,6 +28,9 @@ CAP = 1000
 #: Texts with any of these may hold markup; the others' content size is that of their lines without outer blanks.
 MARKUP = r"[\\`*_~\[\]<&@|#>=\t\r]|://|www\.|\n *\n|  \n|(?:\A|\n) *(?:[-+]|[0-9]{1,9}[.)])|(?:\A|\n)    "
 
+#: Underscores are escaped in normal form.
+_NAME = r"replace(n_name, '_', '\_')"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -189,6 +197,9 @@ _COUNT = r"""
             ("comma", r",\s", ""),
             ("period_fallback", r"\.", ""),
             ("whitespace", r"\s+", ""),
+            ("bracket_pairs", r"\([^)]*\)[.?!]?|\[[^\]]*\][.?!]?|\{{[^}}]*\}}[.?!]?", ""),
+            ("quote_pairs", r"\"[^\"]*\"|''[^'']*''|`[^`]*`|´[^´]*´", ""),
+            ("dashes", r"\s[–—-]\s", ""),
         )
     )
     + ") WHERE n > 0"
@@ -196,9 +207,8 @@ _COUNT = r"""
 def boundary_counts(spark: SparkSession, d: str) -> DataFrame:
     """Boundaries of each kind in the documents."""
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
-    kinds = ["period_newline", "period_sentence", "question_exclamation", "colon_semicolon", "line_break", "comma", "period_fallback", "whitespace"]
     counts = docs.select("doc_id", F.explode(Q.pattern_counts("text")).alias("type", "n"))
-    return counts.where(F.col("type").isin(kinds)).select("doc_id", "type", F.col("n").cast("long").alias("n"))
+    return counts.select("doc_id", "type", F.col("n").cast("long").alias("n"))
 
 
 @query(
@@ -314,18 +324,241 @@ def interval_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    SELECT * FROM (VALUES ('allow', 'list', 10, true), ('allow', 'list', 90, true), ('never', 'list', 10, false), ('never', 'list', 90, false),
-      ('size', 'list', 50, false), ('size', 'list', 51, true), ('none', 'list', 10, true), ('never', 'strong', 10, false), ('size', 'strong', 51, true),
-      ('size', 'strong', 50, false), ('none', 'heading', 10, true)) t(rule, element, size, splittable)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+      CASE WHEN l_linenumber % 4 = 0 THEN true WHEN l_linenumber % 4 = 1 THEN false WHEN l_linenumber % 4 = 2 THEN l_quantity > 25 ELSE l_partkey % 3 <> 2 END AS splittable
+    FROM lineitem
     """
 )
 def rule_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """What may be split under which rule; formatting rules stand in for strong."""
-    rules = {"allow": ALLOW, "never": NEVER, "size": {"split": BY_SIZE, "size": 50}, "none": None}
-    cases = [("allow", "list", 10), ("allow", "list", 90), ("never", "list", 10), ("never", "list", 90), ("size", "list", 50), ("size", "list", 51), ("none", "list", 10),
-             ("never", "strong", 10), ("size", "strong", 51), ("size", "strong", 50), ("none", "heading", 10)]
-    rows = [(r, e, s, Options(1, rules={"formatting" if e == "strong" else e: rules[r]}).splittable(e, lambda s=s: s)) for r, e, s in cases]
-    return spark.createDataFrame(rows, "rule string, element string, size int, splittable boolean")
+    """What may be split under which rule: allowed, never, by size; the last kind has a rule for headings only. Rules for
+    formatting stand in for strong."""
+    kinds = ["list", "strong", "heading"]
+    sets = [Options(1, rules={k: rule for k in ("list", "formatting", "heading")}) for rule in (ALLOW, NEVER, {"split": {"rule": BY_SIZE, "size": 25}})] + [Options(1, rules={"heading": NEVER})]
+
+    @F.pandas_udf("boolean")
+    def splittable(rules: pd.Series, kind: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series([sets[r].splittable(kinds[k], lambda n=n: n) for r, k, n in zip(rules, kind, size)], dtype=bool)
+
+    rows = read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return rows.withColumn("splittable", splittable(F.col("l_linenumber") % 4, F.col("l_partkey") % 3, F.col("l_quantity")))
+
+
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(l_partkey % 150, 60) - 60 AS range_start, least(l_partkey % 150 + l_quantity, 110) - 60 AS range_end
+    FROM lineitem WHERE l_partkey % 150 < 110 AND l_partkey % 150 + l_quantity > 60
+    """
+)
+def clipped_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Ranges as they lie in a part of the text (from 60 to 110)."""
+
+    @F.pandas_udf("array<double>")
+    def clip(start: pd.Series, end: pd.Series) -> pd.Series:
+        found = (clip_ranges([Range(a, b, "link", 1)], 60, 110) for a, b in zip(start, end))
+        return pd.Series([[f[0].start, f[0].end] if f else None for f in found])
+
+    start = F.col("l_partkey") % 150
+    rows = read_table(spark, d, "lineitem").withColumn("r", clip(start, start + F.col("l_quantity"))).where("r is not null")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("r")[0].alias("range_start"), F.col("r")[1].alias("range_end"))
+
+
+# -- where scored cuts fall
+
+_LIMIT = 60
+#: A text of many kinds of boundaries for each customer, the same for Spark and DuckDB.
+_PROSE = (
+    "concat('Customer ', c_custkey, ', of nation ', c_nationkey, '; buys ', lower(c_mktsegment), ' things \u2013 or so (see list ', c_custkey % 7, ') and \"more\" today? Yes: it pays ', "
+    "c_custkey * 37 % 10007, ' at once. No other customer of the segment ', c_mktsegment, ' does, as ', length(c_name), ' of us know. The end: all of it')"
+)
+_PROSE_CUTS = f"""
+    docs AS (SELECT c_custkey AS k, {_PROSE} AS t FROM customer),
+    places AS (SELECT k, t, p, substr(t, p, 1) AS c, substr(t, p + 1, 1) AS nx, substr(t, p - 1, 1) AS pv FROM (SELECT k, t, unnest(range(1, length(t) + 1)) AS p FROM docs)),
+    b AS (
+      SELECT k, p, 10 AS w FROM places WHERE c IN (' ', '.') UNION ALL
+      SELECT k, p, 100 FROM places WHERE (c = ' ' AND pv IN ('.', '?', '!') AND regexp_matches(nx, '^[A-Z]')) OR (c IN ('?', '!') AND nx IN (' ', '')) UNION ALL
+      SELECT k, p, 70 FROM places WHERE (c IN (':', ';') AND nx = ' ') OR c = ')' OR (c = '"' AND length(replace(substr(t, 1, p), '"', '')) % 2 = p % 2) UNION ALL
+      SELECT k, p, 40 FROM places WHERE c = ',' AND nx = ' ' UNION ALL
+      SELECT k, p, 30 FROM places WHERE c = ' ' AND pv = '\u2013' AND substr(t, p - 2, 1) = ' '
+    ),
+    seg AS (
+      SELECT k, 0 AS low, length(t) + 1 AS high, 0 AS base, 1000 AS w, length(t) AS size FROM docs
+      UNION ALL
+      SELECT k, CASE WHEN side = 0 THEN low ELSE p END, CASE WHEN side = 0 THEN p ELSE high END, CASE WHEN side = 0 THEN base ELSE p END, pw,
+        length(trim(CASE WHEN side = 0 THEN substr(t, low + 1, p - low) ELSE substr(t, p + 1, high - p) END))
+      FROM (
+        SELECT k, t, low, high, base, CAST(100000 - best % 1000000 AS INTEGER) AS p, CAST(best // 1000000 % 1000 AS INTEGER) AS pw
+        FROM (
+          SELECT s.k, d.t, s.low, s.high, s.base,
+            max((b.w + CAST(floor(least(b.p - s.base, s.size - (b.p - s.base)) / CAST(s.size AS DOUBLE) * 40 + 0.5) AS BIGINT)) * 1000000000 + b.w * 1000000 + (100000 - b.p)) AS best
+          FROM seg s JOIN docs d ON d.k = s.k JOIN b ON b.k = s.k AND b.p > s.low AND b.p < s.high AND b.w <= s.w
+          WHERE s.size > {_LIMIT} GROUP BY s.k, d.t, s.low, s.high, s.base
+        )
+      ) CROSS JOIN (VALUES (0), (1)) sides(side)
+    ),
+    leaves AS (
+      SELECT s.k, s.low, trim(substr(d.t, s.low + 1, s.high - s.low)) AS text FROM seg s JOIN docs d ON d.k = s.k
+      WHERE s.size <= {_LIMIT} OR NOT EXISTS (SELECT 1 FROM b WHERE b.k = s.k AND b.p > s.low AND b.p < s.high AND b.w <= s.w)
+    )"""
+
+
+def _prose(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "customer").select("c_custkey", F.expr(_PROSE).alias("text"))
+
+
+@query(f"WITH RECURSIVE {_PROSE_CUTS} SELECT k AS c_custkey, row_number() OVER (PARTITION BY k ORDER BY low) - 1 AS chunk_index, text FROM leaves WHERE text <> ''")
+def scored_cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Where the scored splitter cuts: the SQL scores every boundary with its weight and balance and splits in turn."""
+    return Chunker(Options(_LIMIT)).transform(_prose(spark, d)).select("c_custkey", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+@query(f"WITH RECURSIVE {_PROSE_CUTS} SELECT k AS c_custkey, list(text ORDER BY low) AS pieces FROM leaves WHERE text <> '' GROUP BY k")
+def scored_cuts_by_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The same cuts through the tree splitter's own entrance, which takes no short cut for plain paragraphs."""
+    chunker = Chunker(Options(_LIMIT))
+
+    @F.pandas_udf("array<string>")
+    def pieces(text: pd.Series) -> pd.Series:
+        return text.map(chunker.split_blocks)
+
+    return _prose(spark, d).select("c_custkey", pieces("text").alias("pieces"))
+
+
+_CAPPED = 50
+
+
+@query(
+    f"""
+    WITH RECURSIVE cut AS (
+      SELECT c_custkey, 0 AS n, CAST(NULL AS VARCHAR) AS piece, {_PROSE} AS rest FROM customer
+      UNION ALL
+      SELECT c_custkey, n + 1, CASE WHEN length(rest) > {_CAPPED} THEN trim(substr(rest, 1, k)) ELSE rest END,
+        CASE WHEN length(rest) <= {_CAPPED} THEN '' WHEN w LIKE '% %' THEN trim(substr(rest, k + 1)) ELSE substr(rest, k + 1) END
+      FROM (SELECT *, CASE WHEN w LIKE '% %' THEN {int(_CAPPED * 0.8)} + length(regexp_extract(w, '^(.*) ', 1)) ELSE {_CAPPED} END AS k
+            FROM (SELECT *, substr(rest, {int(_CAPPED * 0.8)} + 1, {_CAPPED - int(_CAPPED * 0.8)}) AS w FROM cut WHERE rest <> ''))
+    )
+    SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey ORDER BY n) - 1 AS chunk_index, piece AS text FROM cut WHERE n > 0 AND piece <> ''
+    """
+)
+def capped_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that fit by content are cut by the cap on their raw length."""
+    out = Chunker(Options(1000, max_raw_size=_CAPPED)).transform(_prose(spark, d))
+    return out.select("c_custkey", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+@query(
+    "SELECT c_custkey, unnest([0, 1, 2, 3]) AS piece_index, unnest(['ab cd', '', c_custkey || ' of', 'customers']) AS piece FROM customer"
+)
+def capped_list(spark: SparkSession, d: str) -> DataFrame:
+    """The cap over a list of texts: those within it stay as they are, empty ones too; the last is cut in two."""
+
+    @F.pandas_udf("array<string>")
+    def capped(key: pd.Series) -> pd.Series:
+        return key.map(lambda k: cap_all(["ab cd", "", f"{k} of      customers"], 9))
+
+    rows = read_table(spark, d, "customer").select("c_custkey", F.posexplode(capped("c_custkey")).alias("piece_index", "piece"))
+    return rows
+
+
+@query(
+    """
+    SELECT c_custkey, unnest([0, 1, 2]) AS chunk_index,
+      unnest(['Go to', concat('[Customer number ', c_custkey, ' of the market ', c_mktsegment, '](http://example.com/', c_nationkey, ')'), 'now']) AS text FROM customer
+    """
+)
+def links_stay_whole(spark: SparkSession, d: str) -> DataFrame:
+    """No cut inside a link that may not be split, although it is above the limit: what is around it is cut off."""
+    text = F.expr("concat('Go to [Customer number ', c_custkey, ' of the market ', c_mktsegment, '](http://example.com/', c_nationkey, ') now')")
+    docs = read_table(spark, d, "customer").select("c_custkey", text.alias("text"))
+    return Chunker(Options(20)).transform(docs).select("c_custkey", "chunk_index", "text")
+
+
+_FIRST = "concat('Customer ', c_custkey, ' buys from the segment ', c_mktsegment, '.')"
+_SECOND = "concat('It lives in the nation number ', c_nationkey, ' of them')"
+
+
+def _oversize(spark: SparkSession, d: str, source: str, size: int = 50) -> DataFrame:
+    docs = read_table(spark, d, "customer").select("c_custkey", F.expr(source).alias("text"))
+    return Chunker(Options(size)).transform(docs).select("c_custkey", F.col("chunk_index").cast("long").alias("chunk_index"), "text", crumbs().alias("breadcrumbs"))
+
+
+def _expected(*pieces: str) -> str:
+    """SQL for these chunks (SQL texts, or pairs of text and breadcrumbs) of each customer."""
+    pairs = [p if isinstance(p, tuple) else (p, "''") for p in pieces]
+    return " UNION ALL ".join(f"SELECT c_custkey, CAST({i} AS BIGINT) AS chunk_index, {t} AS text, {b} AS breadcrumbs FROM customer" for i, (t, b) in enumerate(pairs))
+
+
+@query(_expected("'* short'", f"concat('* ', {_FIRST})", _SECOND, "'* last'"))
+def oversize_item(spark: SparkSession, d: str) -> DataFrame:
+    """An item above the limit: its first piece stays an item, the others stand alone."""
+    return _oversize(spark, d, f"concat('- short\n- ', {_FIRST}, ' ', {_SECOND}, '\n- last')")
+
+
+@query(_expected("'> short'", f"concat('> ', {_FIRST})", f"concat('> ', {_SECOND}, chr(10), '>')"))
+def oversize_quote(spark: SparkSession, d: str) -> DataFrame:
+    """A paragraph of a quote above the limit: a quote for each piece; pieces keep the line end of the text they are cut from."""
+    return _oversize(spark, d, f"concat('> short\n>\n> ', {_FIRST}, ' ', {_SECOND})")
+
+
+@query(
+    _expected(
+        "concat('| key |', chr(10), '| - |', chr(10), '| ', c_custkey, ' |')", f"concat('| about |', chr(10), '| - |', chr(10), '| ', {_FIRST}, '  |')",
+        f"concat('| about |', chr(10), '| - |', chr(10), '| ', {_SECOND}, chr(10), ' |')",
+    )
+)
+def oversize_row(spark: SparkSession, d: str) -> DataFrame:
+    """A row above the limit: a table for each of its cells, under the cell's own header; a cell above it in pieces."""
+    return _oversize(spark, d, f"concat('| key | about |\n|---|---|\n| ', c_custkey, ' | ', {_FIRST}, ' ', {_SECOND}, ' |')")
+
+
+@query(_expected(f"concat('# ', {_FIRST})", _SECOND, ("'Body'", f"concat({_FIRST}, ' ', {_SECOND})")))
+def oversize_heading(spark: SparkSession, d: str) -> DataFrame:
+    """A heading above the limit is split as text; what follows is under all of it."""
+    return _oversize(spark, d, f"concat('# ', {_FIRST}, ' ', {_SECOND}, '\n\nBody')")
+
+
+@query("SELECT c_custkey, CAST(0 AS BIGINT) AS chunk_index, concat('![', c_mktsegment, '](http://example.com/', c_custkey, '.png) here') AS text, '' AS breadcrumbs FROM customer")
+def image_inline(spark: SparkSession, d: str) -> DataFrame:
+    """References of images are written out like those of links."""
+    return _oversize(spark, d, "concat('![', c_mktsegment, '][p', c_custkey, '] here\n\n[p', c_custkey, ']: http://example.com/', c_custkey, '.png')", 1000)
+
+
+@query(
+    f"""
+    SELECT n_nationkey, 1.0 AS ratio, 1000.0 AS most, '# ' || {_NAME} || chr(10) || chr(10) || 'Nation ' || n_nationkey AS chunk, 1 AS trees, 'root' AS tree, 2 AS blocks,
+      length(n_name) + 7 + length(n_nationkey::VARCHAR) AS size, true AS section, false AS heading, 2 AS kept, 3 AS depth
+    FROM nation
+    """
+)
+def chunker_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The entrances for one text and for trees, the options as read back, and the small parts that make trees and sections."""
+    chunker = Chunker(Options(1000, 0.5))
+
+    @F.pandas_udf("ratio double, most double, chunk string, trees int, tree string, blocks int, size int, section boolean, heading boolean, kept int, depth int")
+    def parts(text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in text:
+            chunks, trees = chunker.split_text(t), chunker.split_nodes(t)
+            nodes = trees[0].children
+            made = section(3, nodes[0], nodes[1:])
+            rows.append((
+                float(chunker.max_overflow_ratio), float(chunker.options.limit), chunks[0], len(trees), trees[0].type, len(tree_of(nodes).children), size_of_section(made),
+                is_section(made), is_section(nodes[0]), len(flatten([made])), made.depth,
+            ))
+        return pd.DataFrame(rows, columns=["ratio", "most", "chunk", "trees", "tree", "blocks", "size", "section", "heading", "kept", "depth"])
+
+    text = F.concat(F.lit("# "), F.col("n_name"), F.lit("\n\nNation "), F.col("n_nationkey").cast("string"))
+    return read_table(spark, d, "nation").select("n_nationkey", parts(text).alias("p")).select("n_nationkey", "p.*")
+
+
+@query("SELECT c_custkey, CAST(c.i AS INTEGER) AS chunk_index, c.t AS text FROM (SELECT c_custkey, unnest([{'i': 0, 't': 'Before'}, {'i': 1, 't': concat('> ', c_custkey, ' one, two')}, {'i': 2, 't': concat('> ', 'three')}]) AS c FROM customer)")
+def rules_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Rules given to the table function as JSON: a quote that may not be split stays whole above the limit."""
+    register(spark)
+    read_table(spark, d, "customer").createOrReplaceTempView("quillstone_customers")
+    text = "concat('Before\n\n> ', c_custkey, ' one, two')"
+    whole = f"SELECT c_custkey, c.chunk_index, c.text FROM quillstone_customers, LATERAL chunk({text}, 7, 1.0, NULL, '{{\"blockquote\": \"never-split\"}}') c"
+    split = "SELECT c_custkey, c.chunk_index + 2 AS chunk_index, c.text FROM quillstone_customers, LATERAL chunk('> three', 7, 1.0, NULL, '{}') c"
+    return spark.sql(f"{whole} UNION ALL {split}")
 
 
 # -- structure, from the star schema
@@ -344,9 +577,6 @@ def packed_sql(source: str, key: str, order: str, size: str, limit: int) -> str:
     )"""
 
 
-#: Underscores are escaped in normal form.
-_NAME = r"replace(n_name, '_', '\_')"
-
 _CUSTOMERS = "SELECT c_nationkey, c_custkey, length(c_custkey::VARCHAR) + length(c_mktsegment) AS size FROM customer"
 
 

@@ -14,11 +14,24 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share for intermediate files; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share for intermediate files. Where none is set, a local session gets a
+    temporary one; on a cluster it is an error, as executors would write to disks of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (folder or tempfile.mkdtemp(prefix="quillstone-")).rstrip("/")
 
 
+#: Rows and bytes of one Arrow batch handed to Python: batches of very long texts stay small.
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 23
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in rows and bytes. Settings are read when a plan is executed, so they have one value only."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table just read, over at least as many partitions as there are slots. Chunking is all computing, so a small input
     in one file would leave the other slots idle; an input of many files is left as it is and nothing is shuffled."""

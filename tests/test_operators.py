@@ -1,5 +1,8 @@
 """The DataFrame operators, sources and streams."""
 
+import random
+import time
+
 import duckdb
 import pytest
 
@@ -8,6 +11,7 @@ from quillstone import Chunker, Options, chunk, register
 from quillstone import functions as Q
 from quillstone.markdown.blocks import parse
 from quillstone.markdown.chunking import cap
+from quillstone.markdown.nodes import Node, from_units, plain_text, units
 from quillstone.markdown.sections import hierarchy, is_section
 from quillstone.operators import blocks, greedy_groups, merge_intervals, section_paths, section_sizes
 from quillstone.plans import queries as plans
@@ -90,11 +94,42 @@ def test_functions(spark):
 
 @pytest.mark.parametrize("most", [1, 3, 7, 20])
 def test_native_cap_is_the_cap(spark, most):
-    texts = ["", "a", "aaa bbb  ccc\ndddddddddd e", " lead and trail ", "x" * 50, "a b c d e f g h i j"]
+    rng = random.Random(most)
+    texts = ["", "a", "aaa bbb  ccc\ndddddddddd e", " lead and trail ", "x" * 50, "a b c d e f g h i j", "  ", "aaaaaaaaaa   "]
+    texts += ["".join(rng.choices(rng.choice(["ab  ", "a \n\u00a0", "a😀 ", "😀", "abcdefgh😀é "]), k=rng.randint(0, 60))) for _ in range(300)]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     rows = df.select("t", Q.raw_cap(F.col("t"), most).alias("native"), Q.raw_cap_units("t", F.lit(most)).alias("units")).collect()
     for r in rows:
-        assert r.native == r.units == cap(r.t, most)
+        assert r.native == r.units == [from_units(p) for p in cap(units(r.t), most)]
+    assert df.select(Q.raw_cap(F.lit(None).cast("string"), most).alias("x")).first().x is None
+
+
+def test_native_cap_takes_linear_time(spark):
+    df = spark.createDataFrame([("word and other " * 100_000,)], "t string")
+    began = time.time()
+    assert df.select(F.size(Q.raw_cap(F.col("t"), 1000)).alias("n")).first().n > 1400 and time.time() - began < 10
+
+
+def test_a_splitter_of_ones_own(spark):
+    def shout(node, splitter):
+        """Each block of a quote by itself, loudly."""
+        return [Node("paragraph", [Node("text", value=plain_text(c).upper())]) for c in node.children]
+
+    chunker = Chunker(Options(8), {"blockquote": shout})
+    text = "> one two\n>\n> three\n\n> small"
+    assert chunker.split_text(text) == ["ONE TWO", "THREE", "> small"]
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    assert [r.text for r in chunker.transform(df).collect()] == ["ONE TWO", "THREE", "> small"]
+    words = lambda node, splitter: [Node("paragraph", [Node("text", value=w)]) for w in plain_text(node).split()]
+    assert Chunker(Options(3), {"paragraph": words}).split_text("aa bb cc") == ["aa", "bb", "cc"]
+
+
+def test_rules_in_sql(spark):
+    register(spark)
+    rows = spark.sql("""SELECT c.text FROM (SELECT '[a long link text](http://x) b' AS t) d, LATERAL chunk(d.t, 6, 1.0, NULL, '{"link": "allow-split"}') c""").collect()
+    assert len(rows) > 2
+    with pytest.raises(Exception, match="no such rules"):
+        spark.sql("""SELECT c.text FROM (SELECT 'x' AS t) d, LATERAL chunk(d.t, 6, 1.0, NULL, '{"nothing": "allow-split"}') c""").collect()
 
 
 def test_files_in_and_out(spark, tmp_path):
