@@ -13,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillstone.llm import html_extract, quality, toxicity, util
-from quillstone.llm.queries import QUERIES
+import test_near
+from quillstone.llm import bpe, html_extract, quality, toxicity, util
+from quillstone.llm.queries import QUERIES, VOCABULARY
 from quillstone.llm.util import crc_fold, crc_fold_py, labelled_sample
 
 DATA = "/root/testdata/sf0.01"
@@ -397,6 +398,41 @@ def test_stages_on_awkward_tables(spark, awkward, tmp_path):
             docs = spark.read.parquet(path)
 
 
-def test_run_is_the_stages(spark):
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert rows.count() > 0 and "sequence_id" in rows.columns
+def test_run_against_brute_force(spark):
+    """Every stage by hand on what the one before kept: models' scores, components of all pairs, the library's ids."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    left = {r.doc_id: r.text or "" for r in docs.collect()}
+    model = toxicity.train(docs, labels)
+
+    def toxic(text):
+        words = text.lower().split()
+        return model.probability(model.excess(model.segments(model.scores(words)), len(words))) >= toxicity.THRESHOLD
+
+    left = {i: t for i, t in left.items() if not toxic(t)}
+    good = quality.train(spark.createDataFrame(list(left.items()), docs.schema), labels)
+    of = functools.cache(good.piece)
+    mean = lambda parts: sum(map(of, parts)) / max(1, len(parts))
+    left = {i: t for i, t in left.items() if mean(quality.pieces(t)) + good.offset >= 0}
+    ids = sorted(left)
+    root = test_near.linked(len(ids), test_near.brute([left[i] for i in ids]))
+    left = {i: left[i] for k, i in enumerate(ids) if root[k] == k}
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    codec, pieces, sequences = bpe.codec(VOCABULARY), {}, {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    assert pieces.keys() == left.keys() and len(left) < len(ids)
+    for i, text in left.items():
+        whole = np.array([*codec.library.encode(text, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        at = 0
+        for r in sorted(pieces[i], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(whole) // 4 and r.ids_crc32 == zlib.crc32(whole[4 * at : 4 * (at + r.length)])
+            at += r.length
+        assert at == len(whole) // 4
+    for parts in sequences.values():
+        n = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == n
+            n += r.length
+        assert n == parts[0].sequence_tokens <= 2048 and n & (n - 1) == 0  # no padding
