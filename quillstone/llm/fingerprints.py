@@ -106,16 +106,17 @@ def _count_below(x: Column, cuts: list, kind: str) -> Column:
     return blocks * BOUNDS_BLOCK + F.size(F.filter(F.slice(_places(cuts, kind), blocks * BOUNDS_BLOCK + 1, BOUNDS_BLOCK), lambda c: c < x))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: list[str], tie: str | None = None) -> DataFrame:
     """``df`` with ``next_<column>`` of the row that follows in descending ``key`` order (after the last: the first).
 
     Whole-number keys are ordered as such, all others as text. Null keys come last; rows of equal key follow each other in
-    order of a hash of ``columns``. Rows are placed by key and hash, and ranges of places are handled apart: each gets a
+    order of a hash of the column ``tie`` (the first of ``columns``, if not given), the only other column that the passes
+    for the ranges' bounds compute. Rows are placed by key and hash, and ranges of places are handled apart: each gets a
     copy of the row that follows its last one, so nothing is ordered in one task, not even the rows of one key, and rows
-    are shuffled once. (Only rows equal in key and ``columns`` have one place and stay together.)
+    are shuffled once. (Only rows equal in key and ``tie`` have one place and stay together.)
     """
     kind = "bigint" if isinstance(df.schema[key].dataType, T.IntegralType) else "string"
-    df = df.withColumn("_k", F.struct(_order(key, df.schema[key].dataType).alias("k"), F.xxhash64(*columns).alias("h")))
+    df = df.withColumn("_k", F.struct(_order(key, df.schema[key].dataType).alias("k"), F.xxhash64(tie or columns[0]).alias("h")))
     n = df.select(key).count()
     ranges = max(1, min(MAX_RANGES, ceil(n / ROWS_PER_RANGE)))
     comparable = (lambda k: k) if kind == "bigint" else str.encode  # Spark compares the bytes of strings
