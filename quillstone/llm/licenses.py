@@ -141,10 +141,13 @@ def known(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("k")).select(digest(F.col("k.text")).alias("known_digest"), "k.license")
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", more: DataFrame | None = None) -> DataFrame:
     """Per row: key, canonical_sha256, license (the known licence that the whole text is, or null), notices (ids of the
     licences named by one-line notices, sorted, distinct, comma-separated; empty if none).
 
+    ``more`` is a table of further known texts (license, text) of any size; of several licences with one canonical form the
+    least name is given. Its rows without a name or without words are passed over.
+
     Null and empty texts have the digest of the empty form and no licence. Repeated rows stay; only ``key`` and ``text``
     are read, so other columns cannot clash; an empty table gives no rows.
     """
@@ -158,7 +161,12 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     docs = docs.select("doc_id", digest(F.col("_text")).alias("canonical_sha256"), notices.alias("notices"))
     texts = known(spark, LICENSES).unionByName(spark.createDataFrame(list(DIGESTS.items()), "known_digest string, license string"))
-    return docs.join(F.broadcast(texts), docs.canonical_sha256 == texts.known_digest, "left").select("doc_id", "canonical_sha256", "license", "notices")
+    if more is None:
+        texts = F.broadcast(texts)  # a constant number of rows
+    else:
+        own = more.select(digest(F.col("text")).alias("known_digest"), F.col("license")).where(F.col("license").isNotNull() & (F.col("known_digest") != digest(F.lit(""))))
+        texts = texts.unionByName(own).groupBy("known_digest").agg(F.min("license").alias("license"))
+    return docs.join(texts, docs.canonical_sha256 == texts.known_digest, "left").select("doc_id", "canonical_sha256", "license", "notices")
 
 
 def _sql_canonical(text: str) -> str:

@@ -45,6 +45,13 @@ def test_licences_agree_with_sql(spark, awkward):
     assert key(map(tuple, got)) == key(want)
 
 
+def test_licences_of_ones_own(spark):
+    own = spark.createDataFrame([("House-1", "You may use this, freely."), ("House-0", "you may USE this - freely"), ("Void", " * "), (None, "some text"), ("Null", None)], "license string, text string")
+    rows = [(1, "You may use\nthis freely!"), (2, licenses.LICENSES["MIT"]), (3, ""), (4, "some text"), (5, None)]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), more=own).collect()}
+    assert got == {1: "House-0", 2: "MIT", 3: None, 4: None, 5: None}
+
+
 def test_notices_can_be_passed_over():
     assert all(re.search("licen", t, re.I) for t in licenses.NOTICES)
 
