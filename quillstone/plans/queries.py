@@ -345,7 +345,7 @@ def rule_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(l_partkey % 150, 60) - 60 AS range_start, least(l_partkey % 150 + l_quantity, 110) - 60 AS range_end
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(greatest(l_partkey % 150, 60) - 60 AS DOUBLE) AS range_start, least(l_partkey % 150 + l_quantity, 110) - 60 AS range_end
     FROM lineitem WHERE l_partkey % 150 < 110 AND l_partkey % 150 + l_quantity > 60
     """
 )
@@ -411,7 +411,7 @@ def scored_cuts(spark: SparkSession, d: str) -> DataFrame:
     return Chunker(Options(_LIMIT)).transform(_prose(spark, d)).select("c_custkey", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
 
 
-@query(f"WITH RECURSIVE {_PROSE_CUTS} SELECT k AS c_custkey, list(text ORDER BY low) AS pieces FROM leaves WHERE text <> '' GROUP BY k")
+@query(f"WITH RECURSIVE {_PROSE_CUTS} SELECT k AS c_custkey, string_agg(text, chr(10) ORDER BY low) AS pieces FROM leaves WHERE text <> '' GROUP BY k")
 def scored_cuts_by_tree(spark: SparkSession, d: str) -> DataFrame:
     """The same cuts through the tree splitter's own entrance, which takes no short cut for plain paragraphs."""
     chunker = Chunker(Options(_LIMIT))
@@ -420,7 +420,7 @@ def scored_cuts_by_tree(spark: SparkSession, d: str) -> DataFrame:
     def pieces(text: pd.Series) -> pd.Series:
         return text.map(chunker.split_blocks)
 
-    return _prose(spark, d).select("c_custkey", pieces("text").alias("pieces"))
+    return _prose(spark, d).select("c_custkey", F.array_join(pieces("text"), "\n").alias("pieces"))
 
 
 _CAPPED = 50
@@ -524,8 +524,8 @@ def image_inline(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT n_nationkey, 1.0 AS ratio, 1000.0 AS most, '# ' || {_NAME} || chr(10) || chr(10) || 'Nation ' || n_nationkey AS chunk, 1 AS trees, 'root' AS tree, 2 AS blocks,
-      length(n_name) + 7 + length(n_nationkey::VARCHAR) AS size, true AS section, false AS heading, 2 AS kept, 3 AS depth
+    SELECT n_nationkey, CAST(1 AS DOUBLE) AS ratio, CAST(1000 AS DOUBLE) AS most, '# ' || {_NAME} || chr(10) || chr(10) || 'Nation ' || n_nationkey AS chunk, 1 AS trees, 'root' AS tree, 2 AS blocks,
+      CAST(length(n_name) + 7 + length(n_nationkey::VARCHAR) AS INTEGER) AS size, true AS section, false AS heading, 2 AS kept, 3 AS depth
     FROM nation
     """
 )
