@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import scratch_table
+from .util import Scratch
 
-#: Parts of each shard that are numbered apart, so that slots need no task that sees a whole shard.
-PARTS = 256
+#: Parts of each shard that are numbered apart, so that slots need no task that sees a whole shard; and how many copies of
+#: one row are written out by one task.
+PARTS, RUN = 256, 1 << 16
 
 #: region -> rack -> shard -> weight
 Tree = dict[str, dict[str, dict[int, float]]]
@@ -64,8 +65,10 @@ def place(df: DataFrame, tree: Tree | None = None, key: str = "doc_id", text: st
 
     The key alone decides the shard, so equal keys meet; a null key is placed by the checksum and size of its text.
     A null text has size 8 and the checksum of the empty text. Slots number each shard's rows from 0 without gaps, in
-    the order of part, key, checksum and size; rows equal in all of these take neighbouring slots in any order. Only
-    ``key`` and ``text`` are read, so other columns cannot clash; an empty table gives no rows.
+    the order of part, key, checksum and size; rows equal in all of these take neighbouring slots. Such rows are counted
+    before anything is shuffled and written out again at the end, a run of slots a task, and the rows of one key are in
+    parts by their texts, so neither a row nor a key that many rows have lands in one task. Only ``key`` and ``text`` are
+    read, so other columns cannot clash; an empty table gives no rows.
     """
     tree = tree or topology()
     narrow = df.select(
@@ -74,16 +77,25 @@ def place(df: DataFrame, tree: Tree | None = None, key: str = "doc_id", text: st
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(":", F.lit("null"), "text_crc32", "size"))
-    placed = narrow.withColumn("_key", name).select(
-        "doc_id", "size", "text_crc32", shard_of(F.col("_key"), tree).alias("shard"),
-        shard_of(F.col("_key"), grown(tree)).alias("grown_shard"), F.pmod(F.xxhash64("_key", F.lit("part")), F.lit(PARTS)).cast("int").alias("_part"),
+    same = narrow.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_n"))
+    placed = same.withColumn("_key", name).select(
+        "doc_id", "size", "text_crc32", "_n", shard_of(F.col("_key"), tree).alias("shard"), shard_of(F.col("_key"), grown(tree)).alias("grown_shard"),
+        F.pmod(F.xxhash64("_key", "text_crc32", "size"), F.lit(PARTS)).cast("int").alias("_part"),
     )
-    placed = scratch_table(placed, "shards")
-    counts = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
+    scratch = Scratch()
+    placed = scratch.table(placed, "shards")
+    counts = placed.groupBy("shard", "_part").agg(F.sum("_n").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # at most shards x PARTS rows, whatever the input
-    starts = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("shard", "_part").orderBy("doc_id", "text_crc32", "size")))
-    return ranked.join(F.broadcast(starts), ["shard", "_part"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_rank") - 1).cast("long").alias("slot"), "grown_shard"
-    )
+    starts = counts.select("shard", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    earlier = Window.partitionBy("shard", "_part").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("_rank", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).join(F.broadcast(starts), ["shard", "_part"])
+    slots = scratch.table(ranked.withColumn("_first", F.col("_start") + F.col("_rank")).drop("_start", "_rank", "_part"), "slots")
+    scratch.close(slots)
+    runs = slots.where(F.col("_n") > RUN).withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(RUN).cast("long"))))
+    runs = runs.withColumn("_first", F.col("_first") + F.col("_at")).withColumn("_n", F.least(F.col("_n") - F.col("_at"), F.lit(RUN)))
+    # by number, as Spark would put runs together by the size of what it reads, not of what they become
+    runs = runs.drop("_at").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_first")
+    every = slots.where(F.col("_n") <= RUN).unionByName(runs)
+    slot = F.explode(F.sequence("_first", F.col("_first") + F.col("_n") - 1)).alias("slot")
+    return every.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")

@@ -205,6 +205,19 @@ def test_sharding_awkward_rows(spark, awkward):
     assert again == {(r.doc_id, r.text_crc32): r.shard for r in rows}
 
 
+def test_sharding_spreads_hot_rows(spark, monkeypatch):
+    """A row that a third of all rows repeat, and an id that another third has with different texts."""
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = [(1, "same")] * 300 + [(2, f"text {i}") for i in range(300)] + [(i, "other") for i in range(3, 303)]
+    out = sharding.place(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in out) == sorted((k, len(t) + 8, zlib.crc32(t.encode())) for k, t in rows)
+    for shard in range(24):
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+    hot = sorted(r.slot for r in out if r.doc_id == 1)
+    assert hot == list(range(hot[0], hot[0] + 300))
+    assert len({r.shard for r in out if r.doc_id == 2}) == 1
+
+
 @pytest.mark.parametrize("regions", [1, 2])
 def test_trees_grow(regions):
     tree = sharding.grown(sharding.topology(regions, 2, 2))
