@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import groups, representative, resolve, roots
-from .util import Scratch, bounded_batches, slices
+from .util import Scratch, bounded_batches, lowest, slices
 
 COSINE = 0.95
 #: Blocks that vectors of one length are cut into, unless they would have fewer vectors than ``LEAST`` or more numbers than
@@ -198,7 +198,8 @@ def upper_level(classes: DataFrame) -> tuple[dict[int, int], dict[int, np.ndarra
     wanted = {d: min(PIVOTS, parts_of(n, d)) for d, n in sizes.items() if parts_of(n, d) > 1}
     if not wanted:
         return sizes, {}
-    drawn = classes.where(F.col("dim").isin(list(wanted))).orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE)
+    enough = 2 * SAMPLE / sum(sizes[d] for d in wanted)
+    drawn = classes.where(F.col("dim").isin(list(wanted)) & lowest(F.xxhash64("digest"), enough)).orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE)
     found: dict[int, list] = {}
     for r in drawn.select("dim", "v").collect():
         found.setdefault(r["dim"], []).append(r["v"])

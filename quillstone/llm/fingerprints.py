@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .util import lowest
+
 SHINGLE, BINS, BITS = 5, 128, 8
 #: Draws of an empty bin, after which (with few bins filled) the filled bin of least hash with it is taken.
 DRAWS = 24
@@ -123,9 +125,10 @@ def with_next(df: DataFrame, key: str, columns: list[str], tie: str | None = Non
     place = lambda r: (r["k"] is not None, r["k"] is not None and comparable(r["k"]), r["h"])
     cuts: list = []
     if ranges > 1:
-        few = df.select("_k").orderBy(F.xxhash64("_k"), "_k").limit(SAMPLE_PER_RANGE * ranges).select("_k.k", "_k.h").collect()
-        drawn = sorted({(r["k"], r["h"]): r for r in few}.values(), key=place)
-        cuts = [(drawn[at]["k"], drawn[at]["h"]) for at in sorted({i * len(drawn) // ranges for i in range(1, ranges)})]
+        # places by a hash, some SAMPLE_PER_RANGE * ranges of them, each once however many rows have it
+        few = df.select("_k").where(lowest(F.xxhash64("_k"), SAMPLE_PER_RANGE * ranges / n)).distinct().select("_k.k", "_k.h").collect()
+        drawn = sorted(few, key=place)
+        cuts = [(drawn[at]["k"], drawn[at]["h"]) for at in sorted({i * len(drawn) // ranges for i in range(1, ranges)})] if drawn else []
     df = df.withColumn("_range", _count_below(F.col("_k"), cuts, kind))
     # one row a range: bounded
     heads = sorted(((r["_range"], r["head"]) for r in df.groupBy("_range").agg(F.max("_k").alias("head")).collect()), key=lambda r: r[0])

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to Python, the same for every operator of a session: batches of very long texts
@@ -123,6 +123,12 @@ def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def lowest(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among the lowest ``share`` of all values. Put before a limit in order of the hash, it keeps
+    the limit's one task from getting a full limit of rows from each partition."""
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(share * 2.0**64) - (1 << 63))
+
+
 def crc_fold(column: str, folds: int):
     """crc32(id as text) mod ``folds``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(folds)
@@ -146,14 +152,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     Returns a list of (text, label) on the driver, of bounded size.
     """
     ids = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)")
-    ids = ids.where(crc_fold("_id", folds) != held_out)
+    scratch = Scratch()
+    ids = scratch.table(ids.where(crc_fold("_id", folds) != held_out).distinct(), "labelled")
+    sizes = {r["_y"]: r["n"] for r in ids.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y in (0, 1):
-        part = ids.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
+        enough = (4 * per_class + 100) / max(1, sizes.get(y, 0))  # so that the limit is reached beyond all doubt
+        part = ids.where((F.col("_y") == y) & lowest(F.xxhash64("_id"), enough)).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     found = found.withColumns({"_hash": F.xxhash64("text"), "_chars": F.length("text").cast("long")})
-    scratch = Scratch()
     found = scratch.table(found.dropDuplicates(["_y", "doc_id", "_hash"]), "sample")
     chars = {r["_y"]: r["n"] for r in found.groupBy("_y").agg(F.sum("_chars").alias("n")).collect()}
     if any(n > SAMPLE_CHARS for n in chars.values()):

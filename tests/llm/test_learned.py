@@ -16,7 +16,7 @@ import corpus_pipeline
 import test_near
 from quillstone.llm import bpe, html_extract, quality, toxicity, util
 from quillstone.llm.queries import QUERIES, VOCABULARY
-from quillstone.llm.util import crc_fold, crc_fold_py, labelled_sample
+from quillstone.llm.util import crc_fold, crc_fold_py, labelled_sample, lowest
 
 DATA = "/root/testdata/sf0.01"
 
@@ -38,6 +38,23 @@ def test_sample_is_bounded_and_held_out(spark):
     assert labelled_sample(docs, odd, "toxic", 4, 2, 10) == []
 
 
+def test_repeated_labels_do_not_crowd_out_others(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    rows = [(i, i % 2) for i in range(400)]
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    sample = labelled_sample(docs, labels(rows), "toxic", 4, 2, 10)
+    assert [sum(y == c for _, y in sample) for c in (0, 1)] == [10, 10]
+    assert sample == labelled_sample(docs, labels(rows + [rows[int(sample[0][0][5:])]] * 500), "toxic", 4, 2, 10)
+
+
+def test_a_share_of_hashes(spark):
+    """Of many rows, a bit more than the limit pass; of few, all."""
+    ids = spark.range(20000)
+    assert 1800 < ids.where(lowest(F.xxhash64("id"), 0.1)).count() < 2200
+    assert ids.where(lowest(F.xxhash64("id"), 1.0)).count() == ids.where(lowest(F.xxhash64("id"), 7.0)).count() == 20000
+    assert ids.where(lowest(F.xxhash64("id"), 1e-12)).count() == 0
+
+
 def test_sample_leaves_out_only_what_does_not_fit(spark, monkeypatch):
     monkeypatch.setattr(util, "SAMPLE_CHARS", 100)
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
