@@ -33,6 +33,8 @@ COSINE = 0.95
 #: ``MOST``; the most pivots of a length, the lengths that get any, the vectors that all pivots are chosen from, and the
 #: visitors treated at a time.
 BLOCKS, LEAST, MOST, PIVOTS, LENGTHS, SAMPLE, VISITORS = 16, 256, 1 << 22, 1024, 16, 4096, 8192
+#: Tasks for each block, as long as they are not more than so many together.
+TASKS, MOST_TASKS = 8, 4096
 #: Slack on distances and on cosines in single precision: bounds must never drop a pair that the cosine would link.
 SLACK = 1e-5
 #: Candidates for centres looked at together, and pairs of members that are compared without looking further down.
@@ -305,7 +307,11 @@ def links_between(classes: DataFrame, kind: str, cosine: float, scratch: Scratch
             yield last, pa.concat_tables(held)
 
     dealt = homes.mapInArrow(visit, f"dim int, block int, visitor int, cls long, copies long, v {kind}")
-    dealt = dealt.repartition("dim", "block").sortWithinPartitions("dim", "block", "visitor")
+    # by number, so that Spark does not put small blocks together, which take much computing; and into more tasks than there
+    # are blocks, so that few have two
+    blocks = sum(map(len, units.values()))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks, min(TASKS * blocks, MOST_TASKS))
+    dealt = dealt.repartition(tasks, "dim", "block").sortWithinPartitions("dim", "block", "visitor")
     return scratch.table(dealt.mapInArrow(compare, "cls long, links long, root long, settled boolean"), "links")
 
 
