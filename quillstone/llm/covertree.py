@@ -7,11 +7,12 @@ distance to that cell's pivot is within the cell's covering radius plus the thre
 home and the other visits, in turns, so that each block is host to about half of the others. In a task the block at home
 and each visiting block get a cover tree (nested levels, halving radii, exact covering radii, built when asked for), and
 pairs of nodes are expanded together: a pair is dropped if its centres are farther apart than both radii and the threshold
-distance together. What is left is decided by the cosine in double precision, so the pairs are exact; the pivots only decide
-how much work is saved.
+distance together. Where the nodes left over have few members, these are compared at once. What is left is decided by the
+cosine in double precision, so the pairs are exact; the pivots only decide how much work is saved.
 
 Kernels return a count and one edge for each linked vector, never the pairs. Visitors stream past a block at home, some
-thousands at a time. Where vectors are so far apart that no bound prunes, each travels once for every second block: blocks
+thousands at a time. Nodes and members are compared in tiles, one path down the trees at a time, and pairs are counted and
+joined as they are found, so that a task holds a block, its tree and one tile, whatever links or stays in reach. Where vectors are so far apart that no bound prunes, each travels once for every second block: blocks
 grow with the table up to ``MOST`` numbers, so that up to millions of vectors a vector travels to a fixed number of tasks.
 """
 
@@ -33,14 +34,17 @@ COSINE = 0.95
 #: ``MOST``; the most pivots of a length, the lengths that get any, the vectors that all pivots are chosen from, and the
 #: visitors treated at a time.
 BLOCKS, LEAST, MOST, PIVOTS, LENGTHS, SAMPLE, VISITORS = 16, 256, 1 << 22, 1024, 16, 4096, 8192
+#: Vectors of a block and numbers of visitors treated at a time: bounds for short and for long vectors.
+ROWS, VISITING = 1 << 18, 1 << 20
 #: Tasks for each block, as long as they are not more than so many together.
 TASKS, MOST_TASKS = 8, 4096
 #: Slack on distances and on cosines in single precision: bounds must never drop a pair that the cosine would link.
 SLACK = 1e-5
 #: Candidates for centres looked at together, and pairs of members that are compared without looking further down.
 CENTRES, SMALL = 256, 4096
-#: Pairs of centres whose bounds are looked at together, so that they stay in a core's cache.
-SLAB = 1 << 18
+#: Side of the tiles that nodes and members are compared in, so that they stay in a core's cache; found pairs held at most,
+#: but for one tile's.
+SIDE, PAIRS = 512, 1 << 18
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -58,6 +62,15 @@ def matrix(column) -> np.ndarray:
     return np.array(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def scaled(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """The lists of a column scaled to length 1, chunk by chunk, so that little is held beside the result."""
+    x, at = np.empty((len(column), dim)), 0
+    for chunk in column.chunks:
+        x[at : at + len(chunk)] = unit(matrix(chunk))
+        at += len(chunk)
+    return x
+
+
 class Node:
     __slots__ = ("centre", "radius", "children", "members", "_table")
 
@@ -80,22 +93,36 @@ class CoverTree:
         self.root = Node(0, 2.0, np.arange(len(x))) if len(x) else None
 
     def children(self, node: Node) -> list[Node]:
-        """The next level below: radius halved; a single vector, or equal ones, stay."""
+        """The next level below, small nodes first: radius halved; a single vector, or equal ones, stay."""
         if node.children is None:
             node.children = []
             if len(node.members) > 1 and node.radius > SLACK:
                 near_enough, left = 1 - (node.radius / 2) ** 2 / 2, node.members
                 while len(left):
-                    seeds = left[:CENTRES]
-                    c = self.x[left] @ self.x[seeds].T
-                    covered = np.zeros(len(left), bool)
+                    # of the next vectors those are centres that no centre before them covers
+                    seeds = self.x[left[:CENTRES]]
+                    covers, free, chosen = seeds @ seeds.T >= near_enough, np.ones(len(seeds), bool), []
                     for k in range(len(seeds)):
-                        if not covered[k]:
-                            near = (c[:, k] >= near_enough) & ~covered
-                            near[k] = True
-                            node.children.append(Node(int(seeds[k]), sqrt(max(0.0, 2 - 2 * float(c[near, k].min()))) if near.sum() > 1 else 0.0, left[near]))
-                            covered |= near
-                    left = left[~covered]
+                        if free[k]:
+                            chosen.append(k)
+                            free &= ~covers[k]
+                    # and each vector goes to the first centre that covers it
+                    first, cosine = np.empty(len(left), int), np.empty(len(left))
+                    for at in range(0, len(left), SIDE):
+                        c = self.x[left[at : at + SIDE]] @ seeds[chosen].T
+                        near = c >= near_enough
+                        k = near.argmax(1)
+                        first[at : at + SIDE] = np.where(near.any(1), k, -1)
+                        cosine[at : at + SIDE] = c[np.arange(len(c)), k]
+                    first[chosen], cosine[chosen] = np.arange(len(chosen)), 1.0
+                    order = np.argsort(first, kind="stable")
+                    cuts = np.searchsorted(first[order], np.arange(len(chosen) + 1))
+                    for k, centre in enumerate(left[chosen]):
+                        at = order[cuts[k] : cuts[k + 1]]
+                        radius = sqrt(max(0.0, 2 - 2 * float(cosine[at].min()))) if len(at) > 1 else 0.0
+                        node.children.append(Node(int(centre), radius, left[at]))
+                    left = left[first < 0]
+                node.children.sort(key=lambda n: len(n.members))
         return node.children
 
 
@@ -104,82 +131,98 @@ def _floor(reach: float, *radii) -> np.ndarray:
     return 1 - np.minimum(reach + sum(radii), 2.0) ** 2 / 2 - SLACK
 
 
-def descend(a: CoverTree, node: Node, b: CoverTree, which: np.ndarray, reach: float, least: float):
-    """Index pairs (i of a below ``node``, j of b in ``which``) with cosine >= ``least``: the node's levels against single
-    vectors, all those that are in reach of a child at once."""
-    todo = [(node, which)]
-    while todo:
-        node, which = todo.pop()
-        if len(node.members) * len(which) <= SMALL or not a.children(node):
-            i, j = np.nonzero(a.x[node.members] @ b.x[which].T >= least)
-            yield node.members[i], which[j]
+def tiles(m: int, n: int, itself: bool):
+    """Ranges that cover m by n; of something with itself each two ranges once."""
+    for u in range(0, m, SIDE):
+        for v in range(u if itself else 0, n, SIDE):
+            yield slice(u, u + SIDE), slice(v, v + SIDE)
+
+
+def compared(a: CoverTree, i: np.ndarray, b: CoverTree, j: np.ndarray, least: float, itself: bool):
+    """Index pairs (of i, of j) with cosine >= ``least``, those of one tile at a time."""
+    for u, v in tiles(len(i), len(j), itself):
+        left, right = i[u], j[v]
+        if len(left) * len(right) > SMALL:
+            near = a.short[left] @ b.short[right].T >= np.float32(least - SLACK)
+            if not near.any():
+                continue
+            if np.count_nonzero(near) <= 2 * SIDE:
+                p, q = np.nonzero(np.triu(near, 1) if itself and u == v else near)
+                p, q = left[p], right[q]
+                exact = np.einsum("ij,ij->i", a.x[p], b.x[q]) >= least
+                yield p[exact], q[exact]
+                continue
+        near = a.x[left] @ b.x[right].T >= least
+        p, q = np.nonzero(np.triu(near, 1) if itself and u == v else near)
+        if len(p):
+            yield left[p], right[q]
+
+
+def pairs(a: CoverTree, p: Node, b: CoverTree, q: Node, reach: float, least: float):
+    """Index pairs (below p of a, below q of b) with cosine >= ``least``, some at a time; of a node with itself each pair
+    once, either way round. Only the path down to the tile at hand is held."""
+    itself = a is b and p is q
+    if len(p.members) * len(q.members) <= SMALL or not (a.children(p) or b.children(q)):
+        yield from compared(a, p.members, b, q.members, least, itself)
+        return
+    left, right = a.children(p) or [p], b.children(q) or [q]
+    lc, lr, ln = p.table() if p.children else (np.array([p.centre]), np.array([p.radius]), np.array([len(p.members)]))
+    rc, rr, rn = q.table() if q.children else (np.array([q.centre]), np.array([q.radius]), np.array([len(q.members)]))
+    for u, v in tiles(len(left), len(right), itself):
+        if ln[u][-1] == rn[v][-1] == 1:  # single vectors, as the small nodes come first
+            yield from compared(a, lc[u], b, rc[v], least, itself and u == v)
             continue
-        centres, radii, sizes = node.table()
-        ones = np.flatnonzero(sizes == 1)
-        if len(ones):
-            slab = max(1, SLAB // len(which))
-            for at in range(0, len(ones), slab):
-                part = centres[ones[at : at + slab]]
-                near = np.flatnonzero(a.short[part] @ b.short[which].T >= np.float32(least - SLACK))
-                if len(near):
-                    u, v = np.divmod(near, len(which))
-                    exact = np.einsum("ij,ij->i", a.x[part[u]], b.x[which[v]]) >= least
-                    yield part[u[exact]], which[v[exact]]
-        many = np.flatnonzero(sizes > 1)
-        if len(many):
-            near = a.short[centres[many]] @ b.short[which].T >= _floor(reach, radii[many])[:, None].astype(np.float32)
-            todo += [(node.children[k], which[row]) for k, row in zip(many, near) if row.any()]
+        near = a.short[lc[u]] @ b.short[rc[v]].T >= _floor(reach, lr[u].astype(np.float32)[:, None], rr[v].astype(np.float32))
+        if itself and u == v:
+            near = np.triu(near)
+        some = np.count_nonzero(near)
+        if some and int(ln[u].sum()) * int(rn[v].sum()) <= SMALL * some:
+            members = [np.concatenate([n.members for n in nodes]) for nodes in (left[u], right[v])]
+            yield from compared(a, members[0], b, members[1], least, itself and u == v)
+        else:
+            for s, t in zip(*np.nonzero(near)):
+                yield from pairs(a, left[u.start + s], b, right[v.start + t], reach, least)
+
+
+def traversal(a: CoverTree, b: CoverTree, reach: float, least: float):
+    """Index pairs (i of a, j of b) with cosine >= ``least``, some at a time; for a tree with itself each pair once."""
+    if a.root and b.root:
+        yield from pairs(a, a.root, b, b.root, reach, least)
 
 
 def dual(a: CoverTree, b: CoverTree, reach: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i of a, j of b) with cosine >= ``least``; for a tree with itself, each pair once with i < j."""
-    found_i, found_j = [], []
-    same = a is b
-
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        if same:
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            i, j = i[i < j], j[i < j]
-        found_i.append(i), found_j.append(j)
-
-    todo = [(a.root, b.root)] if a.root and b.root else []
-    while todo:
-        p, q = todo.pop()
-        itself = same and p is q
-        if len(p.members) * len(q.members) <= SMALL or not (a.children(p) or b.children(q)):
-            c = a.x[p.members] @ b.x[q.members].T
-            i, j = np.nonzero(np.triu(c >= least, 1) if itself else c >= least)
-            add(p.members[i], q.members[j])
-            continue
-        left, right = a.children(p) or [p], b.children(q) or [q]
-        lc, lr, ln = p.table() if p.children else (np.array([p.centre]), np.array([p.radius]), np.array([len(p.members)]))
-        rc, rr, rn = q.table() if q.children else (np.array([q.centre]), np.array([q.radius]), np.array([len(q.members)]))
-        one, many, other, several = (np.flatnonzero(x) for x in (ln == 1, ln > 1, rn == 1, rn > 1))
-        # single vectors against single vectors
-        if len(one) and len(other):
-            singles = Node(0, 2.0, lc[one], [Node(int(c), 0.0, np.array([c])) for c in lc[one]]) if len(one) * len(other) > SMALL else Node(0, 0.0, lc[one])
-            for i, j in descend(a, singles, b, rc[other], reach, least):
-                add(i[i < j] if itself else i, j[i < j] if itself else j)
-        # nodes against single vectors, either way round (in a tree with itself both ways are the same)
-        if len(many) and len(other):
-            near = a.short[lc[many]] @ b.short[rc[other]].T >= _floor(reach, lr[many])[:, None].astype(np.float32)
-            for k, row in zip(many, near):
-                if row.any():
-                    for i, j in descend(a, left[k], b, rc[other[row]], reach, least):
-                        add(i, j)
-        if len(several) and len(one) and not itself:
-            near = b.short[rc[several]] @ a.short[lc[one]].T >= _floor(reach, rr[several])[:, None].astype(np.float32)
-            for k, row in zip(several, near):
-                if row.any():
-                    for j, i in descend(b, right[k], a, lc[one[row]], reach, least):
-                        add(i, j)
-        # nodes against nodes
-        if len(many) and len(several):
-            near = a.short[lc[many]] @ b.short[rc[several]].T >= _floor(reach, lr[many][:, None], rr[several]).astype(np.float32)
-            todo += [(left[many[u]], right[several[v]]) for u, v in zip(*np.nonzero(near)) if not itself or u <= v]
-    if not found_i:
-        return np.array([], int), np.array([], int)
-    return np.concatenate(found_i), np.concatenate(found_j)
+    """All pairs of the traversal together; for a tree with itself with i < j."""
+    found = [(np.array([], int),) * 2, *traversal(a, b, reach, least)]
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return (np.minimum(i, j), np.maximum(i, j)) if a is b else (i, j)
+
+
+def links_of(ids: np.ndarray, copies: np.ndarray, found) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``ids`` the copies that it is linked to, and the least id that the links connect it to, from index pairs
+    that come some at a time."""
+    links, label = np.zeros(len(ids)), np.arange(len(ids))
+    order = np.argsort(ids, kind="stable")  # the root is the least class
+    rank = np.argsort(order, kind="stable")
+
+    def fold(held: list) -> None:
+        nonlocal links, label
+        i, j = (np.concatenate(x) for x in zip(*held))
+        links += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+        p, q = label[rank[i]], label[rank[j]]
+        apart = p != q
+        if apart.any():
+            label = roots(len(ids), p[apart], q[apart])[label]
+
+    held, n = [], 0
+    for i, j in found:
+        held.append((i, j))
+        n += len(i)
+        if n >= PAIRS or len(held) >= PAIRS >> 6:
+            fold(held)
+            held, n = [], 0
+    if held:
+        fold(held)
+    return links.astype(np.int64), ids[order[label[rank]]]
 
 
 def pivots_of(x: np.ndarray, most: int) -> np.ndarray:
@@ -210,7 +253,7 @@ def upper_level(classes: DataFrame) -> tuple[dict[int, int], dict[int, np.ndarra
 
 def parts_of(n: int, dim: int) -> int:
     """Into how many blocks n vectors of a length are cut."""
-    return max(1, min(BLOCKS, n // LEAST), -(-n * dim // MOST))
+    return max(1, min(BLOCKS, n // LEAST), -(-n * dim // MOST), -(-n // ROWS))
 
 
 def links_between(classes: DataFrame, kind: str, cosine: float, scratch: Scratch) -> DataFrame:
@@ -244,7 +287,7 @@ def links_between(classes: DataFrame, kind: str, cosine: float, scratch: Scratch
         units.setdefault(r["dim"], []).extend((r["cell"], r["r"], part) for part in range(-(-r["n"] // max(1, share))))
     placed = spark.sparkContext.broadcast(units)
     # rarer lengths have no pivots; how many blocks they have stays in a table
-    parts = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.floor(F.col("n") / LEAST)), F.ceil(F.col("n") * F.col("dim") / MOST)).cast("int")
+    parts = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.floor(F.col("n") / LEAST)), F.ceil(F.col("n") * F.col("dim") / MOST), F.ceil(F.col("n") / ROWS)).cast("int")
     homes = homes.join(cells.groupBy("dim").agg(F.sum("n").alias("n")).select("dim", parts.alias("parts")), "dim")
 
     def visit(batches):
@@ -272,39 +315,43 @@ def links_between(classes: DataFrame, kind: str, cosine: float, scratch: Scratch
                 yield from slices([pa.RecordBatch.from_arrays([*map(pa.array, cols), *took], names=["dim", "block", "visitor", "cls", "copies", "v"])], 4096)
 
     def compare(batches):
-        def linked(ids, copies, i, j):
-            links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+        def linked(ids, copies, found):
+            links, root = links_of(ids, copies, found)
             some = np.flatnonzero(links)
-            order = np.argsort(ids, kind="stable")  # the root is the least class
-            rank = np.argsort(order, kind="stable")
-            root = ids[order[roots(len(ids), rank[i], rank[j])[rank]]]
-            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some]), pa.array([False] * len(some))], names=["cls", "links", "root", "settled"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(root[some]), pa.array([False] * len(some))], names=["cls", "links", "root", "settled"])
 
         here, tree, ids, copies = None, None, None, None
         for (dim, block, visitor), rows in streamed(batches):
-            x, cls, times = unit(matrix(rows.column("v"))), rows.column("cls").to_numpy(), rows.column("copies").to_numpy()
+            x, cls, times = scaled(rows.column("v"), dim), rows.column("cls").to_numpy(), rows.column("copies").to_numpy()
+            del rows
             if visitor < 0:
                 here, ids, copies, tree = (dim, block), cls, times, CoverTree(x)
-                i, j = dual(tree, tree, reach, cosine)
-                if len(i):
-                    yield linked(ids, copies, i, j)
+                found = linked(ids, copies, traversal(tree, tree, reach, cosine))
             elif here == (dim, block):
-                i, j = dual(tree, CoverTree(x), reach, cosine)
-                if len(i):
-                    yield linked(np.concatenate([ids, cls]), np.concatenate([copies, times]), i, j + len(ids))
+                shifted = ((i, j + len(ids)) for i, j in traversal(tree, CoverTree(x), reach, cosine))
+                found = linked(np.concatenate([ids, cls]), np.concatenate([copies, times]), shifted)
+            else:
+                continue
+            if found.num_rows:
+                yield from slices([found], 4096)
 
     def streamed(batches):
         """Home rows of a block together; each visiting block's rows a bounded number at a time."""
+
+        def taken():
+            table = pa.concat_tables(held)
+            held.clear()
+            return table
+
         held, last = [], None
         for b in slices(batches, VISITORS):
             for k, rows in groups([b], ["dim", "block", "visitor"]):
-                if held and (k != last or (k[2] >= 0 and sum(t.num_rows for t in held) >= VISITORS)):
-                    yield last, pa.concat_tables(held)
-                    held = []
+                if held and (k != last or (k[2] >= 0 and sum(t.num_rows for t in held) >= min(VISITORS, VISITING // k[0]))):
+                    yield last, taken()
                 last = k
                 held.append(rows)
         if held:
-            yield last, pa.concat_tables(held)
+            yield last, taken()
 
     dealt = homes.mapInArrow(visit, f"dim int, block int, visitor int, cls long, copies long, v {kind}")
     # by number, so that Spark does not put small blocks together, which take much computing; and into more tasks than there

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -210,6 +211,50 @@ def test_dual_traversal_is_exact(dims):
     assert set(zip(*map(np.ndarray.tolist, covertree.dual(a, b, reach, 0.95)))) == set(zip(*map(np.ndarray.tolist, np.nonzero(gram[:150, 150:] >= 0.95))))
 
 
+@pytest.mark.parametrize("dims", [3, 16])
+def test_tiles_lose_and_repeat_no_pair(monkeypatch, dims):
+    for name, value in (("SIDE", 7), ("SMALL", 9), ("PAIRS", 50), ("CENTRES", 5)):
+        monkeypatch.setattr(covertree, name, value)
+    x = covertree.unit(vectors(dims, 300, dims))
+    x[200:260] = covertree.unit(x[200] + np.random.default_rng(1).normal(size=(60, dims)) * 0.05)  # a group of near copies
+    reach, gram, rng = math.sqrt(0.1) + covertree.SLACK, x @ x.T >= 0.95, np.random.default_rng(2)
+    ids, copies = rng.permutation(300) + 1000, rng.integers(1, 4, 300)
+    for split in (None, 220):
+        if split is None:
+            a = b = covertree.CoverTree(x)
+            found, want = list(covertree.traversal(a, b, reach, 0.95)), np.triu(gram, 1)
+        else:
+            a, b = covertree.CoverTree(x[:split]), covertree.CoverTree(x[split:])
+            found = [(i, j + split) for i, j in covertree.traversal(a, b, reach, 0.95)]
+            want = np.where((np.arange(300)[:, None] < split) & (np.arange(300) >= split), gram, False)
+        got = sorted((min(p), max(p)) for i, j in found for p in zip(i.tolist(), j.tolist()))
+        assert got == sorted(zip(*map(np.ndarray.tolist, np.nonzero(want))))
+        links, root = covertree.links_of(ids, copies, found)
+        assert links.tolist() == ((want | want.T) @ copies).tolist()
+        ranks = np.argsort(ids)
+        least = linked(300, zip(*map(np.ndarray.tolist, np.nonzero(want[ranks][:, ranks]))))
+        assert [root[ranks[k]] for k in range(300)] == [ids[ranks[least[k]]] for k in range(300)]
+
+
+@pytest.mark.parametrize("kind", ["near copies", "many small nodes", "visitors"])
+def test_memory_does_not_grow_with_links_or_nodes(kind):
+    rng = np.random.default_rng(6)
+    if kind == "near copies":  # 8 million links
+        x = rng.normal(size=16) + rng.normal(size=(4000, 16)) * 0.01
+    else:  # twos at cosine 0.7: 4,000 nodes that no bound keeps apart
+        x = np.repeat(rng.normal(size=(4000, 64)), 2, axis=0) + rng.normal(size=(8000, 64)) * 0.65
+    x = covertree.unit(x)
+    half = covertree.CoverTree(x[1::2])
+    a, b = (covertree.CoverTree(x),) * 2 if kind != "visitors" else (covertree.CoverTree(x[::2]), half)
+    tracemalloc.start()
+    links, _ = covertree.links_of(np.arange(len(x)), np.ones(len(x), int), covertree.traversal(a, b, math.sqrt(0.1) + covertree.SLACK, 0.95))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48e6  # the vectors are 4 MB of doubles
+    if kind == "near copies":
+        assert (links == 3999).all()
+
+
 def test_tree_invariants():
     x = vectors(2)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
