@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -90,14 +91,19 @@ def chunk(df: DataFrame, text: str = "text", **options) -> DataFrame:
     return Chunker(Options(**options)).transform(df, text)
 
 
+@lru_cache(maxsize=16)
+def _options(chunk_size, max_overflow_ratio, max_raw_size, rules: str | None) -> Options:
+    """The options that the arguments of the table function stand for."""
+    return Options(float(chunk_size), None if max_overflow_ratio is None else float(max_overflow_ratio), max_raw_size, None if rules is None else json.loads(rules))
+
+
 class ChunkFunction:
     """Table function chunk(text, chunk_size, max_overflow_ratio, max_raw_size, rules). ``rules`` is JSON: an object with a
     rule for each kind, as a name ("never-split") or an object with split and style; without it the default rules hold.
     (Transforms are functions and cannot be given in SQL.)"""
 
     def eval(self, text, chunk_size, max_overflow_ratio=None, max_raw_size=None, rules=None):
-        options = Options(float(chunk_size), None if max_overflow_ratio is None else float(max_overflow_ratio), max_raw_size, None if rules is None else json.loads(rules))
-        for i, (t, crumbs) in enumerate(chunks(text, options)):
+        for i, (t, crumbs) in enumerate(chunks(text, _options(chunk_size, max_overflow_ratio, max_raw_size, rules))):
             yield i, t, [{"text": c, "depth": d} for c, d in crumbs]
 
 

@@ -1,6 +1,7 @@
 """What queries and operators do with large keys, unusual rows and large documents."""
 
 import duckdb
+import pytest
 
 from quillstone.plans import queries as plans
 
@@ -56,3 +57,12 @@ def test_plain_text_of_all_documents(spark, tmp_path):
     rows = plans.QUERIES["plain_text"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [r.plain for r in rows] == ["mail a@b.org | x*y #1 & c", "bold and link", None, "plain"]
     assert "WHERE" not in plans.ORACLES["plain_text"]
+
+
+@pytest.mark.parametrize("name", ["oversize_item", "oversize_heading", "oversize_quote", "oversize_row", "links_stay_whole", "image_inline", "rules_in_sql", "scored_cuts", "scored_cuts_by_tree"])
+def test_rows_of_one_file_go_to_all_tasks(spark, name):
+    df = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    key = df.columns[0]
+    held = [len({r[0] for r in rows}) for rows in df.select(key).rdd.glom().collect()]
+    customers = df.select(key).distinct().count()
+    assert sum(n > 0 for n in held) >= 4 and max(held) <= customers / 4
