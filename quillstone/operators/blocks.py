@@ -7,32 +7,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..markdown.blocks import Blocks
 from ..markdown.chunking import parsed
-from ..markdown.nodes import content_size, from_units, plain_text
+from ..markdown.nodes import content_size, from_units, plain_text, units
 from ..markdown.options import Options
 from ..markdown.serialise import serialise
+from ..sources import BATCH_BYTES, bounded_batches
 
 BLOCK = "idx int, type string, depth int, content_size int, plain string, markdown string"
 DEPTHS = range(1, 7)
+#: Blocks in one batch handed back.
+BLOCK_ROWS = 4096
 
 
 def blocks(df: DataFrame, text: str = "text", keep: list[str] | None = None, rules: dict | None = None) -> DataFrame:
-    """One row a top-level block: ``keep``, idx, type, depth (of headings), content_size, plain, markdown."""
+    """One row a top-level block: ``keep``, idx, type, depth (of headings), content_size, plain, markdown. Without rules a
+    document's blocks are handed on as they are read, so that memory does not grow with their number."""
     keep = [c for c in df.columns if c != text] if keep is None else keep
     options = Options(1, rules=rules or {})
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`"))
     schema = T.StructType([*source.schema.fields[:-1], *T._parse_datatype_string(BLOCK).fields])
 
+    if not df.isStreaming:
+        bounded_batches(df.sparkSession)
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+    def top(text: str):
+        return parsed(text, options).children if options.rules else Blocks(units(text)).nodes()
+
     def run(batches):
         for b in batches:
-            rows, made = [], []
-            for r, t in enumerate(b.column(len(keep)).to_pylist()):
-                for i, n in enumerate(parsed(t, options).children if t else ()):
+            rows, made, held = [], [], 0
+
+            def batch(b=b):
+                cols = list(zip(*made)) or [()] * 6
+                return pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in b.columns[:-1]), *map(pa.array, cols, kinds)], names=schema.names)
+
+            for r in range(b.num_rows):
+                t = b.column(len(keep))[r].as_py()
+                for i, n in enumerate(top(t) if t else ()):
                     rows.append(r)
                     made.append((i, n.type, getattr(n, "depth", None), content_size(n), from_units(plain_text(n)), from_units(serialise(n)).rstrip("\n")))
-            cols = list(zip(*made)) or [()] * 6
-            kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows, pa.int64())) for c in b.columns[:-1]), *map(pa.array, cols, kinds)], names=schema.names)
+                    held += len(made[-1][-1])
+                    if len(rows) >= BLOCK_ROWS or held > BATCH_BYTES:
+                        yield batch()
+                        rows, made, held = [], [], 0
+            yield batch()
 
     return source.mapInArrow(run, schema)
 

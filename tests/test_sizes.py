@@ -1,11 +1,14 @@
 """What queries and operators do with large keys, unusual rows and large documents."""
 
+import tracemalloc
+
 import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillstone.markdown import chunking
+from quillstone.markdown.blocks import Blocks, parse
 from quillstone.markdown.chunking import whole_chunks
 from quillstone.markdown.options import BY_SIZE, NEVER, Options
 from quillstone.plans import queries as plans
@@ -87,3 +90,24 @@ def test_flat_lists_need_no_tree(items, mark, end, size, rules):
 def test_flat_lists_are_made_without_a_parser(monkeypatch):
     monkeypatch.setattr(chunking, "parse", None)
     assert [t for t, _ in chunking.chunks("3. part one\n4. part two\n5. part three", Options(17))] == ["3. part one\n4. part two", "5. part three"]
+
+
+@given(st.lists(st.sampled_from(["text", "two [a] words", "[a]: http://x.org", "# head", "- item", "  - inner", "> quote", "> [a]: http://y.org", "", "", "```", "    code", "===", "***", "| a | b |", "|---|---|", "[^n]: note", "see [^n]", "<div>", "1. one"]), max_size=14), st.sampled_from(["\n", "\r\n", "\r"]), st.booleans())
+@settings(max_examples=500)
+def test_blocks_one_by_one_are_those_of_the_tree(lines, end, last):
+    text = end.join(lines) + (end if last else "")
+    found, want = list(Blocks(text).nodes()), parse(text).children
+    assert all(n.type != "paragraph" or n.children for n in found)
+    assert repr(found) == repr(want) and [(n.start, n.end) for n in found] == [(n.start, n.end) for n in want]
+
+
+def test_blocks_do_not_hold_a_large_document():
+    peaks = []
+    for n in (1000, 8000):
+        text = "# head\n\n" + "\n\n".join(f"Paragraph {i}" for i in range(n)) + "\n\n[a]: http://x.org"
+        tracemalloc.start()
+        count = sum(1 for _ in Blocks(text).nodes())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert count == n + 2
+    assert peaks[1] < 2 * peaks[0] + 100_000
