@@ -2,30 +2,40 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def greedy_groups(df: DataFrame, key: str, order: str, size: str, limit: float, group: str = "group") -> DataFrame:
     """(key, order, size, group): each row joins the group before it if the group's sizes stay within ``limit``; a row that
     is larger than that stands alone. Groups are numbered from 0 in each key.
 
-    One fold over a key's ordered rows: packing depends on all rows before, so a key (a document) is one task's.
+    One pass over a key's ordered rows, which holds the open group's size only: packing depends on all rows before, so a key
+    (a document) is one task's. Equal keys lie together; null ones and NaN are keys too.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("double").alias("s"))))
-    # state: next group, size of the open one (null: none is open), groups so far
-    start = F.struct(F.lit(-1).alias("g"), F.lit(None).cast("double").alias("t"), F.array().cast("array<int>").alias("out"))
-
-    def step(a, x):
-        large = x["s"] > limit
-        opens = a["t"].isNull() | large | (a["t"] + x["s"] > limit)
-        g = F.when(opens, a["g"] + 1).otherwise(a["g"])
-        t = F.when(large, F.lit(None).cast("double")).when(opens, x["s"]).otherwise(a["t"] + x["s"])
-        return F.struct(g.alias("g"), t.alias("t"), F.concat(a["out"], F.array(g)).alias("out"))
-
-    folded = df.groupBy(key).agg(rows.alias("_rows")).withColumn("_groups", F.aggregate("_rows", start, step, lambda a: a["out"]))
-    each = folded.select(key, F.explode(F.arrays_zip("_rows", "_groups")).alias("_x"))
-    return each.select(key, F.col("_x._rows.o").alias(order), F.col("_x._rows.s").alias(size), F.col("_x._groups").alias(group))
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    rows = df.select(F.col(key), F.col(order), F.col(size).cast("double").alias(size)).repartition(4 * slots, key).sortWithinPartitions(key, order, size)
+    schema = T.StructType([*rows.schema.fields, T.StructField(group, T.IntegerType())])
+
+    def run(batches):
+        open_key, number, total = object(), -1, None
+        for b in batches:
+            found = []
+            for k, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if k != open_key and not (k != k and open_key != open_key):
+                    open_key, number, total = k, -1, None
+                large = s is not None and (s > limit or s != s)
+                if large or total is None or (s is not None and total + s > limit):
+                    number += 1
+                    total = None if large else s
+                else:  # a missing size joins the open group and closes it
+                    total = None if s is None else total + s
+                found.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int32())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def merge_intervals(df: DataFrame, key: str, start: str, end: str, penalty: str, tie: str) -> DataFrame:

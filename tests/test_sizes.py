@@ -1,5 +1,6 @@
 """What queries and operators do with large keys, unusual rows and large documents."""
 
+import time
 import tracemalloc
 
 import duckdb
@@ -11,6 +12,7 @@ from quillstone.markdown import chunking
 from quillstone.markdown.blocks import Blocks, parse
 from quillstone.markdown.chunking import whole_chunks
 from quillstone.markdown.options import BY_SIZE, NEVER, Options
+from quillstone.operators import greedy_groups
 from quillstone.plans import queries as plans
 
 
@@ -111,3 +113,17 @@ def test_blocks_do_not_hold_a_large_document():
         tracemalloc.stop()
         assert count == n + 2
     assert peaks[1] < 2 * peaks[0] + 100_000
+
+
+def test_greedy_groups_of_one_long_key_take_linear_time(spark):
+    n = 200_000
+    df = spark.range(n).selectExpr("CAST(id % 2 AS INT) AS k", "id AS o", "CAST(1 + id % 13 AS INT) AS s")
+    began = time.time()
+    rows = greedy_groups(df, "k", "o", "s", 20).orderBy("k", "o").collect()
+    assert time.time() - began < 20 and len(rows) == n
+    key, total, number = None, 0, 0
+    for r in rows:
+        if r.k != key:
+            key, total, number = r.k, 0, 0
+        number, total = (number, total + r.s) if total + r.s <= 20 else (number + 1, r.s)
+        assert r.group == number
